@@ -2,7 +2,7 @@
 
 Grades 0 < 1 < ... < K - 1 share one weight vector w; only the thresholds differ:
 P(grade <= k) = sigmoid(threshold[k] - w . x).  The expected severity is the sum over k >= 1 of
-P(grade >= k).  x marks which of the selected words (bare words, A-Z lower-cased) and five-byte
+P(grade >= k).  x marks which of the selected words (bare words, A-Z lower-cased) and four-byte
 word beginnings a text holds, each once, whatever its length.
 
 The fit uses a bounded sample of labelled rows (``sample``, 8,000 by default, those with the
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from . import kernels
 
-BINS, PREFIX = 1 << 18, 5
+BINS, PREFIX = 1 << 18, 4
 
 
 def sparse_features(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -84,7 +84,7 @@ def grades_from_binary(present: list[np.ndarray], toxic: np.ndarray) -> np.ndarr
     return np.where(toxic > 0, np.where(held > middle, 2, 1), 0)
 
 
-def fit(present: list[np.ndarray], grades: np.ndarray, features: int = 1024, ridge: float = 1e-3, rounds: int = 400) -> OrdinalModel:
+def fit(present: list[np.ndarray], grades: np.ndarray, features: int = 1024, ridge: float = 1e-5, rounds: int = 600) -> OrdinalModel:
     """Fits weights and thresholds by gradient steps on the ordinal likelihood (numpy, driver side)."""
     levels = int(grades.max()) if len(grades) else 0
     weights = np.zeros(2 * BINS)
