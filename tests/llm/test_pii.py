@@ -1,0 +1,75 @@
+import hashlib
+import re
+
+from brindle.llm import pii, queries
+
+from .fixtures import AWKWARD, DATA, documents
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes_luhn(digits):
+    total = 0
+    for n, d in enumerate(map(int, reversed(digits))):
+        total += (d * 2 - 9 if d > 4 else d * 2) if n % 2 else d
+    return total % 10 == 0
+
+
+def good(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in match.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and passes_luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    return True
+
+
+def brute(text):
+    spans = {k: [(m.start(), m.end()) for m in re.finditer(p, text or "") if good(k, m[0])] for k, p in PATTERNS.items()}
+    joined = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in spans[k])
+    return (*[len(spans[k]) for k in PATTERNS], hashlib.sha256(joined.encode()).hexdigest()), joined
+
+
+CASES = [
+    "a@b.c_d@e.f x+y@q-r.co.uk. @no a@b a@b. %@%.x a@b.c@d.e",
+    "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.03.255 1..2.3.4 99999999999999999999.1.1.1",
+    "4111 1111 1111 1111, 4111-1111-1111-1112 4111  1111 49927398716 4111111111111111 12345678901234567890",
+    "+1 (555) 010-9999 +44 20 7946 0958. +1-2 + 12345678901 +123456789012345678 ++4912345678901",
+    "ünï 中文 a@b.co 10.0.0.1 é +4912345678901",
+    "pay IBAN GB82 WEST 1234 5698 7654 32 or DE89370400440532013000 not DE89370400440532013001",
+    "my ssn is 123-45-6789 but part 123-45-6789",
+    "mail " + " ".join(f"u{n}@h.org" for n in range(700)),
+]
+
+
+def test_matches_brute_force(spark):
+    rows = AWKWARD + [(100 + n, t, "s") for n, t in enumerate(CASES)]
+    got = pii.digest(documents(spark, rows)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert len(got) == len(rows)
+    for r, (i, text, _) in zip(sorted(got, key=key), sorted(rows, key=key)):
+        want, joined = brute(text)
+        assert r.doc_id == i and tuple(r)[1:6] == want, text
+        assert r.spans.startswith(joined)
+
+
+def test_added_kinds(spark):
+    found = {r.doc_id: [(f.kind, f.text) for f in r.found] for r in pii.find(documents(spark, [(n, t, "s") for n, t in enumerate(CASES)])).collect()}
+    assert [t for k, t in found[5] if k == "iban"] == ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"]
+    assert [t for k, t in found[6] if k == "ssn"] == ["123-45-6789", "123-45-6789"]
+
+
+def test_whole_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.op1_pii(spark, DATA).collect()
+    assert len(got) == len(docs) and sum(r.n_email for r in got) > 0
+    for r in got:
+        assert tuple(r)[1:6] == brute(docs[r.doc_id])[0]
+    assert pii.digest(documents(spark, [])).count() == 0
