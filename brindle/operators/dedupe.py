@@ -9,8 +9,11 @@ is greedy in sequence order; it only ever sees linked records, component by comp
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,22 +33,52 @@ def exact_groups(records: DataFrame, key: Column, seq: str = "seq") -> DataFrame
     return records.withColumn("hash", key).withColumns({"survivor": F.min(seq).over(group), "copies": F.count("*").over(group)})
 
 
+def _grams(text: str) -> tuple[int, list[str]]:
+    tokens = re.findall("[a-z0-9]+", text.lower())
+    return len(tokens), [" ".join(tokens[i : i + 4]) for i in range(len(tokens) - 3)] or ([" ".join(tokens)] if tokens else [])
+
+
+def _signature(text: str) -> tuple[int, int]:
+    _, grams = _grams(text)
+    if not grams:
+        return 0, 0
+    low = np.frombuffer(b"".join(hashlib.md5(g.encode()).digest()[8:] for g in grams), np.uint8).reshape(-1, 8)
+    bits = 2 * np.unpackbits(low, axis=1).sum(axis=0, dtype=np.int64) > len(grams)
+    return tuple(int.from_bytes(np.packbits(half).tobytes(), "big") for half in (bits[:32], bits[32:]))
+
+
 def signatures(records: DataFrame, seq: str = "seq", text: str = "text") -> DataFrame:
-    """seq and the SimHash of four-word shingles as two 32-bit halves (zero without shingles)."""
-    grams = records.select(F.col(seq).alias("seq"), F.explode_outer(T.shingles(T.words(F.coalesce(F.col(text), F.lit(""))))).alias("gram"))
-    digest = F.md5("gram")
-    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
-    halves = grams.select("seq", half(17).alias("hi"), half(25).alias("lo"))
-    bit = lambda c, b: F.sum(F.when(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("long")) == 1, 1).when(F.col(c).isNotNull(), -1)) > 0
-    votes = halves.groupBy("seq").agg(*[F.coalesce(bit(c, b), F.lit(False)).alias(f"{c}{b}") for c in ("hi", "lo") for b in range(32)])
+    """seq and the SimHash of four-word shingles as two 32-bit halves (zero without shingles).
+
+    A bit is the majority over the low 64 bits of each shingle's MD5.  Votes are counted where the
+    text is, so nothing is shuffled; 64 conditional sums over exploded shingles took far longer.
+    """
+    ship(records.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [_signature(t) for t in pdf["text"].fillna("")]
+            yield pd.DataFrame({"seq": pdf["seq"], "sig_hi": [h for h, _ in found], "sig_lo": [l for _, l in found]})
+
+    rows = records.select(F.col(seq).cast("long").alias("seq"), F.col(text).cast("string").alias("text"))
+    return rows.mapInPandas(run, "seq long, sig_hi long, sig_lo long")
+
+
+def shingle_sets(records: DataFrame, most: float = (SHORT - 4) / JACCARD) -> DataFrame:
+    """seq, language, n_tokens and grams (distinct shingles, null beyond ``most`` of them).
+
+    A set similar to a short text's cannot be larger than ``most``.  In Python, because a filter on
+    the column form is pushed below it and re-tokenises the text for every shingle.
+    """
+    ship(records.sparkSession)
 
-    def joined(c: str) -> Column:
-        out = F.lit(0).cast("long")
-        for b in range(32):
-            out = out + F.when(F.col(f"{c}{b}"), F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long"))
-        return out
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [(n, sorted(set(g))) for n, g in map(_grams, pdf["text"].fillna(""))]
+            sets = [g if len(g) <= most else None for _, g in made]
+            yield pd.DataFrame({"seq": pdf["seq"], "language": pdf["language"], "n_tokens": [n for n, _ in made], "grams": sets})
 
-    return votes.select("seq", joined("hi").alias("sig_hi"), joined("lo").alias("sig_lo"))
+    return records.select("seq", "language", "text").mapInPandas(run, "seq long, language string, n_tokens long, grams array<string>")
 
 
 def _whole(hi: str, lo: str) -> Column:
@@ -75,24 +108,27 @@ def shingle_pairs(rows: DataFrame, threshold: float = JACCARD) -> DataFrame:
     rows: seq, language, n_tokens, grams (distinct shingles).  Two sets that similar share one of
     their rarest few shingles (prefix filter), so only those are joined on.
     """
-    long = rows.select("seq", "language", "n_tokens", "grams", F.explode("grams").alias("gram"))
-    seen = long.groupBy("language", "gram").agg(F.count("*").alias("seen"))
+    rows = rows.filter("grams is not null")
+    long = rows.select("seq", "language", "n_tokens", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    seen = long.groupBy("language", "gram").agg(F.count("*").alias("seen")).filter("seen > 1")
     order = F.row_number().over(W.partitionBy("seq").orderBy("seen", "gram"))
-    keep = F.size("grams") - F.ceil(F.size("grams") * threshold) + 1
-    prefix = long.join(seen, ["language", "gram"]).withColumn("nth", order).filter((F.col("nth") <= keep) & (F.col("seen") > 1))
-    prefix = prefix.select("seq", "language", "n_tokens", "gram", "grams")
+    # shingles of one text only come first in that order, so they shorten the prefix that is left
+    alone = F.col("n") - F.count("*").over(W.partitionBy("seq"))
+    keep = F.col("n") - F.ceil(F.col("n") * threshold) + 1 - alone
+    prefix = long.join(seen, ["language", "gram"]).withColumn("nth", order).withColumn("keep", keep).filter("nth <= keep")
+    prefix = prefix.select("seq", "language", "n_tokens", "gram")
     l, r = prefix.alias("l"), prefix.alias("r")
     on = (F.col("l.language") == F.col("r.language")) & (F.col("l.gram") == F.col("r.gram")) & (F.col("l.seq") < F.col("r.seq"))
-    some = l.join(r, on).filter(F.least("l.n_tokens", "r.n_tokens") < SHORT)
-    score = T.jaccard(F.col("l.grams"), F.col("r.grams"))
-    pairs = some.select(F.col("l.seq").alias("a"), F.col("r.seq").alias("b"), score.alias("similarity")).filter(F.col("similarity") >= threshold)
-    return pairs.distinct()
+    some = l.join(r, on).filter(F.least("l.n_tokens", "r.n_tokens") < SHORT).select(F.col("l.seq").alias("a"), F.col("r.seq").alias("b")).distinct()
+    sets = rows.select("seq", "grams")
+    pairs = some.join(sets.select(F.col("seq").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("seq").alias("b"), F.col("grams").alias("gb")), "b")
+    pairs = pairs.select("a", "b", T.jaccard(F.col("ga"), F.col("gb")).alias("similarity"))
+    return pairs.filter(F.col("similarity") >= threshold)
 
 
 def near_pairs(rows: DataFrame) -> DataFrame:
     """(a, b, distance) under the near-duplicate rule; rows: seq, language, text."""
-    tokens = T.words(F.coalesce("text", F.lit("")))
-    told = rows.select("seq", "language", F.size(tokens).alias("n_tokens"), F.array_distinct(T.shingles(tokens)).alias("grams"))
+    told = shingle_sets(rows)
     # the index serves both branches: the rule itself looks at the shorter text
     short = shingle_pairs(told).select("a", "b", F.round((1 - F.col("similarity")) * 100).cast("int").alias("distance"))
     long = told.filter(F.col("n_tokens") >= SHORT).select("seq", "language")
