@@ -1,0 +1,141 @@
+"""Live-call queries on conversations and events."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import vocabulary as V
+from ..lineage import cut
+from ..operators import live
+from ..streaming import nudges
+from .documents import values
+from .registry import query, sql_list, table
+
+_PHRASES = ["I need another truck", "we will expand soon", "i cannot pay this is ridiculous", "hdfc offered less", "call me tomorrow", "for my kids", "you said guaranteed and promise you", "this call is recorded", "I am an AI assistant", "nothing", "real person please", "nanti saya kabari"]
+_CALLS = f"""calls as (select conv_id as call_id, turn as seq, case role when 'user' then 'customer' else 'agent' end as speaker,
+ text || ' ' || {sql_list(_PHRASES)}[1 + (conv_id * 5 + turn * 3) % {len(_PHRASES)}] as text, turn * 12.0::double as call_time_s from conversations where role <> 'system')"""
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = F.col("conv_id"), F.col("turn")
+    phrase = F.element_at(T.strings(_PHRASES), ((c * 5 + t * 3) % len(_PHRASES) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").filter("role <> 'system'").select(
+        c.alias("call_id"), t.alias("seq"), F.when(F.col("role") == "user", "customer").otherwise("agent").alias("speaker"),
+        F.concat("text", F.lit(" "), phrase).alias("text"), (t * F.lit(12.0)).alias("call_time_s"),
+    )
+
+
+_Q = lambda s: s.replace("'", "''")
+_SQL_CUES = [(n, "missed_cross_sell", 0.75, live.pattern(w)) for n, w in V.CROSS_SELL.items()] + [(k, k, c, live.pattern(w)) for k, (c, w) in V.CUSTOMER_CUES.items()]
+
+
+@query(f"""with {_CALLS}, cue as (select * from (values {', '.join(f"('{d}', '{k}', {c}::double, '{_Q(p)}')" for d, k, c, p in _SQL_CUES)}) t(detail, kind, confidence, p))
+select call_id, seq, call_time_s, kind, detail, confidence, regexp_extract(lower(text), p) as evidence from calls, cue where speaker = 'customer' and regexp_matches(lower(text), p)
+union all select call_id, seq, call_time_s, 'risky_statement', 'risky_statement', 0.9, unnest(regexp_extract_all(lower(text), '{_Q(live.pattern(V.RISKY_STATEMENTS))}')) from calls where speaker = 'agent'""")
+def call_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.signals(calls(spark, sf_dir))
+
+
+@query("""with t as (select conv_id as call_id, turn as seq, 'q' || (turn // 6) as plain from conversations where role <> 'system' and turn % 2 = 1)
+select call_id, seq from (select *, lag(plain, 1) over w as a, lag(plain, 2) over w as b from t window w as (partition by call_id order by seq)) where plain = a and plain = b""")
+def repeated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("role <> 'system' and turn % 2 = 1")
+    text = F.concat(F.lit(" Q! "), F.floor(F.col("turn") / 6).cast("string"), F.lit("?"))
+    text = F.regexp_replace(text, "Q! ", "Q")
+    return live.repeated_questions(turns.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), F.lit("customer").alias("speaker"), text.alias("text")))
+
+
+@query(f"""with {_CALLS}, item as (select * from (values {', '.join(f"('{n}', {d}::double, '{_Q(live.pattern(w))}')" for n, d, w in V.CHECKLIST if n != 'no_payment_disclosure')}) t(item, deadline, p)),
+s as (select call_id, item, any_value(deadline) as deadline, min(case when speaker = 'agent' and regexp_matches(lower(text), p) then call_time_s end) as said_at from calls, item group by 1, 2)
+select call_id, item, said_at, said_at is null or said_at >= deadline as gap from s""")
+def compliance_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.compliance(calls(spark, sf_dir))
+
+
+_KINDS = list(V.NUDGES)
+
+
+def event_signals(spark: SparkSession, events: DataFrame, stream: bool = False) -> DataFrame:
+    """Events as signals: a call per user, a kind per event type, confidence by value, 15 s apart."""
+    kinds = F.create_map(*[F.lit(x) for i, t in enumerate(["click", "view", "purchase", "signup", "logout"]) for x in (t, _KINDS[i * 3])])
+    kind = F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.element_at(T.strings(_KINDS), (F.crc32("event_type") % len(_KINDS) + 1).cast("int")))
+    return events.select(
+        F.col("user_id").alias("call_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("v"), (F.col("event_id") % 9).cast("string")).alias("evidence"),
+        F.least(F.lit(1.0), F.col("value") / 60).alias("confidence"), F.col("ts").cast("timestamp").alias("ts"), *([] if stream else []),
+    )
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_signals(spark, table(spark, sf_dir, "events"))
+    place = F.row_number().over(W.partitionBy("call_id").orderBy("ts", "seq"))
+    return rows.withColumn("at", place * 15.0)
+
+
+@query()
+def nudge_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.suppress(_timed(spark, sf_dir).drop("ts"))
+
+
+@query()
+def suppression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return live.suppression_report(live.suppress(_timed(spark, sf_dir).drop("ts")))
+
+
+@query()
+def stream_nudges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same outcomes from a file stream with keyed state (clock: the event time in 12-hour steps)."""
+    source = table(spark, sf_dir, "events").schema
+    path = f"{sf_dir}/events.parquet"
+    plain = spark.readStream.schema(source)
+    stream = plain.parquet(path) if not path.endswith(".parquet") else plain.option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
+    rows = event_signals(spark, stream, stream=True)
+    rows = rows.withColumn("at", F.unix_timestamp("ts") / 960.0)
+    cut(spark.range(1))  # makes sure of a shared folder
+    folder = spark.sparkContext.getCheckpointDir()
+    return nudges.run_available(nudges.stream_suppress(rows), f"nudges_{uuid.uuid4().hex}", f"{folder}/stream-{uuid.uuid4().hex}")
+
+
+@query("""select call_id, missed, forbidden_shown, unexpected, passed from (values (1, []::varchar[], []::varchar[], ['frustration'], true), (2, ['soft_refusal'], []::varchar[], []::varchar[], false), (3, []::varchar[], ['risk'], ['risk'], false)) t(call_id, missed, forbidden_shown, unexpected, passed)""")
+def live_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = values(spark, [(1, "compliance_gap", "emitted"), (1, "frustration", "emitted"), (1, "risk", "cooldown"), (3, "risk", "emitted")], "call_id int, kind string, outcome string")
+    truth = values(spark, [(1, ["compliance_gap"], ["risk"], 3), (2, ["soft_refusal"], [], 1), (3, [], ["risk"], 2)], "call_id int, expected array<string>, forbidden array<string>, max_nudges int")
+    return live.score_calls(shown, truth)
+
+
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def events_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nudges.windowed_counts(table(spark, sf_dir, "events"))
+
+
+@query("""select user_id, min(ts) as start, count(*) as n from (select user_id, ts, sum(opened) over (partition by user_id order by ts, event_id) as session from (
+ select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 2 hour then 0 else 1 end as opened from events)) group by user_id, session""")
+def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = table(spark, sf_dir, "events").groupBy(F.session_window("ts", "2 hours").alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return out.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("""select conv_id, turn, array_to_string(list(role || ':' || length(text)) over (partition by conv_id order by turn rows between 7 preceding and current row), ' ') as recent from conversations""")
+def rolling_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(-7, 0)
+    said = F.concat("role", F.lit(":"), F.length("text").cast("string"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(said).over(w), " ").alias("recent"))
+
+
+@query()
+def vad_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    levels = table(spark, sf_dir, "events").select(F.col("user_id").alias("call_id"), (place * 200.0).alias("ms"), (F.col("value") / 1500).alias("rms"), F.lit(200.0).alias("chunk_ms"))
+    return live.segments(levels)
+
+
+@query("""select user_id, round(sqrt(avg((value * 100) * (value * 100))) / 32768, 9) as rms, round(max(value * 100) / 32768, 9) as peak, avg((value >= 30)::int) >= 0.08 as has_speech from events group by 1""")
+def audio_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("value") * 100
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.round(F.sqrt(F.avg(x * x)) / 32768, 9).alias("rms"), F.round(F.max(x) / 32768, 9).alias("peak"), (F.avg((F.col("value") >= 30).cast("int")) >= 0.08).alias("has_speech")
+    )

@@ -1,0 +1,87 @@
+"""Source and sink queries."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import vocabulary as V
+from ..lineage import cut
+from ..sources import files, web
+from .registry import query, table
+
+_HOST = r"regexp_extract(url, '^https?://([^/]+)', 1)"
+_PATH = r"regexp_replace(regexp_replace(url, '^[a-zA-Z]+://[^/]*', ''), '[?#].*$', '')"
+
+
+@query(f"""select page_id, substr(case when n = '' then 'index' else n end, 1, 120) as slug from (select page_id, regexp_replace(replace(trim({_PATH}, '/'), '/', '__'), '[^A-Za-z0-9_.-]', '-', 'g') as n from pages)""")
+def url_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", web.slug(F.col("url")).alias("slug"))
+
+
+@query(r"""select url from (select regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') as url, min(page_id) as first_at from pages where url not like '%/de/%' group by 1) order by first_at limit 200""")
+def sitemap_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc></url><url><loc>"), F.col("url"), F.lit("/</loc></url>"))
+    return web.sitemap_urls(table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), xml.alias("xml")), exclude="/de/")
+
+
+@query(f"""select page_id from pages where not ({_PATH} like '/fr%' and {_HOST} like '%.com') """)
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, path = F.regexp_extract("url", "^https?://([^/]+)", 1), F.regexp_replace(F.regexp_replace("url", "^[a-zA-Z]+://[^/]*", ""), "[?#].*$", "")
+    urls = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rules = urls.filter("host like '%.com'").select(F.col("host").alias("rule_host"), F.lit("/fr").alias("prefix")).distinct()
+    return web.allowed(urls, rules).select("page_id")
+
+
+_WORDS = V.PDF_LANGUAGES + V.PDF_KEYWORDS + ["brochure", "logo"]
+
+
+@query(f"""select p_partkey, url, not regexp_matches(lower(url), '{'|'.join(V.PDF_LANGUAGES)}') and regexp_matches(lower(url), '{'|'.join(V.PDF_KEYWORDS)}') as relevant
+from (select p_partkey, 'https://x.org/' || [{', '.join(f"'{w}'" for w in _WORDS)}][1 + p_partkey % {len(_WORDS)}] || '-' || [{', '.join(f"'{w}'" for w in _WORDS)}][1 + p_partkey * 11 % {len(_WORDS)}] || '.PDF' as url from part)""")
+def pdf_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda n: F.element_at(F.array(*map(F.lit, _WORDS)), (n % len(_WORDS) + 1).cast("int"))
+    key = F.col("p_partkey")
+    url = F.concat(F.lit("https://x.org/"), pick(key), F.lit("-"), pick(key * 11), F.lit(".PDF"))
+    return table(spark, sf_dir, "part").select("p_partkey", url.alias("url")).withColumn("relevant", web.pdf_relevant(F.col("url")))
+
+
+@query(f"""with f as (select {_HOST} as host, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"''#?]+)', 1)) as href from pages)
+select distinct host, case when starts_with(href, '/') then href when regexp_matches(href, '^https?://') then regexp_replace(href, '^https?://[^/]+', '') else '/' || href end as path, lower(href) like '%.pdf' as is_pdf
+from f where not regexp_matches(href, '^https?://') or regexp_extract(href, '^https?://([^/]+)', 1) = host""")
+def link_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.links(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), "html"))
+
+
+@query("""select 'suppliers' as heading, '| s_suppkey: ' || s_suppkey || case when s_suppkey % 3 = 0 then '' else '; s_name: ' || trim(s_name) end as line from supplier""")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("s_suppkey") % 3 == 0, " ").otherwise(F.concat(F.lit(" "), "s_name", F.lit(" ")))
+    return files.csv_lines(table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("s_name")), "suppliers")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    cut(spark.range(1))  # makes sure of a shared folder
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query("select doc_id, lang, coalesce(length(text), 0)::bigint as n from documents where lang = 'fr'")
+def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by language, read back for one: the filter prunes the other partitions."""
+    path = _folder(spark, "index")
+    files.write_index(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path, ["lang"])
+    return spark.read.parquet(path).filter("lang = 'fr'").select("doc_id", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+
+
+@query("select doc_id::varchar as doc_id, lang as title, text from documents where text is not null")
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "jsonl")
+    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    files.append_leads(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("title"), "text"), path)
+    return files.read_jsonl(spark, path, files.DOCUMENT).select("doc_id", "title", "text")
+
+
+@query("""select o_orderkey as id, case when o_orderkey % 3 = 0 then 'new' else 'old' end as state from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0""")
+def keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return files.keep_latest(orders.filter("id % 2 = 0").withColumn("state", F.lit("old")), orders.filter("id % 3 = 0").withColumn("state", F.lit("new")), "id")
