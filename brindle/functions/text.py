@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
@@ -22,8 +22,7 @@ def words(text: Column) -> Column:
 
 def search_terms(text: Column) -> Column:
     """``words`` without stopwords and single characters."""
-    stop = strings(V.STOPWORDS)
-    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(V.STOPWORDS))
 
 
 def content_hash(text: Column, keep_empty_apart: bool = True) -> Column:
@@ -114,19 +113,27 @@ DATE_PATTERNS = {
 }
 
 
-def iso_dates(text: Column) -> Column:
-    """Dates in four notations rewritten as yyyy-MM-dd, one notation after another; impossible dates stay."""
-    order = {"dmy": (3, 2, 1), "ymd": (1, 2, 3), "mdy": (3, 1, 2), "dmonthy": (3, 2, 1)}
-    for kind, pattern in DATE_PATTERNS.items():
-        y, m, d = order[kind]
+def _iso_match(kind: str):
+    pattern = DATE_PATTERNS[kind]
+    y, m, d = {"dmy": (3, 2, 1), "ymd": (1, 2, 3), "mdy": (3, 1, 2), "dmonthy": (3, 2, 1)}[kind]
+
+    def iso(match: Column) -> Column:
+        group = lambda n: F.regexp_extract(match, pattern, n)
+        return _iso(group(y), _month_number(group(m)) if kind in ("mdy", "dmonthy") else group(m), group(d))
+
+    return iso
 
-        def iso(match: Column, pattern=pattern, kind=kind, y=y, m=m, d=d) -> Column:
-            group = lambda n: F.regexp_extract(match, pattern, n)
-            month = _month_number(group(m)) if kind in ("mdy", "dmonthy") else group(m)
-            return _iso(group(y), month, group(d))
 
-        text = rewrite_matches(text, pattern, iso)
-    return text
+def with_iso_dates(df: DataFrame, column: str) -> DataFrame:
+    """Dates in four notations rewritten as yyyy-MM-dd, one notation after another; impossible dates stay.
+
+    Each notation is a projection of its own: nested in one expression, every level would evaluate
+    the one below it twice.
+    """
+    for kind, pattern in DATE_PATTERNS.items():
+        made = rewrite_matches(F.col(column), pattern, _iso_match(kind))
+        df = df.withColumn(column, F.when(F.col(column).rlike(pattern), made).otherwise(F.col(column)))
+    return df
 
 
 _CURRENCY = r"(?i)(?<![A-Za-z])(?:rs\.?|inr|₹)\s*"

@@ -49,7 +49,7 @@ def normalize_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.concat(F.date_format(d, "d"), F.lit("th "), F.date_format(d, "MMM yyyy"))).otherwise(F.lit("31-02-2026"))
     )
     text = F.concat(F.lit("from "), F.date_format(d, "d/M/yyyy"), F.lit(" until "), shown, F.lit("."))
-    return table(spark, sf_dir, "orders").select("o_orderkey", T.iso_dates(text).alias("text"))
+    return T.with_iso_dates(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), "text")
 
 
 @query(
