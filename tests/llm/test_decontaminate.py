@@ -45,7 +45,7 @@ def test_edited_and_awkward(spark):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([60, 45, 30, 15, 3, 1])] + [(90, None), (91, "")]
     filler = lambda n: " ".join(word() for _ in range(n))
-    docs = [(i, f"{filler(30)} {t}  {filler(20)}") for i, t in items if t]
+    docs = [(1000 + i, f"{filler(30)} {t}  {filler(20)}") for i, t in items if t]
     edited = [t.split() for _, t in items[:4]]
     for n, w in enumerate(edited):
         w[0], w[-1] = word(), word().upper()
