@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calls, corpus, decisions, documents, retrieval, sources  # noqa: F401 - importing registers
+from . import calls, corpus, decisions, documents, records, retrieval, sources  # noqa: F401 - importing registers
 from .registry import QUERIES
 
 hybrid_search = retrieval.hybrid_search
