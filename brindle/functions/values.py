@@ -123,7 +123,7 @@ def bounded_int(raw: Column, lo: int, hi: int) -> Column:
 
 def spoken_amount(value: Column) -> Column:
     """Rupees as they are said: crore, lakh, thousand."""
-    short = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.bround(x, 2)), "0+$", ""), r"\.$", "")
+    short = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.rint(x * 100) / 100), "0+$", ""), r"\.$", "")
     v = value.cast("double")
     return (
         F.when(value >= 10_000_000, F.concat(short(v / 10_000_000), F.lit(" crore rupees")))

@@ -12,7 +12,7 @@ def latency(samples: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
     """n, min, p50, p95, max and mean of each group, with linear interpolation."""
     p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95)))
     return samples.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min(value).alias("min"), F.round(p[0], 6).alias("p50"), F.round(p[1], 6).alias("p95"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean")
+        F.count("*").alias("n"), F.min(value).alias("min"), F.round(p[0], 6).alias("p50"), F.round(p[1], 6).alias("p95"), F.max(value).alias("max"), F.round(F.avg(value), 3).alias("mean")
     )
 
 

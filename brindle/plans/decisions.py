@@ -179,7 +179,7 @@ def lead_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("LD-"), F.upper(F.right(F.md5(F.col("o_orderkey").cast("string")), F.lit(8)))).alias("lead_id"), slots.alias("slots"))
 
 
-@query("""select event_type, count(*) as n, min(ms) as min, round(quantile_cont(ms, 0.5), 6) as p50, round(quantile_cont(ms, 0.95), 6) as p95, max(ms) as max, round(avg(ms), 6) as mean
+@query("""select event_type, count(*) as n, min(ms) as min, round(quantile_cont(ms, 0.5), 6) as p50, round(quantile_cont(ms, 0.95), 6) as p95, max(ms) as max, round(avg(ms), 3) as mean
 from (select event_type, (epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id))) / 1000.0::double as ms from events) where ms is not null group by 1""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window as W
