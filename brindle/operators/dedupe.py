@@ -51,7 +51,7 @@ def signatures(records: DataFrame, seq: str = "seq", text: str = "text") -> Data
     """seq and the SimHash of four-word shingles as two 32-bit halves (zero without shingles).
 
     A bit is the majority over the low 64 bits of each shingle's MD5.  Votes are counted where the
-    text is, so nothing is shuffled; 64 conditional sums over exploded shingles took far longer.
+    text is, so nothing is shuffled; 64 conditional sums over exploded shingles took about twice as long.
     """
     ship(records.sparkSession)
 
