@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, lines, mixing, quality, simhash
+from brindle.llm import decontaminate, lines, mixing, quality, similar
 from brindle.llm.storage import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,8 +28,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of each near-duplicate group the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
+    """Operator 6: of each group linked by five-word shingles and a similarity of 0.8 the smallest id stays."""
+    groups = similar.similar_groups(docs)
     firsts = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
     rows = docs.select(*COLUMNS).filter("doc_id is not null").join(firsts, F.col("doc_id") == F.col("kept"), "left_semi")
     return rows.dropDuplicates(["doc_id"])

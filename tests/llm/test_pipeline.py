@@ -3,7 +3,7 @@ from brindle.llm import lines, quality
 
 from .test_decontaminate import brute as brute_leaks
 from .test_lines_and_mixing import brute_lines, check_mix
-from .test_simhash import brute_groups
+from .test_similar import brute_similar
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert [(d, t) for d, t, _ in rows(new)] == sorted((d, t) for d, _, _, t in brute_lines(before, lines.MIN_SITES))
             assert all(r.n_chars == len(r.text) for r in new.collect())
         elif name == "near_dedup":
-            assert [d for d, _, _ in rows(new)] == sorted(d for d, _, c in brute_groups([(d, t) for d, t, _ in before]) if d == c)
+            assert [d for d, _, _ in rows(new)] == [d for d, c in brute_similar([(d, t) for d, t, _ in before]) if d == c]
         elif name == "decontaminate":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
             gone = {d for d, _, _ in before} - {d for d, _, _ in rows(new)}
