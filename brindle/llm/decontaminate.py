@@ -5,12 +5,13 @@ long in words as the item, has a weighted similarity of 0.8 or more to it.  The
 sum of minima over the sum of maxima of the two multisets of five-word shingles (words lower-cased
 in A-Z; an item of fewer words is one shingle of its own length).
 
-1. A window that shares no shingle with any item has similarity zero, so only windows around a
-   shared shingle are fingerprinted.  Nothing is lost by that.
+1. A window needs 0.8 of its shingles, or of the item's if they are more, among those of the items to
+   reach the similarity, so only such windows are fingerprinted.  Nothing is lost by that.
 2. Each such window gets a SimHash of its shingles, from running sums of bit votes.
-3. Fingerprints are looked up in a multi-index: 8 blocks of 8 bits.  Within ``radius`` bits (15)
-   at least one block has at most one differing bit, so the blocks' tables name every item within
-   the radius; the full Hamming distance then decides.
+3. Fingerprints are looked up in a multi-index: 8 blocks of 8 bits.  Within ``RADIUS`` bits (23)
+   at least one block has at most two differing bits, so the blocks' tables name every item within
+   the radius; the full Hamming distance then decides.  A similarity of 0.8 differs in 10 bits on
+   average, with a deviation of 3.
 4. Survivors are verified by the exact similarity.
 
 Items travel to the workers in batches of a fixed number of words (``batch_words``), one pass over
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow
 from . import kernels
 
-WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 15, 8
+WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // BLOCKS
 _CHUNK = 4096
 
@@ -115,6 +116,11 @@ class ItemIndex:
             np.add.at(cover, lows, 1)
             np.add.at(cover, highs + 1, -1)
             starts = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            marks = np.zeros(len(shingles) + 1, np.int64)
+            marks[at + 1] = 1
+            shared = np.cumsum(marks)
+            common = shared[starts + n] - shared[starts]
+            starts = starts[common >= SIMILARITY * max(n, length - width + 1)]  # else the similarity is lower
             if not len(starts):
                 continue
             prints = _window_fingerprints(shingles, starts, n)
@@ -126,11 +132,6 @@ class ItemIndex:
                 near |= _NEAR[own[:, b]][:, blocks[:, b]]
             rows, columns = np.nonzero(near)
             close = np.bitwise_count(prints[rows] ^ self.prints[items[columns]]) <= RADIUS
-            marks = np.zeros(len(shingles) + 1, np.int64)
-            marks[at + 1] = 1
-            shared = np.cumsum(marks)
-            common = shared[starts + n] - shared[starts]
-            close &= common[rows] >= SIMILARITY * max(n, length - width + 1)  # else the similarity is lower
             for r, c in zip(rows[close].tolist(), columns[close].tolist()):
                 k, start = int(items[c]), int(starts[r])
                 score = self._similarity(k, shingles[start : start + n])
