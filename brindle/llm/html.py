@@ -6,11 +6,11 @@ pages that hold it and, for every content found there, the pages that hold that
 content on k of a branch's m pages has entropy log k / log m: near 0 for what is told once, near 1
 for what every page repeats.  A branch's content importance is one minus the mean entropy of its
 contents; its presentation importance is the entropy of its looks (the sequences of child tags).
-The composite is content + DAMP x presentation x (1 - content).  Branches below ``threshold`` are
-removed from each page of the host.
+The composite is content + DAMP x presentation x (1 - content).  What stands directly in a branch
+below ``threshold`` is removed from each page of the host; branches under it answer for themselves.
 
 Some elements say themselves what they are.  Navigation, footers, asides, forms and the like, and
-elements so named by class, id or role, have importance zero; paragraphs, headings and the article
+elements so named by class, id or role, have importance zero and are not counted; paragraphs, headings and the article
 element itself are never removed for being repeated.  Where a page has an article, the text is
 what stands in it; else what stands in its main element; else what the style tree leaves.
 
@@ -167,11 +167,8 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]
 
 
 def main_text(page: str, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's main text, without the branches in ``low`` and what lies below them."""
-    found = [b for b in blocks(page)[0] if not b[2]]
-    if low:
-        heads = tuple(x + "/" for x in low)
-        found = [b for b in found if b[1] not in low and not b[1].startswith(heads)]
+    """The page's main text, without what stands directly in the branches in ``low``."""
+    found = [b for b in blocks(page)[0] if not b[2] and b[1] not in low]
     best = max((b[3] for b in found), default=0)
     return "\n\n".join(b[0] for b in found if b[3] == best)
 
@@ -189,6 +186,7 @@ def style_tree(rows: DataFrame) -> DataFrame:
             hosts, names, kinds, hashes = [], [], [], []
             for host, page in zip(batch.column("host").to_pylist(), kernels.text_bytes(batch.column("html"))):
                 found, looks = blocks(page.decode())
+                found = [b for b in found if not b[2]]
                 held = {(b[1], 1, xxhash.xxh64_intdigest(b[0]) >> 1) for b in found}
                 held |= {(b[1], 0, 0) for b in found}
                 held |= {(b, 2, xxhash.xxh64_intdigest(look) >> 1) for b, look in looks.items()}

@@ -44,3 +44,22 @@ def test_style_tree_removes_what_a_host_repeats(spark):
         assert all(told[n] == f"Story {n} is told here.\n\nIt ends {n * 7}." for n in range(30))
         assert told[50] == ""
     assert html.extract(df.limit(0)).count() == 0
+
+
+def told(spark, pages, **how):
+    """The text of each of ``pages`` as (id, host, html), extracted together."""
+    df = spark.createDataFrame([(i, f"https://{h}/{i}", p) for i, h, p in pages], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html.extract(df, **how).collect()}
+
+
+def test_wrapper_with_repeated_text_of_its_own(spark):
+    layouts = {
+        "a.org": '<body><div class="page"><p>Daily News</p><article><p>story {}</p></article></div></body>',
+        "b.org": '<body><div class="page"><button>Menu</button><article><p>story {}</p></article></div></body>',
+        "c.org": '<body><div class="page"><p>Daily News</p><div class="text"><p>story {}</p></div></div></body>',
+        "d.org": '<body><div class="page"><button>Menu</button><section><p>story {}</p></section></div></body>',
+        "e.org": '<body><div class="page"><nav>Menu</nav><nav>Top</nav>story {}</div></body>',
+    }
+    pages = [(10 * h + n, host, page.format(10 * h + n)) for h, (host, page) in enumerate(layouts.items()) for n in range(5)]
+    for most in (200_000, 0):
+        assert told(spark, pages, most_broadcast=most) == {i: f"story {i}" for i, _, _ in pages}
