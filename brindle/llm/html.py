@@ -2,12 +2,14 @@
 
 Pages of one host share templates.  Merging their element trees by path gives the host's style
 tree; for each branch (a chain of container elements with their first class or id) it counts the
-pages that hold it and, for every content found there, the pages that hold that content.  A
+pages that hold it and, for every content found there, the pages that hold that content.  Pages of
+a host with the same main text count as one, so copies make nothing a template.  A
 content on k of a branch's m pages has entropy log k / log m: near 0 for what is told once, near 1
 for what every page repeats.  A branch's content importance is one minus the mean entropy of its
 contents; its presentation importance is the entropy of its looks (the sequences of child tags).
-The composite is content + DAMP x presentation x (1 - content).  What stands directly in a branch
-below ``threshold`` is removed from each page of the host; branches under it answer for themselves.
+The composite is content + DAMP x presentation x (1 - content).  In a branch below ``threshold`` the
+contents whose own composite (from their own entropy) is below it too are removed from each page of
+the host; what few pages hold stays, and branches under it answer for themselves.
 
 Some elements say themselves what they are.  Navigation, footers, asides, forms and the like, and
 elements so named by class, id or role, have importance zero and are not counted; paragraphs, headings and the article
@@ -166,36 +168,50 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]
     return out, {branch: ">".join(tags[:64]) for branch, tags in looks.items()}
 
 
-def main_text(page: str, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The page's main text, without what stands directly in the branches in ``low``."""
-    found = [b for b in blocks(page)[0] if not b[2] and b[1] not in low]
+def _place(block: tuple[str, str, bool, int]) -> int:
+    """A content and its branch as one hash."""
+    return xxhash.xxh64_intdigest(f"{block[1]}\0{block[0]}") >> 1
+
+
+def _chosen(found: list[tuple[str, str, bool, int]]) -> str:
+    """The main text among blocks that are not noise."""
     best = max((b[3] for b in found), default=0)
     return "\n\n".join(b[0] for b in found if b[3] == best)
 
 
+def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's main text, without the contents in ``low`` (hashes of ``_place``)."""
+    return _chosen([b for b in blocks(page)[0] if not b[2] and not (low and _place(b) in low)])
+
+
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col).cast("string"), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
 
 
 def style_tree(rows: DataFrame) -> DataFrame:
-    """host, branch, pages and importance of every branch of every host's tree (rows as of ``_hosted``)."""
+    """host, branch, pages and importance of every branch of every host's tree, with the place (hash of
+    ``_place``) and own importance of each content there (rows as of ``_hosted``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small_batches(batches, "html"):
-            hosts, names, kinds, hashes = [], [], [], []
+            hosts, votes, names, kinds, hashes = [], [], [], [], []
             for host, page in zip(batch.column("host").to_pylist(), kernels.text_bytes(batch.column("html"))):
                 found, looks = blocks(page.decode())
                 found = [b for b in found if not b[2]]
-                held = {(b[1], 1, xxhash.xxh64_intdigest(b[0]) >> 1) for b in found}
+                vote = xxhash.xxh64_intdigest(_chosen(found)) >> 1
+                held = {(b[1], 1, _place(b)) for b in found}
                 held |= {(b[1], 0, 0) for b in found}
                 held |= {(b, 2, xxhash.xxh64_intdigest(look) >> 1) for b, look in looks.items()}
                 for branch, kind, h in held:
-                    hosts.append(host), names.append(branch), kinds.append(kind), hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(names, pa.string()), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64())], ["host", "branch", "kind", "hash"])
-
-    told = map_arrow(rows.select("host", "html"), run, "host string, branch string, kind int, hash long")
-    counts = told.groupBy("host", "branch", "kind", "hash").agg(F.count("*").alias("k"))
+                    hosts.append(host), votes.append(vote), names.append(branch), kinds.append(kind), hashes.append(h)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(votes, pa.int64()), pa.array(names, pa.string()), pa.array(kinds, pa.int32()), pa.array(hashes, pa.int64())],
+                ["host", "vote", "branch", "kind", "hash"],
+            )
+
+    told = map_arrow(rows.select("host", "html"), run, "host string, vote long, branch string, kind int, hash long").distinct()
+    counts = materialize(told.groupBy("host", "branch", "kind", "hash").agg(F.count("*").alias("k")), "contents")
     on = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x).otherwise(0.0))
     k = F.col("k").cast("double")
     tree = counts.groupBy("host", "branch").agg(
@@ -206,7 +222,12 @@ def style_tree(rows: DataFrame) -> DataFrame:
     content = F.when(F.col("pages") > 1, 1 - F.col("repeated") / F.col("held") / size).otherwise(1.0)
     look = F.when((F.col("pages") > 1) & (F.col("looked") > 0), (F.log("looked") - F.col("alike") / F.col("looked")) / size).otherwise(0.0)
     tree = tree.filter("pages > 0").withColumn("content", content).withColumn("look", F.greatest(F.lit(0.0), F.least(F.lit(1.0), look)))
-    return tree.select("host", "branch", F.col("pages").cast("long").alias("pages"), (F.col("content") + F.lit(DAMP) * F.col("look") * (1 - F.col("content"))).alias("importance"))
+    with_look = lambda x: x + F.lit(DAMP) * F.col("look") * (1 - x)
+    tree = tree.select("host", "branch", F.col("pages").cast("long").alias("pages"), "look", with_look(F.col("content")).alias("importance"))
+    own = F.when(F.col("pages") > 1, 1 - F.log("k") / F.log("pages")).otherwise(1.0)
+    # a host's repeated contents only: what a single page holds has importance 1
+    many = counts.filter("kind = 1 and k > 1").select("host", "branch", F.col("hash").alias("place"), "k")
+    return tree.join(many, ["host", "branch"], "left").select("host", "branch", "pages", "importance", "place", with_look(own).alias("own"))
 
 
 def extract(
@@ -215,18 +236,18 @@ def extract(
 ) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     rows = _hosted(pages, id_col, url_col, html_col)
-    low = style_tree(rows).filter(F.col("importance") < threshold).filter("branch <> ''")
-    low = materialize(low.filter(~F.element_at(F.split("branch", "/"), -1).rlike(r"^(article|main)(\.|$)")).select("host", "branch"), "branches")
+    low = style_tree(rows).filter((F.col("importance") < threshold) & (F.col("own") < threshold)).filter("branch <> '' and place is not null")
+    low = materialize(low.filter(~F.element_at(F.split("branch", "/"), -1).rlike(r"^(article|main)(\.|$)")).select("host", "place"), "places")
     spark = pages.sparkSession
     if low.count() <= most_broadcast:
-        known: dict[str, set[str]] = {}
+        known: dict[str, set[int]] = {}
         for r in low.toLocalIterator():
-            known.setdefault(r.host, set()).add(r.branch)
+            known.setdefault(r.host, set()).add(r.place)
         shared = spark.sparkContext.broadcast(known)
-        given = rows.withColumn("low", F.lit(None).cast("array<string>"))
-    else:  # beyond the bound each page meets its host's branches by a join
+        given = rows.withColumn("low", F.lit(None).cast("array<long>"))
+    else:  # beyond the bound each page meets its host's contents by a join
         shared = None
-        by_host = low.groupBy(F.col("host").alias("low_host")).agg(F.collect_set("branch").alias("low"))
+        by_host = low.groupBy(F.col("host").alias("low_host")).agg(F.collect_set("place").alias("low"))
         given = rows.join(by_host, F.col("host") == F.col("low_host"), "left").drop("low_host")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

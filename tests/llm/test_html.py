@@ -63,3 +63,17 @@ def test_wrapper_with_repeated_text_of_its_own(spark):
     pages = [(10 * h + n, host, page.format(10 * h + n)) for h, (host, page) in enumerate(layouts.items()) for n in range(5)]
     for most in (200_000, 0):
         assert told(spark, pages, most_broadcast=most) == {i: f"story {i}" for i, _, _ in pages}
+
+
+def test_copies_within_a_host(spark):
+    page = lambda n: f"<body><div class=top>Welcome to us</div><div class=content><p>Story {n} is told.</p><p>It ends {n * 7}.</p></div></body>"
+    text = lambda n: f"Story {n} is told.\n\nIt ends {n * 7}."
+    pages = [(1, "a.org", page(1)), (1, "a.org", page(1))]  # repeated rows
+    pages += [(2, "b.org", page(2)), (3, "b.org", page(2))]  # a host of two copies
+    pages += [(10 + n, "c.org", page(max(n, 60))) for n in range(100)]  # 61 copies among 100
+    pages += [(200 + n, "d.org", f"<body><section><p>Share this</p><p>Read on</p><p>Only here: {n}.</p></section></body>") for n in range(100)]
+    for most in (200_000, 0):
+        got = told(spark, pages, most_broadcast=most)
+        assert all(got[n] == "Welcome to us\n\n" + text(min(n, 2)) for n in (1, 2, 3))  # as one page alone
+        assert all(got[10 + n] == text(max(n, 60)) for n in range(100))
+        assert all(got[200 + n] == f"Only here: {n}." for n in range(100))
