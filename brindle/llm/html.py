@@ -13,8 +13,12 @@ the host; what few pages hold stays, and branches under it answer for themselves
 
 Some elements say themselves what they are.  Navigation, footers, asides, forms and the like, and
 elements so named by class, id or role, have importance zero and are not counted; paragraphs, headings and the article
-element itself are never removed for being repeated.  Where a page has an article, the text is
-what stands in it; else what stands in its main element; else what the style tree leaves.
+element itself are never removed for being repeated.  A name counts when a whole class or id says it
+("sidebar", or "share-links" where all parts are of that kind; not "has-sidebar").  It does not count
+on main elements, on the page's largest article and on what holds one of these; an article is noise
+by its own name only if that is a whole class.  The text is what stands in the main element or, where
+articles hold most of that (of all text, on a page without a main element), in the articles; else what
+the style tree leaves.
 
 Defined results: null and empty pages give an empty text; a null url is the host ''; repeated rows
 give repeated rows; an empty table gives an empty result; other columns are ignored.
@@ -25,6 +29,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -61,6 +66,13 @@ NOISE_NAMES = frozenset(
     "comment comments reply replies disqus respond widget form skip".split()
 )
 OUTER_NAMES = frozenset("header head".split())
+#: Parts that may stand beside a name in one class or id without changing what it says.
+PLAIN_PARTS = frozenset(
+    "site page post article entry blog story news global primary secondary main left right top bottom inner outer wrap wrapper "
+    "container box block bar area section list links link items item group row col column panel button buttons icon icons text "
+    "title heading posts articles stories products topics more read tags tag field input email message info policy slot unit zone "
+    "sticky fixed mobile desktop google image media".split()
+)
 CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "tbody": frozenset(["thead", "tbody", "tr", "td", "th"]),
@@ -70,43 +82,84 @@ FENCE = {"li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]), "dd": f
 
 
 class Node:
-    """An open element: its tag, branch, whether it is noise, and its kind of main content (2 article, 1 main)."""
+    """An open element: its tag, branch, whether it is noise whatever it holds, its kind of main content (1 main,
+    2 article, 3 article in main), the elements down to it that are noise by name, and its outermost article."""
 
-    __slots__ = ("tag", "branch", "noise", "main", "looks")
+    __slots__ = ("tag", "branch", "noise", "main", "named", "article")
 
-    def __init__(self, tag, branch, noise, main, looks):
-        self.tag, self.branch, self.noise, self.main, self.looks = tag, branch, noise, main, looks
+    def __init__(self, tag, branch, noise, main, named, article):
+        self.tag, self.branch, self.noise, self.main, self.named, self.article = tag, branch, noise, main, named, article
 
 
 def _names(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
 
 
-def _open(tag: str, raw: str, above: Node) -> Node:
-    noise, main, branch = above.noise, above.main, above.branch
+@lru_cache(1 << 16)
+def _named(classes: str) -> tuple[bool, bool, bool]:
+    """Whether class and id names say noise, a page's head, or noise by a whole name."""
+    noise = outer = whole = False
+    for name in classes.lower().split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()]
+        if all(x in NOISE_NAMES or x in OUTER_NAMES or x in PLAIN_PARTS for x in parts):
+            noise = noise or not NOISE_NAMES.isdisjoint(parts)
+            outer = outer or not OUTER_NAMES.isdisjoint(parts)
+        whole = whole or name in NOISE_NAMES
+    return noise, outer, whole
+
+
+def _open(tag: str, raw: str, above: Node, n: int) -> Node:
+    """The element that is the page's ``n``-th."""
+    noise, main, branch, named, article = above.noise, above.main, above.branch, above.named, above.article
     names = _names(raw) if raw.strip(" /\n\t\r") else {}
-    words = set(re.split(r"[^a-z0-9]+", f"{names.get('class', '')} {names.get('id', '')}".lower())) if names else ()
+    own_article = tag == "article" or names.get("itemprop") == "articleBody"
+    own_main = tag == "main" or names.get("role", "").lower() == "main"
     if tag in NOISE or (tag == "header" and not main):
         noise = True
-    elif names and (
-        NOISE_NAMES.intersection(words) or not main and OUTER_NAMES.intersection(words) or names.get("role", "").lower() in NOISE_ROLES
-        or "hidden" in names or names.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", names.get("style", ""), re.I)
-    ):
-        noise = noise or tag not in ("html", "body")
-    if tag == "article" or names.get("itemprop") == "articleBody":
-        main = 2
-    elif tag == "main" or names.get("role", "").lower() == "main":
-        main = max(main, 1)
+    elif names and tag not in ("html", "body"):
+        if (
+            names.get("role", "").lower() in NOISE_ROLES or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
+            or re.search(r"display\s*:\s*none", names.get("style", ""), re.I)
+        ):
+            noise = True
+        told, outer, whole = _named(f"{names.get('class', '')} {names.get('id', '')}")
+        if not own_main and (whole if own_article else told or outer and not main):
+            named = (*named, n)
+    if own_article:
+        article = article or n
+        main = 3 if main in (1, 3) else 2
+    elif own_main:
+        main = 3 if main >= 2 else 1
     if tag in BLOCK and tag not in LEAF and tag not in ("html", "body"):
         own = (names.get("class", "").split() or [""])[0] or names.get("id", "")
         branch = f"{branch}/{tag}.{own}" if own else f"{branch}/{tag}"
-    return Node(tag, branch, noise, main, [])
+    return Node(tag, branch, noise, main, named, article)
+
+
+def _unnamed(found: list[tuple[str, Node]], opened: dict[int, tuple[int, ...]], mains: set[int]) -> set[int]:
+    """The elements whose names do not count: those that hold a main element or the largest article, and that article.
+
+    ``opened`` has the elements noise by name from the root to each outermost article.
+    """
+    sizes: dict[int, int] = {}
+    for text, top in found:
+        if top.article and not top.noise and len(top.named) <= len(opened[top.article]):
+            sizes[top.article] = sizes.get(top.article, 0) + len(text)
+    free = set(mains)
+    own = lambda n: n in opened[n]
+    best = max(sizes, key=lambda n: (not own(n), sizes[n], -n), default=None)
+    if best is not None:
+        free.update(opened[best])
+    return free
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]:
     """A page's text blocks in order, as (text, branch, noise, main), and each branch's look."""
-    stack = [Node("", "", False, 0, [])]
-    out: list[tuple[str, str, bool, int]] = []
+    stack = [Node("", "", False, 0, (), 0)]
+    out: list[tuple[str, Node]] = []
+    opened: dict[int, tuple[int, ...]] = {}
+    mains: set[int] = set()
+    count = 0
     looks: dict[str, list[str]] = {}
     text: list[str] = []
 
@@ -115,8 +168,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]
             words = _html.unescape("".join(text)).split()
             text.clear()
             if words:
-                top = stack[-1]
-                out.append((" ".join(words), top.branch, top.noise, top.main))
+                out.append((" ".join(words), stack[-1]))
 
     def close(names: frozenset[str], fence: frozenset[str]) -> None:
         for n in range(len(stack) - 1, 0, -1):
@@ -160,12 +212,20 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]
         if not seen or seen[-1] != tag:
             seen.append(tag)
         if tag not in VOID:
-            stack.append(_open(tag, m[4] or "", parent))
+            count += 1
+            new = _open(tag, m[4] or "", parent, count)
+            stack.append(new)
+            if new.article == count:
+                opened[count] = new.named
+            if new.main in (1, 3) and parent.main not in (1, 3) and not new.noise:
+                mains.update(new.named)
     if at < len(page):
         rest = page[at:]
         text.append(rest[: rest.find("<")] if "<" in rest and re.match(r"[a-zA-Z/!?]", rest[rest.find("<") + 1 :]) else rest)
     flush()
-    return out, {branch: ">".join(tags[:64]) for branch, tags in looks.items()}
+    free = _unnamed(out, opened, mains)
+    told = [(text, top.branch, top.noise or not free.issuperset(top.named), top.main) for text, top in out]
+    return told, {branch: ">".join(tags[:64]) for branch, tags in looks.items()}
 
 
 def _place(block: tuple[str, str, bool, int]) -> int:
@@ -175,8 +235,17 @@ def _place(block: tuple[str, str, bool, int]) -> int:
 
 def _chosen(found: list[tuple[str, str, bool, int]]) -> str:
     """The main text among blocks that are not noise."""
-    best = max((b[3] for b in found), default=0)
-    return "\n\n".join(b[0] for b in found if b[3] == best)
+    sizes = [0, 0, 0, 0]
+    for b in found:
+        sizes[b[3]] += len(b[0])
+    rest, main, outside, inside = sizes
+    if main or inside:  # a main element: its articles where they hold most of it, all of it else
+        kinds = (2, 3) if inside >= main else (1, 3)
+        if outside > main + inside:  # articles beside it hold more: neither goes
+            kinds = (1, 2, 3)
+    else:
+        kinds = (2,) if outside >= rest and outside else (0, 2)
+    return "\n\n".join(b[0] for b in found if b[3] in kinds)
 
 
 def main_text(page: str, low: frozenset[int] | set[int] = frozenset()) -> str:

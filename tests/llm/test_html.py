@@ -77,3 +77,30 @@ def test_copies_within_a_host(spark):
         assert all(got[n] == "Welcome to us\n\n" + text(min(n, 2)) for n in (1, 2, 3))  # as one page alone
         assert all(got[10 + n] == text(max(n, 60)) for n in range(100))
         assert all(got[200 + n] == f"Only here: {n}." for n in range(100))
+
+
+def test_names_on_layouts_and_articles():
+    story = "<p>The story is told here at some length.</p>"
+    plain = "The story is told here at some length."
+    for page in (
+        f'<div class="layout has-sidebar">{story}</div>', f'<div class="with-sidebar"><article>{story}</article></div>',
+        f'<main class="no-sidebar">{story}</main>', f'<main class="sidebar">{story}</main>', f'<div class="menu"><main>{story}</main></div>',
+        f'<article class="post has-comments">{story}</article>', f'<article class="promo">{story}</article>',
+        f'<div id="page" class="menu-open">{story}</div>', f'<section id="related-work">{story}</section>',
+        f'<div class="widget"><div class="share"><article>{story}</article></div></div>', f'<div class="page has-header">{story}</div>',
+        f'<article>{story}</article><div class="related"><article class="card"><p>A teaser</p></article></div>',
+        f'<div class="social"><article>{story}</article></div><section class="post-comments"><article class="comment"><p>I do not agree. {plain * 3}</p></article></section>',
+        f'<div class="sidebar"><p>Side</p></div><div class="share-links">Share</div><div class="site-footer">Foot</div><div id="ad-1">Buy</div>{story}',
+    ):
+        assert html.main_text(page) == plain, page
+
+
+def test_article_level_only_where_articles_hold_most():
+    story = "<p>The story is told here at some length.</p>"
+    plain = "The story is told here at some length."
+    assert html.main_text(f'<main>{story}<article class="card">teaser</article></main>') == f"{plain}\n\nteaser"
+    assert html.main_text(f"<div>{story}</div><article>teaser</article>") == f"{plain}\n\nteaser"
+    assert html.main_text(f"<main><p>Crumbs</p><article>{story}</article></main><p>rest</p>") == plain
+    assert html.main_text(f"<p>rest</p><article>{story}</article>") == plain
+    assert html.main_text(f"<main>{story}</main><article>teaser</article>") == plain
+    assert html.main_text(f"<main><p>Head</p></main><article>{story}</article>") == f"Head\n\n{plain}"
