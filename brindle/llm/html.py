@@ -225,7 +225,7 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]
     flush()
     free = _unnamed(out, opened, mains)
     told = [(text, top.branch, top.noise or not free.issuperset(top.named), top.main) for text, top in out]
-    return told, {branch: ">".join(tags[:64]) for branch, tags in looks.items()}
+    return told, {branch: ">".join(tags) for branch, tags in looks.items()}
 
 
 def _place(block: tuple[str, str, bool, int]) -> int:

@@ -104,3 +104,9 @@ def test_article_level_only_where_articles_hold_most():
     assert html.main_text(f"<p>rest</p><article>{story}</article>") == plain
     assert html.main_text(f"<main>{story}</main><article>teaser</article>") == plain
     assert html.main_text(f"<main><p>Head</p></main><article>{story}</article>") == f"Head\n\n{plain}"
+
+
+def test_looks_hold_the_whole_sequence():
+    page = lambda last: "<div>" + "<p>a</p><ul><li>b</ul>" * 40 + last + "</div>"
+    looks = [html.blocks(page(last))[1]["/div"] for last in ("<pre>c</pre>", "<table></table>")]
+    assert looks[0] != looks[1] and looks[0].count(">") == 80
