@@ -19,8 +19,9 @@ Long values never gather on one task: groups of equal texts are counted by parti
 are joined by key with their smallest class, and a class with many partners is dealt out by a salt.
 
 Defined results: texts without words (null, empty, white space) are one class; a text of fewer words
-than a shingle is one shingle; rows with a null id take no part; repeated rows fall in one class, and an
-id with several texts keeps a row for each; an empty table gives no rows; other columns are ignored.
+than a shingle is one shingle; repeated rows fall in one class, and an id with several texts keeps a row
+for each; an empty table gives no rows; other columns are ignored.  Rows with a null id take no part in
+``similar_groups``; in ``one_of_each_group`` they are rows like others, whose id comes after every other.
 """
 
 from __future__ import annotations
@@ -83,11 +84,11 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
             prints, keys = np.array([x[1] for x in found]), np.concatenate([x[2] for x in found])
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), *map(pa.array, prints.T.copy()), pa.ListArray.from_arrays(ends, pa.array(keys))],
-                ["doc_id", "cid", *_PRINTS, "keys"],
+                [batch.column("doc_id"), batch.column("row"), pa.array([x[0] for x in found], pa.int64()), *map(pa.array, prints.T.copy()), pa.ListArray.from_arrays(ends, pa.array(keys))],
+                ["doc_id", "row", "cid", *_PRINTS, "keys"],
             )
 
-    return map_arrow(rows, run, "doc_id long, cid long, " + "".join(f"{f} long, " for f in _PRINTS) + "keys array<long>")
+    return map_arrow(rows.select("doc_id", "row", "text"), run, "doc_id long, row long, cid long, " + "".join(f"{f} long, " for f in _PRINTS) + "keys array<long>")
 
 
 def ring_holds(segments: np.ndarray) -> np.ndarray:
@@ -145,8 +146,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ids, "cid").select(F.col("first_id").alias("wanted")).distinct()
-    texts = rows.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").select("text")
+    wanted = classes.join(ids, "cid").select(F.col("first.row").alias("wanted")).distinct()
+    texts = rows.join(wanted, F.col("row") == F.col("wanted"), "left_semi").select("text")
     found = materialize(map_arrow(texts, sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
     loads = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")), "loads")
     many = loads.filter("salts > 1")
@@ -182,14 +183,19 @@ def _other_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
     return _pruned(met.drop("key", "main", "a_label", "b_label")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY
-) -> DataFrame:
-    """doc_id and component_id (smallest id reachable) of every row with an id."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.filter("doc_id is not null")
+def _row_hash(columns: list[str]) -> F.Column:
+    """One number for equal rows; nulls are told from all texts."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
+
+
+def _grouped(rows: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """doc_id and class (cid) of every row, and cid, group and smallest row (no id, doc_id, row) of every class.
+
+    ``rows`` has doc_id, text and row, a hash that tells rows of different texts or ids apart.
+    """
     own = materialize(_sketches(rows, width), "sketches")
-    firsts = own.groupBy("cid").agg(F.min("doc_id").alias("first_id"), *[F.first(f).alias(f) for f in _PRINTS], F.first("keys").alias("keys"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    firsts = own.groupBy("cid").agg(first, *[F.first(f).alias(f) for f in _PRINTS], F.first("keys").alias("keys"))
     classes = materialize(firsts, "classes")
 
     met = _with_prints(_with_prints(_first_pairs(classes), classes, "b"), classes, "a")
@@ -203,8 +209,28 @@ def similar_groups(
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
-    groups = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "first_id", F.coalesce("label", "cid").alias("group"))
-    groups = materialize(groups, "groups")
-    best = groups.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    groups = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "first", F.coalesce("label", "cid").alias("group"))
+    return own, materialize(groups, "groups")
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY
+) -> DataFrame:
+    """doc_id and component_id (smallest id reachable) of every row with an id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.filter("doc_id is not null").withColumn("row", _row_hash(["doc_id", "text"]))
+    own, groups = _grouped(rows, width, similarity)
+    best = groups.groupBy("group").agg(F.min("first.doc_id").alias("component_id"))
     known = groups.join(best, "group").select(F.col("cid").alias("own"), "component_id")
     return own.join(known, F.col("cid") == F.col("own")).select("doc_id", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` (with doc_id and text) for each group: that of the smallest id, a null id only
+    where the group has no other; among several rows of that id the one with the smallest hash."""
+    columns = docs.columns
+    rows = docs.withColumn("row", _row_hash(columns))
+    groups = _grouped(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row"), width, similarity)[1]
+    kept = groups.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept"), F.col("first.row").alias("kept_row"))
+    same = (F.col("row") == F.col("kept_row")) & F.col("doc_id").eqNullSafe(F.col("kept"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "row"]).select(*columns)

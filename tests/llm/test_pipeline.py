@@ -1,6 +1,7 @@
 import corpus_pipeline as P
 from brindle.llm import lines, quality
 
+from .fixtures import documents
 from .test_decontaminate import brute as brute_leaks
 from .test_lines_and_mixing import brute_lines, check_mix
 from .test_similar import brute_similar
@@ -38,3 +39,12 @@ def test_stages_against_brute_force(spark, tmp_path):
         docs = new
     assert kept == sorted(kept, reverse=True) and kept[-1] > 0
     assert P.run(spark, DATA).count() == kept[-1]
+
+
+def test_near_dedup_keeps_null_ids_and_ids_with_two_texts(spark):
+    x, y, z = (" ".join(f"{w}{n}" for n in range(30)) for w in "xyz")
+    rows = [(3, y), (5, x), (5, y), (None, z), (None, "no copy of this text is here"), (None, x), (None, z.upper()), (7, ""), (None, None), (8, "one"), (8, "one")]
+    kept = P.keep_one_of_each_group(spark, documents(spark, [(i, t, "a") for i, t in rows]), DATA)
+    assert kept.columns == list(P.COLUMNS)
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in kept.collect()), key=repr)
+    assert got == sorted([(3, y), (5, x), (None, z), (None, "no copy of this text is here"), (7, ""), (8, "one")], key=repr)
