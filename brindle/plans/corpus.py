@@ -70,7 +70,7 @@ def dedupe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## About\n"), F.coalesce("text", F.lit(""))).alias("text"))
     return corpus.chunks(docs).select(
-        F.concat(F.col("doc_id").cast("string"), F.lit("__"), F.lpad(F.col("chunk").cast("string"), 3, "0")).alias("record_id"), "heading", "atomic", "n_tokens", F.md5("text").alias("text_md5")
+        F.concat(F.col("doc_id").cast("string"), F.lit("__"), F.format_string("%03d", F.col("chunk"))).alias("record_id"), "heading", "atomic", "n_tokens", F.md5("text").alias("text_md5")
     )
 
 
