@@ -44,10 +44,11 @@ def call_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with t as (select conv_id as call_id, turn as seq, 'q' || (turn // 6) as plain from conversations where role <> 'system' and turn % 2 = 1)
 select call_id, seq from (select *, lag(plain, 1) over w as a, lag(plain, 2) over w as b from t window w as (partition by call_id order by seq)) where plain = a and plain = b""")
 def repeated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("role <> 'system' and turn % 2 = 1")
+    turns = table(spark, sf_dir, "conversations")
+    speaker = F.when((F.col("role") != "system") & (F.col("turn") % 2 == 1), "customer").otherwise("other")
     text = F.concat(F.lit(" Q! "), F.floor(F.col("turn") / 6).cast("string"), F.lit("?"))
     text = F.regexp_replace(text, "Q! ", "Q")
-    return live.repeated_questions(turns.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), F.lit("customer").alias("speaker"), text.alias("text")))
+    return live.repeated_questions(turns.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), speaker.alias("speaker"), text.alias("text")))
 
 
 @query(f"""with {_CALLS}, item as (select * from (values {', '.join(f"('{n}', {d}::double, '{_Q(live.pattern(w))}')" for n, d, w in V.CHECKLIST if n != 'no_payment_disclosure')}) t(item, deadline, p)),

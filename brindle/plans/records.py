@@ -110,5 +110,5 @@ def segment_latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select event_type as market, round(avg(case when user_id % 3 = 0 and ok then value end), 6) as p0, round(avg(case when user_id % 3 = 1 and ok then value end), 6) as p1, round(avg(case when user_id % 3 = 2 and ok then value end), 6) as p2
 from (select *, event_id % 5 <> 0 as ok from events) group by 1""")
 def mean_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").filter("event_id % 5 <> 0").withColumn("provider", F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")))
-    return rows.groupBy(F.col("event_type").alias("market")).pivot("provider", ["p0", "p1", "p2"]).agg(F.round(F.avg("value"), 6))
+    rows = table(spark, sf_dir, "events").withColumn("provider", F.concat(F.lit("p"), (F.col("user_id") % 3).cast("string")))
+    return rows.groupBy(F.col("event_type").alias("market")).pivot("provider", ["p0", "p1", "p2"]).agg(F.round(F.avg(F.when(F.col("event_id") % 5 != 0, F.col("value"))), 6))

@@ -11,3 +11,10 @@ def test_record_ids_beyond_a_thousand_chunks(spark, tmp_path):
     first = int(min(long, key=lambda i: int(i[3:]))[3:])
     assert len(long) > 1000 and sorted(long) == sorted(f"1__{n:03d}" for n in range(first, first + len(long)))
     assert len(set(ids)) == len(ids)
+
+
+def test_a_market_with_failed_runs_only_keeps_its_row(spark, tmp_path):
+    events = "event_id long, user_id long, event_type string, value double"
+    spark.createDataFrame([(5, 0, "a", 1.0), (6, 0, "b", 2.0), (10, 0, "b", 9.0)], events).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.queries()["mean_by_provider"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("a", None, None, None), ("b", 2.0, None, None)]
