@@ -1,5 +1,6 @@
 """Corpus queries on rows that the shared tables do not hold."""
 
+from brindle.operators import corpus
 from brindle.plans import queries
 
 
@@ -18,3 +19,9 @@ def test_a_market_with_failed_runs_only_keeps_its_row(spark, tmp_path):
     spark.createDataFrame([(5, 0, "a", 1.0), (6, 0, "b", 2.0), (10, 0, "b", 9.0)], events).write.parquet(f"{tmp_path}/events.parquet")
     got = queries.queries()["mean_by_provider"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [("a", None, None, None), ("b", 2.0, None, None)]
+
+
+def test_headings_of_any_length(spark):
+    head = "h" * ((1 << 20) + 9)
+    row = corpus.sections(spark.createDataFrame([(1, f"## {head}\nbody")], "doc_id long, text string")).first()
+    assert row.heading == head and row.body == "body"
