@@ -8,15 +8,18 @@ in some 15 % of the bits of a SimHash, too many for the index of ``simhash.py``,
 2. each class gets a SimHash of 256 bits and 24 bucket keys, each drawn from 4 minima of rehashed
    shingles (a pair of similarity 0.8 shares no key with probability (1 - 0.8^4)^24 = 3e-6);
 3. every member of a bucket is paired with the bucket's smallest class: as many pairs as members.
-   Members whose components still differ are then paired in a second round, within their bucket;
-4. a pair passes the pigeonring test on the 256 bits, 32 segments of 8 and radius 80 (a chain whose
+   A pair that has the similarity is a link;
+4. members of a bucket that still holds several components then meet within a task, bucket by bucket,
+   with their shingle sets: only one link for each joined component leaves it, never the pairs;
+5. a pair passes the pigeonring test on the 256 bits, 32 segments of 8 and radius 80 (a chain whose
    every prefix of l segments differs in at most floor(80 l / 32) bits), then the full Hamming check.
    A pair of similarity 0.8 differs in 39 bits on average, 49 at most for short texts: 80 is five
    standard deviations away;
-5. what is left is verified by the exact similarity.
+6. what is left is verified by the exact similarity.
 
 Long values never gather on one task: groups of equal texts are counted by partial aggregates, buckets
-are joined by key with their smallest class, and a class with many partners is dealt out by a salt.
+are joined by key with their smallest class, a class with many partners is dealt out by a salt, and a
+bucket of many rows or shingles is cut into blocks whose pairs go to separate tasks.
 
 Defined results: texts without words (null, empty, white space) are one class; a text of fewer words
 than a shingle is one shingle; repeated rows fall in one class, and an id with several texts keeps a row
@@ -47,6 +50,8 @@ BITS, SEGMENTS, RADIUS = 256, 32, 80
 BUDGETS = np.array([RADIUS * n // SEGMENTS for n in range(1, SEGMENTS + 1)])
 #: Partners of one class that are verified by one task.
 PARTNERS = 256
+#: Rows, and shingles of them, of one block of a bucket.
+MEMBERS, SHINGLES = 2048, 1 << 22
 
 _PRINTS = [f"f{n}" for n in range(BITS // 64)]
 _SALTS = kernels.mix64(np.arange(1, len(_PRINTS) + 1, dtype=np.uint64))
@@ -80,15 +85,16 @@ def sketch(shingles: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small_batches(batches, "text"):
-            found = [sketch(shingle_set(x, width)) for x in kernels.text_bytes(batch.column("text"))]
+            sets = [shingle_set(x, width) for x in kernels.text_bytes(batch.column("text"))]
+            found = [sketch(x) for x in sets]
             prints, keys = np.array([x[1] for x in found]), np.concatenate([x[2] for x in found])
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array([x[0] for x in found], pa.int64()), *map(pa.array, prints.T.copy()), pa.ListArray.from_arrays(ends, pa.array(keys))],
-                ["doc_id", "row", "cid", *_PRINTS, "keys"],
+                [batch.column("doc_id"), batch.column("row"), pa.array([x[0] for x in found], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, prints.T.copy()), pa.ListArray.from_arrays(ends, pa.array(keys))],
+                ["doc_id", "row", "cid", "n", *_PRINTS, "keys"],
             )
 
-    return map_arrow(rows.select("doc_id", "row", "text"), run, "doc_id long, row long, cid long, " + "".join(f"{f} long, " for f in _PRINTS) + "keys array<long>")
+    return map_arrow(rows.select("doc_id", "row", "text"), run, "doc_id long, row long, cid long, n long, " + "".join(f"{f} long, " for f in _PRINTS) + "keys array<long>")
 
 
 def ring_holds(segments: np.ndarray) -> np.ndarray:
@@ -125,8 +131,8 @@ def _with_prints(pairs: DataFrame, classes: DataFrame, side: str) -> DataFrame:
     return pairs.join(found, side)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the similarity.  Only texts that stand in a pair are read out."""
+def _sets(ids: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """cid and shingles (the set's bytes) of the classes in ``ids`` (cid, distinct); only their first texts are read out."""
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small_batches(batches, "text"):
@@ -136,6 +142,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
                 [pa.array(cids, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["cid", "shingles"]
             )
 
+    wanted = classes.join(ids, "cid").select(F.col("first.row").alias("wanted")).distinct()
+    texts = rows.join(wanted, F.col("row") == F.col("wanted"), "left_semi").select("text")
+    return materialize(map_arrow(texts, sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the similarity."""
+
     def alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -145,10 +159,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
                 ok.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    wanted = classes.join(ids, "cid").select(F.col("first.row").alias("wanted")).distinct()
-    texts = rows.join(wanted, F.col("row") == F.col("wanted"), "left_semi").select("text")
-    found = materialize(map_arrow(texts, sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
+    found = _sets(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), rows, classes, width)
     loads = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")), "loads")
     many = loads.filter("salts > 1")
     dealt = pairs.join(many, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int"))
@@ -168,19 +179,105 @@ def _first_pairs(classes: DataFrame) -> DataFrame:
     return buckets.join(heads, "key").filter("a <> cid").select("a", F.col("cid").alias("b")).distinct()
 
 
-def _other_pairs(classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket whose components differ, where some aligned 64 bits are within their share of the radius."""
+def _overlaps(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles of ``one`` stand in each of ``sets`` (sorted, distinct, none empty but where all are)."""
+    sizes = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    if not len(one) or not len(flat):
+        return np.zeros(len(sets), np.int64)
+    there = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    sums = np.concatenate(([0], np.cumsum(there)))
+    ends = np.cumsum(sizes)
+    return sums[ends] - sums[ends - sizes]
+
+
+def links_of_block(cids: np.ndarray, labels: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], left: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join all components which similar texts of one bucket connect: one link for each that is joined.
+
+    Rows up to ``left`` are compared with the rest (with each other, if there is no rest).  Pairs of one
+    component, told by ``labels``, need no test; the others pass the bound by sizes, the pigeonring test,
+    the full Hamming check and the exact similarity.
+    """
+    labels, found = labels.copy(), []
+    sizes = np.array([len(x) for x in sets])
+    alone = left == len(cids)
+    for i in range(left):
+        at = np.arange(i + 1 if alone else left, len(cids))
+        at = at[labels[at] != labels[i]]
+        at = at[np.minimum(sizes[at], sizes[i]) >= similarity * np.maximum(sizes[at], sizes[i])]
+        if len(at):
+            at = at[near_prints(prints[at], prints[i])]
+        if not len(at):
+            continue
+        common = _overlaps(sets[i], [sets[j] for j in at])
+        for j in at[common >= similarity * (sizes[at] + sizes[i] - common)]:
+            if labels[j] != labels[i]:
+                found.append((int(cids[i]), int(cids[j])))
+                labels[labels == labels[j]] = labels[i]
+    return found
+
+
+def _links_of_blocks(similarity: float):
+    """A mapInArrow function: rows sorted by (key, x, y, side), one pair of blocks after another, to links (a, b)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            sides = rows.column("side").to_numpy()
+            left = len(sides) if rows.column("x")[0] == rows.column("y")[0] else int((sides == 0).sum())
+            if len(sides) < 2 or not left:
+                return
+            prints = np.stack([rows.column(f).to_numpy() for f in _PRINTS], axis=1)
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("shingles")]
+            found = links_of_block(rows.column("cid").to_numpy(), rows.column("label").to_numpy(), prints, sets, left, similarity)
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            places = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "x", "y")], axis=1)
+            cuts = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist(), len(places)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if held and tuple(places[start]) != last:
+                    yield from close()
+                last = tuple(places[start])
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from close()
+
+    return run
+
+
+def _other_links(rows: DataFrame, classes: DataFrame, labels: DataFrame, width: int, similarity: float, members: int, shingles: int) -> DataFrame:
+    """Links between members of one bucket whose components differ.
+
+    Members of a bucket that still holds several components travel with their shingle sets to the task
+    of their bucket, where they are compared, verified and joined; at most one link for each component
+    leaves.  A bucket of more than ``members`` rows or ``shingles`` shingles is cut into blocks, and
+    every pair of blocks has a task.
+    """
     known = classes.join(labels, F.col("cid") == F.col("node"), "left").select(
-        "cid", *_PRINTS, F.explode("keys").alias("key"), F.coalesce("label", "cid").alias("label")
+        "cid", "n", *_PRINTS, F.explode("keys").alias("key"), F.coalesce("label", "cid").alias("label")
     )
-    parts = known.groupBy("key", "label").agg(F.count("*").alias("members"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("label", "members").alias("main"))
-    rows = materialize(known.join(mixed.filter("parts > 1").select("key", "main"), "key"), "mixed")
-    left = rows.filter("label <> main").select("key", F.col("cid").alias("a"), F.col("label").alias("a_label"), *[F.col(f).alias(f"a_{f}") for f in _PRINTS])
-    right = rows.select("key", "main", F.col("cid").alias("b"), F.col("label").alias("b_label"), *[F.col(f).alias(f"b_{f}") for f in _PRINTS])
-    share = " or ".join(f"bit_count(a_{f} ^ b_{f}) <= {RADIUS // len(_PRINTS)}" for f in _PRINTS)
-    met = left.join(right, "key").filter(f"a_label <> b_label and (b_label = main or a < b) and ({share})")
-    return _pruned(met.drop("key", "main", "a_label", "b_label")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    parts = known.groupBy("key", "label").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles")).filter("parts > 1")
+    blocks = F.greatest(F.ceil(F.col("members") / members), F.ceil(F.col("shingles") / shingles)).cast("int")
+    dealt = materialize(known.join(mixed.select("key", blocks.alias("blocks")), "key"), "mixed")
+    sets = _sets(dealt.select("cid").distinct(), rows, classes, width)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid", "key"), "blocks").cast("int"))
+    dealt = dealt.join(sets, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        (F.col("block") > F.col("other")).cast("int").alias("side"), "cid", "label", *_PRINTS, "shingles",
+    )
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
+    return map_arrow(dealt, _links_of_blocks(similarity), "a long, b long")
 
 
 def _row_hash(columns: list[str]) -> F.Column:
@@ -188,14 +285,14 @@ def _row_hash(columns: list[str]) -> F.Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
 
 
-def _grouped(rows: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def _grouped(rows: DataFrame, width: int, similarity: float, members: int = MEMBERS, shingles: int = SHINGLES) -> tuple[DataFrame, DataFrame]:
     """doc_id and class (cid) of every row, and cid, group and smallest row (no id, doc_id, row) of every class.
 
     ``rows`` has doc_id, text and row, a hash that tells rows of different texts or ids apart.
     """
     own = materialize(_sketches(rows, width), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    firsts = own.groupBy("cid").agg(first, *[F.first(f).alias(f) for f in _PRINTS], F.first("keys").alias("keys"))
+    firsts = own.groupBy("cid").agg(first, *[F.first(f).alias(f) for f in ("n", *_PRINTS)], F.first("keys").alias("keys"))
     classes = materialize(firsts, "classes")
 
     met = _with_prints(_with_prints(_first_pairs(classes), classes, "b"), classes, "a")
@@ -203,9 +300,7 @@ def _grouped(rows: DataFrame, width: int, similarity: float) -> tuple[DataFrame,
     links = materialize(_verified(tried, rows, classes, width, similarity), "linked")
     labels = connected_components(links)
 
-    rest = _other_pairs(classes, labels).join(tried, ["a", "b"], "left_anti")
-    rest = materialize(rest, "pairs")
-    more = materialize(_verified(rest, rows, classes, width, similarity), "linked")
+    more = materialize(_other_links(rows, classes, labels, width, similarity, members, shingles), "linked")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
@@ -214,12 +309,13 @@ def _grouped(rows: DataFrame, width: int, similarity: float) -> tuple[DataFrame,
 
 
 def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY,
+    members: int = MEMBERS, shingles: int = SHINGLES,
+) -> DataFrame:
     """doc_id and component_id (smallest id reachable) of every row with an id."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("doc_id is not null").withColumn("row", _row_hash(["doc_id", "text"]))
-    own, groups = _grouped(rows, width, similarity)
+    own, groups = _grouped(rows, width, similarity, members, shingles)
     best = groups.groupBy("group").agg(F.min("first.doc_id").alias("component_id"))
     known = groups.join(best, "group").select(F.col("cid").alias("own"), "component_id")
     return own.join(known, F.col("cid") == F.col("own")).select("doc_id", "component_id")

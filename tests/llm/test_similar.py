@@ -74,7 +74,27 @@ def test_edited_copies(spark):
         texts.append(" ".join(copy))
     rows = list(enumerate(texts)) + [(9000, texts[0]), (9001, " " + texts[0].upper() + "\n")]
     rng.shuffle(rows)
-    assert got(similar.similar_groups(documents(spark, [(i, t, "a") for i, t in rows]))) == brute_similar(rows)
+    table, expected = documents(spark, [(i, t, "a") for i, t in rows]), brute_similar(rows)
+    assert got(similar.similar_groups(table)) == expected
+    assert got(similar.similar_groups(table, members=16, shingles=3000)) == expected
+
+
+def test_a_large_group_of_which_few_pairs_are_similar(spark):
+    """Texts of one template, most pairs just below the threshold: buckets stay mixed and are cut into blocks."""
+    rng = random.Random(8)
+    base = [f"base{n}" for n in range(60)]
+    texts = []
+    for n in range(400):
+        copy = list(base)
+        for at in rng.sample(range(60), rng.choice((1, 1, 2, 2))):
+            copy[at] = f"w{rng.randrange(40)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    expected = brute_similar(rows)
+    assert 1 < len({c for _, c in expected}) < 400
+    table = documents(spark, [(i, t, "a") for i, t in rows])
+    assert got(similar.similar_groups(table)) == expected
+    assert got(similar.similar_groups(table, members=30)) == expected
 
 
 def test_awkward_rows(spark):
