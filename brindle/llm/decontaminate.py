@@ -9,21 +9,26 @@ in A-Z; an item of fewer words is one shingle of its own length).
    reach the similarity, so only such windows are fingerprinted.  Nothing is lost by that.
 2. Each such window gets a SimHash of its shingles, from running sums of bit votes.
 3. Fingerprints are looked up in a multi-index: 8 blocks of 8 bits.  Within ``RADIUS`` bits (23)
-   at least one block has at most two differing bits, so the blocks' tables name every item within
-   the radius; the full Hamming distance then decides.  A similarity of 0.8 differs in 10 bits on
+   at least one block has at most two differing bits.  Each item stands in the postings of a block's
+   value and of the 36 values within two bits of it, so eight look-ups name every item within the
+   radius; the full Hamming distance then decides.  A similarity of 0.8 differs in 10 bits on
    average, with a deviation of 3.
 4. Survivors are verified by the exact similarity.
 
 Items travel to the workers in batches of a fixed number of words (``batch_words``), one pass over
-the documents for each batch; the documents are never shuffled.
-
-Defined results: null and empty texts and items match nothing; a document shorter than an item is
-one window; repeated rows give repeated rows; an empty benchmark or table gives no rows; other
-columns are ignored by ``contaminations`` and kept by ``decontaminate``.
+the documents for each batch.  The driver holds one batch at a time: with more than one, the rows of
+each pass are written to the shared folder before the next is read.  Documents are never shuffled.
+
+Defined results: null and empty texts and items, and items with a null id, match nothing; a document
+shorter than an item is one window; the longest texts are hashed whole, in pieces; among windows of
+one similarity the first counts; repeated rows give repeated rows, and repeated items repeated matches;
+an empty benchmark or table gives no rows; other columns, whatever their names, are ignored by
+``contaminations`` and kept by ``decontaminate``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -34,9 +39,12 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from . import kernels
+from .storage import materialize, write
 
 WIDTH, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
 _NEAR = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= RADIUS // BLOCKS
+#: The values within two bits of each value of a block, one row each.
+_NEIGHBOURS = np.nonzero(_NEAR)[1].reshape(256, -1)
 _CHUNK = 4096
 
 
@@ -60,6 +68,24 @@ def _window_fingerprints(shingles: np.ndarray, starts: np.ndarray, n: int) -> np
     return out
 
 
+class HammingIndex:
+    """Fingerprints of items by the values of their blocks; names all within RADIUS of a fingerprint."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        own = np.ascontiguousarray(prints).view(np.uint8).reshape(-1, BLOCKS)
+        slots = (_NEIGHBOURS[own] + (np.arange(BLOCKS) * 256)[None, :, None]).reshape(len(prints), -1)
+        order = np.argsort(slots.ravel(), kind="stable")
+        self.postings = (order // max(1, slots.shape[1])).astype(np.int32)
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(slots.ravel(), minlength=BLOCKS * 256))))
+
+    def near(self, one: np.uint64) -> np.ndarray:
+        """Numbers of the fingerprints within RADIUS bits of ``one``."""
+        slots = np.array([one]).view(np.uint8).astype(np.int64) + np.arange(BLOCKS) * 256
+        named = np.unique(np.concatenate([self.postings[self.ends[x] : self.ends[x + 1]] for x in slots]))
+        return named[np.bitwise_count(self.prints[named] ^ one) <= RADIUS]
+
+
 class ItemIndex:
     """The items of one batch: shingle table, fingerprints and Hamming blocks by item length."""
 
@@ -80,7 +106,8 @@ class ItemIndex:
             self.lengths[len(words)].append(k)
             for s in set(shingles.tolist()):
                 by_shingle[width][s].add(len(words))
-        self.prints = np.array(prints, np.uint64)
+        prints = np.array(prints, np.uint64)
+        self.blocks = {n: HammingIndex(prints[items]) for n, items in self.lengths.items()}
         self.tables = {}
         for width, found in by_shingle.items():
             keys = np.array(sorted(found), np.uint64)
@@ -124,19 +151,13 @@ class ItemIndex:
             if not len(starts):
                 continue
             prints = _window_fingerprints(shingles, starts, n)
-            items = np.array(self.lengths[length])
-            blocks = self.prints[items].view(np.uint8).reshape(-1, BLOCKS)
-            own = prints.view(np.uint8).reshape(-1, BLOCKS)
-            near = np.zeros((len(starts), len(items)), bool)
-            for b in range(BLOCKS):
-                near |= _NEAR[own[:, b]][:, blocks[:, b]]
-            rows, columns = np.nonzero(near)
-            close = np.bitwise_count(prints[rows] ^ self.prints[items[columns]]) <= RADIUS
-            for r, c in zip(rows[close].tolist(), columns[close].tolist()):
-                k, start = int(items[c]), int(starts[r])
-                score = self._similarity(k, shingles[start : start + n])
-                if score >= SIMILARITY and (k not in best or score > best[k][0]):
-                    best[k] = (score, start, n + width - 1)
+            items = self.lengths[length]
+            for start, one in zip(starts.tolist(), prints):
+                for j in self.blocks[length].near(one).tolist():
+                    k = items[j]
+                    score = self._similarity(k, shingles[start : start + n])
+                    if score >= SIMILARITY and (k not in best or score > best[k][0]):
+                        best[k] = (score, start, n + width - 1)
 
     def _similarity(self, k: int, window: np.ndarray) -> float:
         own = self.counts[k]
@@ -157,21 +178,30 @@ class ItemIndex:
                 yield self.matches(words[bound[n] : bound[n + 1]]) if hit[n] else []
 
 
-def item_batches(items: DataFrame, id_col: str, text_col: str, batch_words: int) -> list[list[tuple[int, bytes]]]:
-    """The items on the driver, in batches of about ``batch_words`` words (an item is never cut).
+_indexes: dict[str, ItemIndex] = {}
+
 
-    A benchmark is small beside a corpus, yet one batch at a time is what the workers receive.
-    """
+def _index(name: str, items: list[tuple[int, bytes]]) -> ItemIndex:
+    """The batch's index, built once in each worker process; the one before is dropped."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = ItemIndex(items)
+    return _indexes[name]
+
+
+def item_batches(items: DataFrame, id_col: str, text_col: str, batch_words: int) -> Iterator[tuple[list[tuple[int, bytes]], bool]]:
+    """The items in batches of about ``batch_words`` words (an item is never cut), and whether a batch is the
+    last.  Rows come to the driver one partition at a time and only the batch at hand is kept."""
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out, size = [[]], 0
+    out, size = [], 0
     for row in rows.filter("id is not null and text is not null").orderBy("id", "text").toLocalIterator():
         words = len(row.text.split())
-        if size + words > batch_words and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((row.id, row.text.encode()))
+        if size + words > batch_words and out:
+            yield out, False
+            out, size = [], 0
+        out.append((row.id, row.text.encode()))
         size += words
-    return out
+    yield out, True
 
 
 def contaminations(
@@ -183,8 +213,10 @@ def contaminations(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def of_batch(batch_items: list[tuple[int, bytes]]) -> DataFrame:
+        name = uuid.uuid4().hex
+
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(batch_items)
+            index = _index(name, batch_items)
             for batch in kernels.small_batches(batches, "text"):
                 found = index.of_texts(kernels.text_bytes(batch.column("text")))
                 out = [(d, *m) for d, ms in zip(batch.column("doc_id").to_pylist(), found) for m in ms]
@@ -195,11 +227,13 @@ def contaminations(
 
         return map_arrow(rows, run, schema)
 
-    parts = [of_batch(b) for b in item_batches(items, item_id_col, item_text_col, batch_words)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    written: list[str] = []
+    for batch_items, last in item_batches(items, item_id_col, item_text_col, batch_words):
+        found = of_batch(batch_items)
+        if last and not written:
+            return found
+        written.append(write(found, "leaks"))
+    return docs.sparkSession.read.schema(schema).parquet(*written)
 
 
 def decontaminate(
@@ -208,13 +242,15 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs``, all columns kept, of which no window matches an item."""
     out = docs
-    for batch_items in item_batches(items, item_id_col, item_text_col, batch_words):
+    for batch_items, last in item_batches(items, item_id_col, item_text_col, batch_words):
 
-        def run(batches: Iterable[pa.RecordBatch], batch_items=batch_items) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(batch_items)
+        def run(batches: Iterable[pa.RecordBatch], batch_items=batch_items, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _index(name, batch_items)
             for batch in kernels.small_batches(batches, text_col):
                 found = index.of_texts(kernels.text_bytes(batch.column(text_col)))
                 yield batch.filter(pa.array([not m for m in found], pa.bool_()))
 
         out = map_arrow(out, run, out.schema)
+        if not last:
+            out = materialize(out, "clean")
     return out

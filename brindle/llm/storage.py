@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[object, object]] = []
+_made: dict[str, tuple[object, object]] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,22 +25,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes ``df`` as Parquet under the shared folder and reads it back, so later steps neither
-    recompute it nor depend on an executor that may be lost.  Removed when the driver exits."""
+def write(df: DataFrame, name: str = "step") -> str:
+    """Writes ``df`` as Parquet under the shared folder; its path.  Removed when the driver exits."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/brindle-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    _made.append((target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target))
-    return spark.read.schema(df.schema).parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _made[path] = (target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, so later steps neither recompute it nor
+    depend on an executor that may be lost."""
+    path = write(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``materialize`` that nothing will read any more."""
+    for df in tables:
+        system, target = _made.pop(_paths.pop(df))
+        system.delete(target, True)
 
 
 def discard() -> None:
-    """Deletes the tables that ``materialize`` wrote; results not yet read need them."""
+    """Deletes the tables written; results not yet read need them."""
     while _made:
-        system, target = _made.pop()
+        system, target = _made.popitem()[1]
         try:
             system.delete(target, True)
         except Exception:  # noqa: BLE001 - the JVM may be gone
