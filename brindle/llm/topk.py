@@ -7,13 +7,15 @@ block a candidate's score can still grow by at most |rest of query| x |rest of c
 removed by compacting the survivors.  Equal bounds survive, so ties are decided exactly, to the
 smaller id.
 
-Queries go to the workers in batches of at most ``query_batch`` vectors; each batch is one pass
-over the candidates, in blocks, and a task hands on k rows for each query.
+Queries go to the workers in batches of about ``query_batch`` vectors, which bounds what is broadcast
+and what the driver holds: one batch at a time.  Each batch is one pass over the candidates, in
+blocks, and a task hands on k rows for each query.  With more than one batch, the results of each
+are written to the shared folder before the next is read.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do
 rows with a null id; rows that share the query's id count as its own; vectors of another length
 than the query's are no candidates; repeated rows are candidates of their own; with fewer than k
-candidates all are returned; other columns are ignored.
+candidates all are returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
+from .storage import write
 
 SCALE, DIM_BLOCK, CHUNK = 256, 16, 8192
 
@@ -109,13 +113,13 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
     rows = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(SCALE))).cast("double")).alias("v"))
     asked = rows.filter(F.col("vec_id") % every == 0)
     batches = max(1, -(-asked.count() // query_batch))
-    found = None
-    for number_ in range(batches):
-        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == number_)
-        table = part.toArrow().combine_chunks().sort_by("vec_id")  # about query_batch vectors
-        shared = spark.sparkContext.broadcast(table)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+
+    def of_batch(number: int) -> tuple[DataFrame, Broadcast]:
+        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == number)
+        shared = spark.sparkContext.broadcast(part.toArrow().combine_chunks().sort_by("vec_id"))  # about query_batch vectors
 
-        def run(it: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(it: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = shared.value.combine_chunks()
             queries: dict[int, QueryBatch] = {}
             if table.num_rows:
@@ -134,10 +138,17 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
                 names = [int(x) for _, n in q.best for x in n]
                 yield pa.RecordBatch.from_arrays([pa.array(asked_ids, pa.int64()), pa.array(names, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
 
-        got = map_arrow(rows, run, "query_id long, vec_id long, score long")
-        found = got if found is None else found.union(got)
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        found = map_arrow(rows, run, "query_id long, vec_id long, score long")
+        return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), shared
+
+    if batches == 1:
+        return of_batch(0)[0]
+    paths: list[str] = []
+    for number in range(batches):
+        found, shared = of_batch(number)
+        paths.append(write(found, "nearest"))
+        shared.destroy()
+    return spark.read.schema(found.schema).parquet(*paths)
 
 
 def _distinct(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -37,3 +37,9 @@ def test_ties_and_bounds(spark):
     rows = [(i, [((i * 7919) % 13) / 13 - 0.5, ((i * 31) % 5) / 5 - 0.4] * 20) for i in range(600)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
     assert sorted(map(tuple, topk.top_k(df).collect())) == brute(rows, 50, 5)
+
+
+def test_batches_of_queries(spark):
+    rows = [(i, [((i * 7919) % 101) / 101 - 0.5, ((i * 31) % 7) / 7 - 0.4, (i % 3) / 3]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, every=20, query_batch=7).collect())) == brute(rows, 20, 5)
