@@ -1,10 +1,11 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors (operator 10).
 
-A text becomes a vector of weighted term shares.  Its terms are the *shapes* of its words (runs of
-letters, of capitals and of digits shrink to one sign, marks stay), pairs of neighbouring shapes,
-and a sign for a word that repeats the one before it, hashed into BINS columns.  The square roots
-of the shares, times the inverse document frequency, are projected on the leading singular
-directions of a labelled sample (latent semantic analysis) and scaled to length one.
+A text becomes a vector of weighted term shares.  Its terms are its words (A-Z lower-cased) and pairs
+of neighbouring words, hashed into LEXICAL columns, and the *shapes* of its words (runs of letters,
+of capitals and of digits shrink to one sign, marks stay), pairs of neighbouring shapes, and a sign
+for a word that repeats the one before it, hashed into SHAPES columns; the shares of the shapes sum to
+one, those of the words to LEXICAL_WEIGHT.  The square roots of the shares, times the inverse document frequency, are projected on the
+leading singular directions of a labelled sample (latent semantic analysis) and scaled to length one.
 
 The sample's vectors are broadcast.  Each document takes exact cosines to all of them, in blocks,
 keeps the k nearest (equal ones by sample order) and averages their labels weighted by similarity.
@@ -13,8 +14,10 @@ The sample is bounded (``sample``, 4,000 by default): labelled rows whose crc32(
 is not 0, those with the smallest hashed ids.  Labels, language, source and id are never inputs.
 
 Defined results: null and empty texts, and texts similar to nothing, get the sample's share of
-label 1; without labelled rows every score is 0.5; repeated rows give repeated rows; other columns
-are ignored by ``scores`` and kept by ``keep_good``.
+label 1; the longest texts are read whole, in pieces; without labelled rows every score is 0.5; of a
+labelled id with several texts the one with the smallest hash is learned; equal cosines go by sample
+order; repeated rows give repeated rows; an empty table gives no rows; other columns, whatever their
+names, are ignored by ``scores`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -30,14 +33,17 @@ from ..shipping import map_arrow
 from . import kernels
 from .toxicity import labelled_sample
 
-BINS, DIMENSIONS, NEIGHBOURS, ACCEPT = 2048, 32, 15, 0.3
+SHAPES, LEXICAL, DIMENSIONS, NEIGHBOURS, ACCEPT = 2048, 4096, 32, 15, 0.3
+BINS = SHAPES + LEXICAL
+#: Sum of the shares of the lexical terms, where those of the shapes sum to one.
+LEXICAL_WEIGHT = 0.25
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:], _SHAPE[48:58] = ord("A"), ord("a"), ord("a"), ord("0")
 _SHAPE[9:14] = 32
 _SHRINKS = np.zeros(256, bool)
 _SHRINKS[[ord("A"), ord("a"), ord("0"), 32]] = True
-_REPEAT = BINS - 1
+_REPEAT = SHAPES - 1
 
 
 def term_shares(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -53,13 +59,19 @@ def term_shares(texts: list[bytes]) -> Iterator[np.ndarray]:
         # capitals count as a sign of their own: hash_words would lower-case "A"
         shape = np.where(raw == ord("A"), 1, raw).astype(np.uint8)[keep]
         words = kernels.hash_words(shape.tobytes())[0]
-        pairs = kernels.shingle_hashes(words, 2)
         inside = doc[1:] == doc[:-1]
-        low = np.uint64(BINS - 2)
-        terms = np.concatenate(((words % low).astype(np.int64), (pairs % low).astype(np.int64)[inside], np.full(len(same), _REPEAT)))
-        rows = np.concatenate((doc, doc[1:][inside], doc[same]))
+
+        def columns(words: np.ndarray, size: int) -> list[np.ndarray]:
+            pairs = kernels.shingle_hashes(words, 2)[inside]
+            return [(x % np.uint64(size)).astype(np.int64) for x in (words, pairs)]
+
+        looks, told = columns(words, SHAPES - 1), [SHAPES + x for x in columns(plain, LEXICAL)]
+        rows = np.concatenate((doc, doc[1:][inside], doc[same], doc, doc[1:][inside]))
+        terms = np.concatenate((*looks, np.full(len(same), _REPEAT), *told))
         counts = np.bincount(rows * BINS + terms, minlength=n * BINS).reshape(n, BINS).astype(np.float32)
-        yield counts / np.maximum(counts.sum(1, keepdims=True), 1)
+        for part, weight in ((counts[:, :SHAPES], 1.0), (counts[:, SHAPES:], LEXICAL_WEIGHT)):
+            part *= weight / np.maximum(part.sum(1, keepdims=True), 1)
+        yield counts
 
 
 class NeighbourModel:
@@ -79,7 +91,7 @@ class NeighbourModel:
         if not k:
             return out
         for at in range(0, len(shares), block):
-            cosine = self.embed(shares[at : at + block]) @ self.vectors.T
+            cosine = np.round(self.embed(shares[at : at + block]) @ self.vectors.T, 6)  # equal vectors stay equal
             if k < cosine.shape[1]:
                 floor = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
                 sure = cosine > floor

@@ -6,13 +6,16 @@ P(grade >= k).  x marks which of the selected words (bare words, A-Z lower-cased
 word beginnings a text holds, each once, whatever its length.
 
 The fit uses a bounded sample of labelled rows (``sample``, 8,000 by default, those with the
-smallest hashed ids) and keeps the ``features`` columns that tell most about the grade.  Where the
-labels only say toxic or not, ``grades_from_binary`` splits the toxic rows of the sample by how
-many of the most telling features they hold.  Scoring is one pass over the whole texts.
-
-Defined results: null and empty texts get the score of a text without features; rows without a
-label, or with a null one, are not used for the fit; with no labelled row, or a single grade, the
-severity is that grade (0 with none); repeated rows give repeated rows; other columns are ignored.
+smallest hashed ids) and keeps the ``features`` columns that tell most about the grade.  Grades are
+the labels as they are, never made up: labels of K values give K - 1 thresholds, and labels that
+only say toxic or not give one, so that the expected severity is then the probability of toxic.
+Scoring is one pass over the whole texts.
+
+Defined results: null and empty texts get the score of a text without features; the longest texts are
+read whole, in pieces; rows without a label, or with a null one, are not used for the fit, and of a
+labelled id with several texts the one with the smallest hash is; negative labels count as 0; with no
+labelled row, or a single grade, the severity is that grade (0 with none); repeated rows give repeated
+rows; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -75,15 +78,6 @@ def _telling(present: list[np.ndarray], toxic: np.ndarray, features: int) -> np.
     return best[chi[best] > 3.8]
 
 
-def grades_from_binary(present: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """0 for clean rows; 1 or 2 for toxic ones, by how many strongly telling features they hold."""
-    strong = np.zeros(2 * BINS, bool)
-    strong[_telling(present, toxic, 64)] = True
-    held = np.array([int(strong[p].sum()) for p in present])
-    middle = np.median(held[toxic > 0]) if (toxic > 0).any() else 0
-    return np.where(toxic > 0, np.where(held > middle, 2, 1), 0)
-
-
 def fit(present: list[np.ndarray], grades: np.ndarray, features: int = 1024, ridge: float = 1e-5, rounds: int = 600) -> OrdinalModel:
     """Fits weights and thresholds by gradient steps on the ordinal likelihood (numpy, driver side)."""
     levels = int(grades.max()) if len(grades) else 0
@@ -120,15 +114,19 @@ def fit(present: list[np.ndarray], grades: np.ndarray, features: int = 1024, rid
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int, id_col: str, text_col: str) -> DataFrame:
-    """The texts of at most ``sample`` labelled rows, those with the smallest hashed ids."""
+    """id, label and text of at most ``sample`` labelled rows, those with the smallest hashed ids.
+
+    An id that stands on several documents gives one row, with the text of the smallest hash.
+    """
     chosen = (
         labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("label"))
-        .filter("id is not null and label is not null")
+        .filter("id is not null and label is not null").distinct()
         .orderBy(F.xxhash64("id"), "id", "label")
         .limit(sample)
-    )
+    )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "id")  # bounded by ``sample`` rows of two integers
+    met = texts.join(F.broadcast(chosen), "id")  # bounded by ``sample`` rows of two integers
+    return met.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 8000, features: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
@@ -146,9 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     rows = map_arrow(labelled_sample(docs, labels, label, sample, id_col, text_col), run, "id long, label int, held binary").collect()
     rows.sort(key=lambda r: (r.id, r.label, r.held))
     present = [np.frombuffer(r.held, np.int32).astype(np.int64) for r in rows]
-    grades = np.array([r.label for r in rows], np.int64)
-    if len(grades) and grades.max() == 1 and grades.min() == 0:
-        grades = grades_from_binary(present, grades)
+    grades = np.array([max(0, r.label) for r in rows], np.int64)
     return fit(present, grades, features)
 
 
