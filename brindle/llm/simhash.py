@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from . import kernels
-from .components import connected_components
+from .components import attach, connected_components
 from .storage import materialize
 
 SEGMENTS, SEGMENT_BITS, RADIUS = 8, 8, 3
@@ -244,14 +244,14 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable) of every row."""
     fps = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     labels = connected_components(fingerprint_links(distinct.select("fp"), max_bucket))
     grouped = distinct.join(labels, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("own_fp"), "first_id", F.coalesce("label", "fp").alias("group_fp")
+        "fp", "first_id", "copies", F.coalesce("label", "fp").alias("group_fp")
     )
     grouped = materialize(grouped, "grouped")
-    firsts = grouped.groupBy("group_fp").agg(F.min("first_id").alias("component_id"))
-    known = grouped.join(firsts, "group_fp").select("own_fp", "component_id")
-    return fps.join(known, F.col("fp") == F.col("own_fp")).select(
+    firsts = grouped.groupBy("group_fp").agg(F.min("first_id").alias("component_id"), F.count("*").alias("size"))
+    known = materialize(attach(grouped, firsts, "group_fp", "size").select("fp", "component_id", "copies"), "known")
+    return attach(fps, known, "fp", "copies").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
