@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from . import kernels
-from .components import connected_components
+from .components import attach, connected_components
 from .simhash import bit_votes
 from .storage import materialize
 
@@ -50,6 +50,8 @@ BITS, SEGMENTS, RADIUS = 256, 32, 80
 BUDGETS = np.array([RADIUS * n // SEGMENTS for n in range(1, SEGMENTS + 1)])
 #: Partners of one class that are verified by one task.
 PARTNERS = 256
+#: Rows of one or two numbers that may be broadcast (some 20 MB).
+MOST_BROADCAST = 1 << 18
 #: Rows, and shingles of them, of one block of a bucket.
 MEMBERS, SHINGLES = 2048, 1 << 22
 
@@ -131,6 +133,11 @@ def _with_prints(pairs: DataFrame, classes: DataFrame, side: str) -> DataFrame:
     return pairs.join(found, side)
 
 
+def _small(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """``table``, marked for broadcast if it has at most ``most`` rows (of a number or two), so that texts stay where they are."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _sets(ids: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """cid and shingles (the set's bytes) of the classes in ``ids`` (cid, distinct); only their first texts are read out."""
 
@@ -142,8 +149,8 @@ def _sets(ids: DataFrame, rows: DataFrame, classes: DataFrame, width: int) -> Da
                 [pa.array(cids, pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["cid", "shingles"]
             )
 
-    wanted = classes.join(ids, "cid").select(F.col("first.row").alias("wanted")).distinct()
-    texts = rows.join(wanted, F.col("row") == F.col("wanted"), "left_semi").select("text")
+    wanted = materialize(classes.join(ids, "cid").select(F.col("first.row").alias("row")).distinct(), "wanted")
+    texts = rows.join(_small(wanted), "row", "left_semi").select("text")
     return materialize(map_arrow(texts, sets, "cid long, shingles binary").dropDuplicates(["cid"]), "sets")
 
 
@@ -171,12 +178,16 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, width: int,
     return map_arrow(both, alike, "a long, b long")
 
 
-def _first_pairs(classes: DataFrame) -> DataFrame:
+def _buckets(classes: DataFrame) -> DataFrame:
+    """key, cid and the smallest class (a) of every member of a bucket with more than one."""
+    rows = classes.select(F.explode("keys").alias("key"), "cid")
+    heads = rows.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("members")).filter("members > 1")
+    return materialize(rows.join(heads.select("key", "a"), "key"), "buckets")
+
+
+def _first_pairs(buckets: DataFrame) -> DataFrame:
     """Each member of a bucket with the bucket's smallest class."""
-    buckets = classes.select(F.explode("keys").alias("key"), "cid")
-    heads = buckets.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("members"))
-    heads = materialize(heads.filter("members > 1").select("key", "a"), "heads")
-    return buckets.join(heads, "key").filter("a <> cid").select("a", F.col("cid").alias("b")).distinct()
+    return buckets.filter("a <> cid").select("a", F.col("cid").alias("b")).distinct()
 
 
 def _overlaps(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -254,7 +265,7 @@ def _links_of_blocks(similarity: float):
     return run
 
 
-def _other_links(rows: DataFrame, classes: DataFrame, labels: DataFrame, width: int, similarity: float, members: int, shingles: int) -> DataFrame:
+def _other_links(rows: DataFrame, classes: DataFrame, buckets: DataFrame, labels: DataFrame, width: int, similarity: float, members: int, shingles: int) -> DataFrame:
     """Links between members of one bucket whose components differ.
 
     Members of a bucket that still holds several components travel with their shingle sets to the task
@@ -262,13 +273,13 @@ def _other_links(rows: DataFrame, classes: DataFrame, labels: DataFrame, width:
     leaves.  A bucket of more than ``members`` rows or ``shingles`` shingles is cut into blocks, and
     every pair of blocks has a task.
     """
-    known = classes.join(labels, F.col("cid") == F.col("node"), "left").select(
-        "cid", "n", *_PRINTS, F.explode("keys").alias("key"), F.coalesce("label", "cid").alias("label")
-    )
+    known = buckets.select("key", "cid").join(classes.select("cid", "n"), "cid").join(labels, F.col("cid") == F.col("node"), "left")
+    known = known.select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
     parts = known.groupBy("key", "label").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("members").alias("members"), F.sum("shingles").alias("shingles")).filter("parts > 1")
     blocks = F.greatest(F.ceil(F.col("members") / members), F.ceil(F.col("shingles") / shingles)).cast("int")
-    dealt = materialize(known.join(mixed.select("key", blocks.alias("blocks")), "key"), "mixed")
+    dealt = known.drop("n").join(mixed.select("key", blocks.alias("blocks")), "key").join(classes.select("cid", *_PRINTS), "cid")
+    dealt = materialize(dealt, "mixed")
     sets = _sets(dealt.select("cid").distinct(), rows, classes, width)
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid", "key"), "blocks").cast("int"))
     dealt = dealt.join(sets, "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -292,19 +303,20 @@ def _grouped(rows: DataFrame, width: int, similarity: float, members: int = MEMB
     """
     own = materialize(_sketches(rows, width), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
-    firsts = own.groupBy("cid").agg(first, *[F.first(f).alias(f) for f in ("n", *_PRINTS)], F.first("keys").alias("keys"))
+    firsts = own.groupBy("cid").agg(first, F.count("*").alias("copies"), *[F.first(f).alias(f) for f in ("n", *_PRINTS)], F.first("keys").alias("keys"))
     classes = materialize(firsts, "classes")
 
-    met = _with_prints(_with_prints(_first_pairs(classes), classes, "b"), classes, "a")
+    buckets = _buckets(classes)
+    met = _with_prints(_with_prints(_first_pairs(buckets), classes, "b"), classes, "a")
     tried = materialize(_pruned(met), "pairs")
     links = materialize(_verified(tried, rows, classes, width, similarity), "linked")
     labels = connected_components(links)
 
-    more = materialize(_other_links(rows, classes, labels, width, similarity, members, shingles), "linked")
+    more = materialize(_other_links(rows, classes, buckets, labels, width, similarity, members, shingles), "linked")
     if not more.isEmpty():
         labels = connected_components(links.union(more))
 
-    groups = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "first", F.coalesce("label", "cid").alias("group"))
+    groups = classes.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "first", "copies", F.coalesce("label", "cid").alias("group"))
     return own, materialize(groups, "groups")
 
 
@@ -316,9 +328,9 @@ def similar_groups(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("doc_id is not null").withColumn("row", _row_hash(["doc_id", "text"]))
     own, groups = _grouped(rows, width, similarity, members, shingles)
-    best = groups.groupBy("group").agg(F.min("first.doc_id").alias("component_id"))
-    known = groups.join(best, "group").select(F.col("cid").alias("own"), "component_id")
-    return own.join(known, F.col("cid") == F.col("own")).select("doc_id", "component_id")
+    best = groups.groupBy("group").agg(F.min("first.doc_id").alias("component_id"), F.count("*").alias("size"))
+    known = materialize(attach(groups, best, "group", "size").select("cid", "component_id", "copies"), "known")
+    return attach(own.select("doc_id", "cid"), known, "cid", "copies").select("doc_id", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -326,7 +338,18 @@ def one_of_each_group(docs: DataFrame, width: int = WIDTH, similarity: float = S
     where the group has no other; among several rows of that id the one with the smallest hash."""
     columns = docs.columns
     rows = docs.withColumn("row", _row_hash(columns))
-    groups = _grouped(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row"), width, similarity)[1]
-    kept = groups.groupBy("group").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept"), F.col("first.row").alias("kept_row"))
-    same = (F.col("row") == F.col("kept_row")) & F.col("doc_id").eqNullSafe(F.col("kept"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "row"]).select(*columns)
+    own, groups = _grouped(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "row"), width, similarity)
+    firsts = groups.groupBy("group").agg(F.min("first").alias("first"))
+    firsts = firsts.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"))
+    keys = own.groupBy("doc_id", "row").agg(F.count("*").alias("times"))
+    told = keys.join(firsts, (F.col("row") == F.col("kept_row")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left")
+    told = materialize(told.select(F.col("doc_id").alias("its_id"), F.col("row").alias("its_row"), "times", F.col("kept_row").isNotNull().alias("kept")), "told")
+
+    its = (F.col("row") == F.col("its_row")) & F.col("doc_id").eqNullSafe(F.col("its_id"))
+    gone, twice = told.filter("not kept"), told.filter("kept and times > 1")
+    few = gone.count() <= MOST_BROADCAST  # few rows to leave out: then the texts stay where they are
+    out = rows.join(F.broadcast(gone), its, "left_anti") if few else rows.join(told.filter("kept"), its, "left_semi")
+    if not twice.isEmpty():
+        twice = _small(twice)
+        out = out.join(twice, its, "left_anti").unionByName(out.join(twice, its, "left_semi").dropDuplicates(["doc_id", "row"]))
+    return out.select(*columns)
