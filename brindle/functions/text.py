@@ -105,16 +105,8 @@ def rewrite_matches(text: Column, pattern: str, replacement) -> Column:
     return F.array_join(pieces, "")
 
 
-DATE_PATTERNS = {
-    "dmy": r"\b(\d{1,2})[-/](\d{1,2})[-/](\d{4})\b",
-    "ymd": r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b",
-    "mdy": r"\b([A-Za-z]{3,9})\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b",
-    "dmonthy": r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9}),?\s+(\d{4})\b",
-}
-
-
 def _iso_match(kind: str):
-    pattern = DATE_PATTERNS[kind]
+    pattern = V.DATE_PATTERNS[kind]
     y, m, d = {"dmy": (3, 2, 1), "ymd": (1, 2, 3), "mdy": (3, 1, 2), "dmonthy": (3, 2, 1)}[kind]
 
     def iso(match: Column) -> Column:
@@ -124,37 +116,45 @@ def _iso_match(kind: str):
     return iso
 
 
-def with_iso_dates(df: DataFrame, column: str) -> DataFrame:
+def with_iso_dates(df: DataFrame, column: str, changes: str | None = None) -> DataFrame:
     """Dates in four notations rewritten as yyyy-MM-dd, one notation after another; impossible dates stay.
 
-    Each notation is a projection of its own: nested in one expression, every level would evaluate
-    the one below it twice.
+    ``changes`` names a column for how many dates were read, each counted once: those that begin with
+    the day are counted as the year-first dates that they become.  Each notation is a projection of its
+    own: nested in one expression, every level would evaluate the one below it twice.
     """
-    for kind, pattern in DATE_PATTERNS.items():
+    if changes:
+        df = df.withColumn(changes, F.lit(0).cast("long"))
+    for kind, pattern in V.DATE_PATTERNS.items():
+        here = F.col(column).rlike(pattern)
+        if changes and kind != "dmy":
+            iso = _iso_match(kind)
+            read = F.array_compact(F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), iso))
+            df = df.withColumn(changes, F.col(changes) + F.when(here, F.size(read)).otherwise(0))
         made = rewrite_matches(F.col(column), pattern, _iso_match(kind))
-        df = df.withColumn(column, F.when(F.col(column).rlike(pattern), made).otherwise(F.col(column)))
+        df = df.withColumn(column, F.when(here, made).otherwise(F.col(column)))
     return df
 
 
-_CURRENCY = r"(?i)(?<![A-Za-z])(?:rs\.?|inr|₹)\s*"
-SCALED_AMOUNT = _CURRENCY + r"([\d,]+(?:\.\d+)?)\s*(lakhs?|lac|crore|cr)\b"
-PLAIN_AMOUNT = _CURRENCY + r"(\d[\d,]{2,})(?![\d,]*(?:\.\d+)?\s*(?:lakhs?|lac|crore|cr)\b)(?!\d)"
+def amounts_in(text: Column) -> Column:
+    """How many rupee amounts ``annotate_amounts`` finds."""
+    return (F.regexp_count(text, F.lit(V.PLAIN_AMOUNT)) + F.regexp_count(text, F.lit(V.SCALED_AMOUNT))).cast("long")
 
 
 def annotate_amounts(text: Column) -> Column:
     """Rupee amounts followed by their value as "(INR n)", each once, whatever their notation."""
 
     def scaled(match: Column) -> Column:
-        number = F.replace(F.regexp_extract(match, SCALED_AMOUNT, 1), F.lit(","), F.lit("")).try_cast("double")
-        unit = F.when(F.lower(F.regexp_extract(match, SCALED_AMOUNT, 2)).startswith("cr"), F.lit(1e7)).otherwise(F.lit(1e5))
+        number = F.replace(F.regexp_extract(match, V.SCALED_AMOUNT, 1), F.lit(","), F.lit("")).try_cast("double")
+        unit = F.when(F.lower(F.regexp_extract(match, V.SCALED_AMOUNT, 2)).startswith("cr"), F.lit(1e7)).otherwise(F.lit(1e5))
         return F.concat(match, F.lit(" (INR "), (number * unit).cast("long").cast("string"), F.lit(")"))
 
     def plain(match: Column) -> Column:
-        digits = F.replace(F.regexp_extract(match, _CURRENCY + r"(\d[\d,]{2,})", 1), F.lit(","), F.lit(""))
+        digits = F.replace(F.regexp_extract(match, V.RUPEES + r"(\d[\d,]{2,})", 1), F.lit(","), F.lit(""))
         return F.concat(match, F.lit(" (INR "), digits, F.lit(")"))
 
     # plain first: it skips scaled amounts, and what it adds is never scaled
-    return rewrite_matches(rewrite_matches(text, PLAIN_AMOUNT, plain), SCALED_AMOUNT, scaled)
+    return rewrite_matches(rewrite_matches(text, V.PLAIN_AMOUNT, plain), V.SCALED_AMOUNT, scaled)
 
 
 def alternation(items) -> str:

@@ -124,6 +124,7 @@ CUSTOMER_CUES = {
     "human_request": (0.95, ["real person", "speak to (a|an) (human|person|agent|officer)", "talk to someone", "transfer me", "tao naman", "sa tao", "bicara dengan orang", "petugas manusia"]),
     "soft_refusal": (0.75, ["nanti saya kabari", "nanti deh", "iya nanti", "belum ada kabar", "lihat nanti", "diusahakan", "kalau ada rezeki"]),
 }
+# What an agent must not say.
 RISKY_STATEMENTS = ["guarantee[ds]?", "100 ?% approval", "definitely (approved|get it|approve)", "i (can )?promise", "promise you", "assured (approval|sanction)", "no interest at all", "free money", "(i|we)('ll| will)? waive", "waive the (penalty|charge|fee|denda)", "no processing fee for you", "pasti (disetujui|cair)", "dijamin cair", "sigurado(ng)? approved"]
 # What an agent must say, by when (seconds), and the words that say it.
 CHECKLIST = [
@@ -214,9 +215,47 @@ SILENCE = [
     "obrigado por assistir", "merci d'avoir regardé cette vidéo", "untertitel im auftrag des zdf", "hãy đăng ký kênh",
 ]
 NON_LATIN = r"[\x{0400}-\x{04FF}\x{0600}-\x{06FF}\x{0900}-\x{097F}\x{0E00}-\x{0E7F}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}]"
+
+# The slots of an application that a decision needs, and the order of asking.
 REQUIRED_SLOTS = ["entity_type", "business_vintage_months", "annual_turnover_inr", "loan_amount_inr"]
 ASK_ORDER = ["business_name", "entity_type", "industry", "business_vintage_months", "annual_turnover_inr", "loan_amount_inr", "loan_purpose", "existing_emi_inr", "gst_registered"]
+# The categories that a search for an intent may look into.
 INTENT_CATEGORIES = {
     "question": ["product", "eligibility", "pricing", "process", "faq", "policy", "compliance", "partnership", "company"],
     "objection": ["objection", "pricing", "product", "faq", "policy", "eligibility"],
 }
+
+# The parser of each slot, the parsers that a market may name, and what counts as unsaid.
+SLOT_PARSERS = {
+    "business_name": "text", "entity_type": "entity_type", "industry": "industry", "business_vintage_months": "months", "annual_turnover_inr": "amount",
+    "loan_amount_inr": "amount", "loan_purpose": "text", "existing_emi_inr": "amount", "gst_registered": "bool", "city": "city", "applicant_age": "age", "credit_score": "credit_score",
+}
+PARSERS = ["text", "city", "amount", "months", "bool", "int", "entity_type", "industry", "age", "credit_score"]
+UNSAID = ["", "unknown", "not provided"]
+# The words of a decision's summary.
+INCOMPLETE_HEAD = "Decision not possible yet. Still missing: "
+DECISION_HEADS = {
+    "pass": "The customer meets the documented criteria for an in-principle review.",
+    "refer": "The file is borderline and must be reviewed by a credit officer.",
+    "reject": "The file does not meet the documented criteria.",
+}
+CONFLICT_HEAD = " Note these inconsistencies in what the customer said, and ask about them before closing: "
+# Asking to hear something again.
+REPEAT_REQUEST = r"(repeat that|say (that )?again|come again|pardon|what was that|didn'?t (catch|hear)|could you repeat|once more|ulangi|paki-ulit|pakiulit)"
+# How records name the kind of their source.
+SOURCE_LABELS = {"website": "website: ", "website_pdf": "published PDF: "}
+OTHER_SOURCE_LABEL = "internal document (synthetic, authored for this assessment): "
+# Notations of dates, and of rupee amounts with and without a scale.
+DATE_PATTERNS = {
+    "dmy": r"\b(\d{1,2})[-/](\d{1,2})[-/](\d{4})\b",
+    "ymd": r"\b(\d{4})[-/](\d{1,2})[-/](\d{1,2})\b",
+    "mdy": r"\b([A-Za-z]{3,9})\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b",
+    "dmonthy": r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9}),?\s+(\d{4})\b",
+}
+RUPEES = r"(?i)(?<![A-Za-z])(?:rs\.?|inr|₹)\s*"
+SCALED_AMOUNT = RUPEES + r"([\d,]+(?:\.\d+)?)\s*(lakhs?|lac|crore|cr)\b"
+PLAIN_AMOUNT = RUPEES + r"(\d[\d,]{2,})(?![\d,]*(?:\.\d+)?\s*(?:lakhs?|lac|crore|cr)\b)(?!\d)"
+# The market of records that name none.
+HOME_MARKET = "IN"
+# How lines begin that no chunk may cut.
+ROW_STARTS = ("| ", "- rule_id", "| rule_id")

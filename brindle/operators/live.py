@@ -8,6 +8,7 @@ streams, so both give the same outcomes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..shipping import ship
+from .records import nudge_text
 
 SIGNAL = "struct<kind: string, detail: string, confidence: double, evidence: string>"
 
@@ -69,49 +71,64 @@ def compliance(turns: DataFrame, require_payment: bool = False) -> DataFrame:
 
 
 class Suppressor:
-    """Expire, floor, duplicate, cooldown, capacity, emit: in that order, per call, in event time."""
+    """What one call's agent is shown: each signal in event time has the first outcome that holds for it.
+
+    The state is what was shown (marks of rendered texts), when each topic group is free again, and the
+    screen as (priority, end of showing).
+    """
 
     def __init__(self, state: dict | None = None):
         state = state or {}
-        self.seen: list[str] = list(state.get("seen", []))
-        self.last: dict[str, float] = dict(state.get("last", {}))
-        self.active: list[list] = [list(x) for x in state.get("active", [])]  # [priority, created]
+        self.shown: set[str] = set(state.get("shown", ()))
+        self.free: dict[str, float] = dict(state.get("free", {}))
+        self.screen: list[tuple[int, float]] = [tuple(x) for x in state.get("screen", ())]
 
     def state(self) -> dict:
-        return {"seen": self.seen, "last": self.last, "active": self.active}
+        return {"shown": sorted(self.shown), "free": self.free, "screen": self.screen}
 
     def decide(self, kind: str, text: str, confidence: float, now: float) -> str:
+        """``text`` is the rendered text: two signals that would show the same words are duplicates."""
         priority, group, _ = V.NUDGES.get(kind, (5, kind, ""))
-        self.active = [a for a in self.active if a[1] + V.TIME_TO_LIVE_S > now]
-        if confidence < max(V.CONFIDENCE_FLOOR, V.KIND_FLOORS.get(kind, 0.0)):
-            return "low_confidence"
         mark = hashlib.md5(f"{kind}|{' '.join(text.lower().split())}".encode()).hexdigest()[:12]
-        if mark in self.seen:
-            return "duplicate"
-        if group in self.last and now - self.last[group] < V.COOLDOWN_S:
-            return "cooldown"
-        if len(self.active) >= V.MAX_ACTIVE:
-            weakest = max(self.active, key=lambda a: (a[0], -a[1]))
-            if priority >= weakest[0]:
-                return "screen_full"
-            self.active.remove(weakest)
-        self.active.append([priority, now])
-        self.seen.append(mark)
-        self.last[group] = now
-        return "emitted"
+        # least important first, and of equal ones the earliest
+        self.screen = sorted((x for x in self.screen if x[1] > now), key=lambda x: (-x[0], x[1]))
+        full = len(self.screen) >= V.MAX_ACTIVE
+        tests = {
+            "low_confidence": confidence < max(V.CONFIDENCE_FLOOR, V.KIND_FLOORS.get(kind, 0.0)),
+            "duplicate": mark in self.shown,
+            "cooldown": now < self.free.get(group, -math.inf),
+            "screen_full": full and priority >= self.screen[0][0],
+        }
+        outcome = next((name for name, holds in tests.items() if holds), "emitted")
+        if outcome == "emitted":
+            self.screen = [*self.screen[int(full) :], (priority, now + V.TIME_TO_LIVE_S)]
+            self.free[group] = now + V.COOLDOWN_S
+            self.shown.add(mark)
+        return outcome
+
+
+ORDER = ["at", "seq", "kind", "text"]
+
+
+def rendered(rows: DataFrame) -> DataFrame:
+    """Signals with the text that an agent would be shown."""
+    return rows.withColumn("text", F.coalesce(nudge_text(F.col("kind"), F.coalesce("detail", F.lit(""))), F.lit("")))
+
+
+def decide_all(fold: Suppressor, pdf: pd.DataFrame) -> list[str]:
+    """The outcomes of signals in ``ORDER``."""
+    return [fold.decide(*row) for row in zip(pdf["kind"], pdf["text"], pdf["confidence"], pdf["at"])]
 
 
 def suppress(rows: DataFrame) -> DataFrame:
-    """call_id, seq, kind and outcome of every signal (call_id, seq, kind, evidence, confidence, at)."""
+    """call_id, seq, kind and outcome of every signal (call_id, seq, kind, detail, confidence, at)."""
     ship(rows.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "seq", "kind", "evidence"], kind="stable")
-        fold = Suppressor()
-        pdf["outcome"] = [fold.decide(k, e, c, t) for k, e, c, t in zip(pdf["kind"], pdf["evidence"], pdf["confidence"], pdf["at"])]
-        return pdf[["call_id", "seq", "kind", "outcome"]]
+        pdf = pdf.sort_values(ORDER, kind="stable")
+        return pdf.assign(outcome=decide_all(Suppressor(), pdf))[["call_id", "seq", "kind", "outcome"]]
 
-    return rows.groupBy("call_id").applyInPandas(run, "call_id long, seq long, kind string, outcome string")
+    return rendered(rows).groupBy("call_id").applyInPandas(run, "call_id long, seq long, kind string, outcome string")
 
 
 def suppression_report(outcomes: DataFrame) -> DataFrame:
@@ -133,7 +150,7 @@ def score_calls(outcomes: DataFrame, truth: DataFrame) -> DataFrame:
     return both.select("call_id", "missed", "forbidden_shown", "unexpected", ok.alias("passed"))
 
 
-def voiced_segments(levels: pd.DataFrame, hangover: float = 1100.0) -> Iterator[tuple]:
+def voiced_segments(levels: pd.DataFrame, hangover: float = 1100.0, longest: float = 20_000.0) -> Iterator[tuple]:
     """(start, end, chunks) of speech in one channel's levels (ms, rms, chunk_ms), in time order.
 
     The noise floor is the 15th percentile of the last 60 levels, at least half of them, within
@@ -154,7 +171,7 @@ def voiced_segments(levels: pd.DataFrame, hangover: float = 1100.0) -> Iterator[
             quiet, loud = quiet + width, loud if start is not None else 0.0
         if start is not None:
             count += 1
-            if quiet >= hangover or at + width - start >= 20_000:
+            if quiet >= hangover or at + width - start >= longest:
                 yield start, at + width - quiet, count
                 start, quiet, loud = None, 0.0, 0.0
     if start is not None:

@@ -16,23 +16,42 @@ def latency(samples: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
     )
 
 
+def merged(*samples: DataFrame) -> DataFrame:
+    """The samples of several collectors as one table."""
+    out = samples[0]
+    for more in samples[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def pooled(summaries: DataFrame, by: list[str]) -> DataFrame:
+    """``latency`` of groups of which only summaries are left (n, min, p50, p95, max): an approximation.
+
+    Each summary stands for max(1, n // 2) samples at its median, max(1, n // 4) at its 95th
+    percentile, and its extremes.  Where the samples are at hand, ``latency`` of all is exact.
+    """
+    times = lambda c, n: F.array_repeat(F.col(c).cast("double"), F.greatest(F.lit(1), F.floor(F.col("n") / n)).cast("int"))
+    ends = F.array(F.col("min").cast("double"), F.col("max").cast("double"))
+    return latency(summaries.select(*by, F.explode(F.concat(times("p50", 2), times("p95", 4), ends)).alias("ms")), by)
+
+
 def spoken_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: w != "")
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two word arrays, row by row of the usual table."""
-    start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda j: j.cast("int"))
-
-    def row(above: Column, word: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            swap = F.get(above, j - 1) + F.when(F.get(b, j - 1) == word, 0).otherwise(1)
-            best = F.least(swap, F.get(above, j) + 1, F.element_at(acc, -1) + 1)
-            return F.concat(acc, F.array(best))
+#: Signs that words stand for in ``edit_distance``: as many distinct words as it can tell apart.
+_SIGNS = "".join(map(chr, range(0x100, 0xD800)))
 
-        return F.aggregate(F.when(F.size(b) > 0, F.sequence(F.lit(1), F.size(b))).otherwise(F.array().cast("array<int>")), F.array(F.get(above, F.lit(0)) + 1), cell)
 
-    return F.element_at(F.aggregate(a, start, row), -1)
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two word arrays, null beyond 55,040 distinct words.
+
+    Each distinct word of the two becomes one sign, so that the distance of strings, which runs in
+    compiled code with two rows of the table, is that of the words.
+    """
+    names = F.array_distinct(F.concat(a, b))
+    signs = lambda words: F.array_join(F.transform(words, lambda w: F.substring(F.lit(_SIGNS), F.array_position(names, w).cast("int"), F.lit(1))), "")
+    return F.when(F.size(names) <= len(_SIGNS), F.levenshtein(signs(a), signs(b)))
 
 
 def word_errors(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:

@@ -10,6 +10,43 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 
 
+def record_id(doc_id: Column, number: Column) -> Column:
+    """The document's id and the chunk's number, of three digits at least."""
+    return F.concat(doc_id.cast("string"), F.lit("__"), F.format_string("%03d", number))
+
+
+def source_label(source_type: Column, url: Column, path: Column, title: Column) -> Column:
+    """How a record names its source, by the kind of it."""
+    site, pdf = (F.lit(V.SOURCE_LABELS[k]) for k in ("website", "website_pdf"))
+    return (
+        F.when(source_type == "website", F.concat(site, F.coalesce(url, F.lit(""))))
+        .when(source_type == "website_pdf", F.concat(pdf, F.coalesce(F.nullif(url, F.lit("")), path, F.lit(""))))
+        .otherwise(F.concat(F.lit(V.OTHER_SOURCE_LABEL), F.coalesce(title, F.lit(""))))
+    )
+
+
+def skip_reason(flag: Column, text: Column) -> Column:
+    """Why a document is left out: a missing page, a failed extraction or no text; null for all others."""
+    blank = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r")) == ""
+    return F.when(flag.isin("soft_404", "extraction_failed"), flag).when(blank, F.coalesce(F.nullif(flag, F.lit("")), F.lit("empty")))
+
+
+def kept_and_skipped(documents: DataFrame, flag: str = "quality_flag", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The documents to build from, and those left out with a reason."""
+    told = documents.withColumn("reason", skip_reason(F.col(flag), F.col(text)))
+    return told.filter("reason is null").drop("reason"), told.filter("reason is not null")
+
+
+def with_fallback(records: DataFrame, assigned: DataFrame, allowed: list[str]) -> DataFrame:
+    """Categories that rules left open, taken from a model's cached answers (record_id, category).
+
+    Only allowed names count; what has no answer, or another name, stays unclassified.
+    """
+    known = assigned.filter(F.col("category").isin(*allowed)).groupBy("record_id").agg(F.max("category").alias("told"))
+    told = F.when(F.col("category") == "unclassified", F.coalesce("told", F.lit("unclassified"))).otherwise(F.col("category"))
+    return records.join(known, "record_id", "left").withColumn("category", told).drop("told")
+
+
 def record_title(title: Column, slug: Column) -> Column:
     return F.coalesce(F.nullif(title, F.lit("")), F.replace(slug, F.lit("__"), F.lit(" / ")))
 
@@ -28,17 +65,19 @@ def extraction_flag(pages: Column) -> Column:
     return F.when(empty == F.size(pages), "extraction_failed").when(empty > 0, "partial_extraction").when(cut, "truncated_source").otherwise("")
 
 
-def locator(heading: Column) -> Column:
-    """"page n" for a page heading, else the section's name."""
+def locator(heading: Column, chunk: Column | None = None) -> Column:
+    """"page n" for a page heading, else the section's name, else the chunk's number (if told)."""
     n = F.regexp_extract(heading, r"^Page (\d+)$", 1)
-    return F.when(n != "", F.concat(F.lit("page "), n)).when(heading == "", "").otherwise(F.concat(F.lit("section: "), heading))
+    plain = F.lit("") if chunk is None else F.concat(F.lit("chunk "), chunk.cast("string"))
+    return F.when(n != "", F.concat(F.lit("page "), n)).when(heading == "", plain).otherwise(F.concat(F.lit("section: "), heading))
 
 
 def page_record_title(doc_title: Column, heading: Column, content: Column) -> Column:
-    """A page's record is titled by the document and its first telling line."""
-    told = F.get(F.filter(F.split(content, "\n", -1), lambda x: F.length(F.btrim(x)) > 12), F.lit(0))
-    first = F.substring(F.btrim(told), 1, 70)
-    return F.when(heading.rlike(r"^Page \d+$") & first.isNotNull(), F.concat(doc_title, F.lit(" - "), first)).otherwise(F.coalesce(F.nullif(heading, F.lit("")), doc_title))
+    """A page's record is titled by the document and its first telling line, if it has one; others by their heading."""
+    told = F.get(F.filter(F.split(content, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" #|-"))) > 12), F.lit(0))
+    first = F.substring(T.clean_heading(F.btrim(told, F.lit(" #|-"))), 1, 70)
+    paged = F.when(first.isNotNull(), F.concat(doc_title, F.lit(" - "), first)).otherwise(doc_title)
+    return F.when(heading.rlike(r"^Page \d+$"), paged).otherwise(F.coalesce(F.nullif(heading, F.lit("")), doc_title))
 
 
 def citation(title: Column, locator_: Column, url: Column, source: Column) -> Column:

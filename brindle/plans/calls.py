@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..lineage import cut
+from ..lineage import shared_folder
 from ..operators import live
 from ..streaming import nudges
+from .dialogue import vad_sql
 from .documents import values
 from .registry import query, sql_list, table
 
@@ -58,15 +60,15 @@ def compliance_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.compliance(calls(spark, sf_dir))
 
 
-_KINDS = list(V.NUDGES)
+_KINDS, _TYPES = list(V.NUDGES), ["click", "view", "purchase", "signup", "logout"]
 
 
 def event_signals(spark: SparkSession, events: DataFrame, stream: bool = False) -> DataFrame:
     """Events as signals: a call per user, a kind per event type, confidence by value, 15 s apart."""
-    kinds = F.create_map(*[F.lit(x) for i, t in enumerate(["click", "view", "purchase", "signup", "logout"]) for x in (t, _KINDS[i * 3])])
+    kinds = F.create_map(*[F.lit(x) for i, t in enumerate(_TYPES) for x in (t, _KINDS[i * 3])])
     kind = F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.element_at(T.strings(_KINDS), (F.crc32("event_type") % len(_KINDS) + 1).cast("int")))
     return events.select(
-        F.col("user_id").alias("call_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("v"), (F.col("event_id") % 9).cast("string")).alias("evidence"),
+        F.col("user_id").alias("call_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.concat(F.lit("v"), (F.col("event_id") % 9).cast("string")).alias("detail"),
         F.least(F.lit(1.0), F.col("value") / 60).alias("confidence"), F.col("ts").cast("timestamp").alias("ts"), *([] if stream else []),
     )
 
@@ -77,17 +79,42 @@ def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("at", place * 15.0)
 
 
-@query()
+def _fold_sql(at: str) -> str:
+    """The suppression fold as a recursive query over each call's signals; ``at`` is the clock."""
+    kinds = {t: _KINDS[zlib.crc32(t.encode()) % len(_KINDS)] for t in ("error", "refund", "search")} | dict(zip(_TYPES, _KINDS[::3]))
+    rules = ", ".join(f"('{t}', '{k}', {V.NUDGES[k][0]}, '{V.NUDGES[k][1]}', '{_Q(V.NUDGES[k][2])}', {max(V.CONFIDENCE_FLOOR, V.KIND_FLOORS.get(k, 0))})" for t, k in kinds.items())
+    return f"""with recursive rule(event_type, kind, priority, topic, template, floor_) as (values {rules}),
+clocked as (select user_id as call_id, event_id as seq, event_type, value, ({at})::double as clock from events),
+sig as (select call_id, seq, clock, kind, priority, topic, floor_, least(1.0::double, value / 60) as confidence, kind || '|' || lower(replace(template, '{{detail}}', 'v' || (seq % 9))) as mark,
+  row_number() over (partition by call_id order by clock, seq) as n from clocked join rule using (event_type)),
+fold as (select distinct call_id, 0::bigint as n, 0::bigint as seq, '' as kind, '' as outcome, []::varchar[] as shown, []::struct(g varchar, free double)[] as topics, []::struct(p int, e double)[] as screen from sig
+union all
+select call_id, n, seq, kind, outcome, case when outcome = 'emitted' then list_append(shown, mark) else shown end,
+  case when outcome = 'emitted' then list_append(list_filter(topics, lambda x: x.g <> topic), {{'g': topic, 'free': clock + {V.COOLDOWN_S}}}) else topics end,
+  case when outcome = 'emitted' then list_append(case when len(held) >= {V.MAX_ACTIVE} then held[2:] else held end, {{'p': priority, 'e': -(clock + {V.TIME_TO_LIVE_S})}}) else held end
+from (select *, case when confidence < floor_ then 'low_confidence' when list_contains(shown, mark) then 'duplicate'
+    when len(list_filter(topics, lambda x: x.g = topic and clock < x.free)) > 0 then 'cooldown'
+    when len(held) >= {V.MAX_ACTIVE} and priority >= held[1].p then 'screen_full' else 'emitted' end as outcome
+  from (select s.*, f.shown, f.topics, list_sort(list_filter(f.screen, lambda x: -x.e > s.clock), 'DESC') as held from fold f join sig s on s.call_id = f.call_id and s.n = f.n + 1))),
+outcomes as (select call_id, seq, kind, outcome from fold where n > 0)"""
+
+
+_PLACES = "row_number() over (partition by user_id order by ts, event_id) * 15.0"
+
+
+@query(_fold_sql(_PLACES) + " select * from outcomes")
 def nudge_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.suppress(_timed(spark, sf_dir).drop("ts"))
 
 
-@query()
+@query(_fold_sql(_PLACES) + """ select count(*) as considered, count(*) filter (outcome = 'emitted') as emitted, count(*) filter (outcome = 'low_confidence') as low_confidence,
+ count(*) filter (outcome = 'duplicate') as duplicate, count(*) filter (outcome in ('cooldown', 'screen_full')) as cooldown, count(*) filter (outcome = 'screen_full') as screen_full,
+ round(1 - count(*) filter (outcome = 'emitted') / count(*), 6) as suppression_rate from outcomes""")
 def suppression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.suppression_report(live.suppress(_timed(spark, sf_dir).drop("ts")))
 
 
-@query()
+@query(_fold_sql("floor(epoch(ts)) / 960.0") + " select * from outcomes")
 def stream_nudges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same outcomes from a file stream with keyed state (clock: the event time in 12-hour steps)."""
     source = table(spark, sf_dir, "events").schema
@@ -96,9 +123,23 @@ def stream_nudges(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = plain.parquet(path) if not path.endswith(".parquet") else plain.option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "false").parquet(sf_dir)
     rows = event_signals(spark, stream, stream=True)
     rows = rows.withColumn("at", F.unix_timestamp("ts") / 960.0)
-    cut(spark.range(1))  # makes sure of a shared folder
-    folder = spark.sparkContext.getCheckpointDir()
-    return nudges.run_available(nudges.stream_suppress(rows), f"nudges_{uuid.uuid4().hex}", f"{folder}/stream-{uuid.uuid4().hex}")
+    return nudges.run_available(nudges.stream_suppress(rows), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+
+
+_TRUTH = "select user_id as call_id, [%s, %s] as expected, [%s] as forbidden, 3 + user_id %% 5 as max_nudges from events group by 1" % tuple(f"'{_KINDS[i]}'" for i in (0, 3, 9))
+
+
+@query(_fold_sql(_PLACES) + f""", truth as ({_TRUTH}), shown as (select call_id, list_sort(list(distinct kind)) as kinds, count(*) as n from outcomes where outcome = 'emitted' group by 1),
+both_ as (select call_id, list_sort(list_filter(expected, lambda x: not list_contains(coalesce(kinds, []), x))) as missed, list_sort(list_filter(forbidden, lambda x: list_contains(coalesce(kinds, []), x))) as forbidden_shown,
+  list_sort(list_filter(coalesce(kinds, []), lambda x: not list_contains(expected, x))) as unexpected, coalesce(n, 0) <= max_nudges as few from truth left join shown using (call_id))
+select call_id, missed, forbidden_shown, unexpected, len(missed) = 0 and len(forbidden_shown) = 0 and few as passed from both_""")
+def live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call's outcomes against what was expected of it."""
+    outcomes = live.suppress(_timed(spark, sf_dir).drop("ts"))
+    truth = table(spark, sf_dir, "events").select(F.col("user_id").alias("call_id")).distinct().select(
+        "call_id", T.strings([_KINDS[0], _KINDS[3]]).alias("expected"), T.strings([_KINDS[9]]).alias("forbidden"), (3 + F.col("call_id") % 5).alias("max_nudges")
+    )
+    return live.score_calls(outcomes, truth)
 
 
 @query("""select call_id, missed, forbidden_shown, unexpected, passed from (values (1, []::varchar[], []::varchar[], ['frustration'], true), (2, ['soft_refusal'], []::varchar[], []::varchar[], false), (3, []::varchar[], ['risk'], ['risk'], false)) t(call_id, missed, forbidden_shown, unexpected, passed)""")
@@ -127,7 +168,8 @@ def rolling_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.collect_list(said).over(w), " ").alias("recent"))
 
 
-@query()
+@query(f"""with recursive levels as (select user_id as call_id, row_number() over (partition by user_id order by ts, event_id) * 200.0::double as ms, value / 1500 as rms, 200.0::double as width from events),
+{vad_sql(20_000.0)} select call_id, a as start_ms, b as end_ms from found where b - a >= 400""")
 def vad_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     levels = table(spark, sf_dir, "events").select(F.col("user_id").alias("call_id"), (place * 200.0).alias("ms"), (F.col("value") / 1500).alias("rms"), F.lit(200.0).alias("chunk_ms"))

@@ -13,7 +13,7 @@ from .registry import query, sql_list, table
 
 _RECORDS = [
     (1, "", "a__b", "Page 3", "tiny\nThis line tells what it is", "a / b", "page 3", "a / b - This line tells what it is"),
-    (2, "Fees", "x", "Late fees", "body", "Fees", "section: Late fees", "Late fees"), (3, "Fees", "x", "", "body", "Fees", "", "Fees"), (4, "Fees", "x", "Page 12", "no", "Fees", "page 12", "Page 12"),
+    (2, "Fees", "x", "Late fees", "body", "Fees", "section: Late fees", "Late fees"), (3, "Fees", "x", "", "body", "Fees", "", "Fees"), (4, "Fees", "x", "Page 12", "no", "Fees", "page 12", "Fees"),
 ]
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.live import Suppressor
+from ..lineage import cut
+from ..operators.live import ORDER, Suppressor, decide_all, rendered
 from ..shipping import ship
 
 OUTCOME = "call_id long, seq long, kind string, outcome string"
@@ -29,14 +30,14 @@ def stream_suppress(rows: DataFrame, event_time: str = "ts", late: str = "10 min
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pd.concat(list(batches)).sort_values(["at", "seq", "kind", "evidence"], kind="stable")
+        pdf = pd.concat(list(batches)).sort_values(ORDER, kind="stable")
         fold = Suppressor(json.loads(state.get[0]) if state.exists else None)
-        outcome = [fold.decide(k, e, c, t) for k, e, c, t in zip(pdf["kind"], pdf["evidence"], pdf["confidence"], pdf["at"])]
+        outcome = decide_all(fold, pdf)
         state.update((json.dumps(fold.state()),))
         state.setTimeoutTimestamp(int(pdf[event_time].max().timestamp() * 1000) + idle_ms)
         yield pd.DataFrame({"call_id": key[0], "seq": pdf["seq"], "kind": pdf["kind"], "outcome": outcome})
 
-    marked = rows.withWatermark(event_time, late)
+    marked = rendered(rows).withWatermark(event_time, late)
     return marked.groupBy("call_id").applyInPandasWithState(run, OUTCOME, "fold string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -47,8 +48,25 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drains what the source holds into an in-memory table and returns it."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame, folder: str) -> DataFrame:
+    """Drains what the source holds into Parquet under ``folder`` (shared by all executors) and reads it back."""
+    sink = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def fan_out(stream: DataFrame, sinks: dict, folder: str) -> dict[str, list[str]]:
+    """Hands every micro-batch to each sink (name: function of a DataFrame); a sink's failure is recorded
+    by its name and keeps no other from its rows."""
+    failed: dict[str, list[str]] = {name: [] for name in sinks}
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch = cut(batch)
+        for name, sink in sinks.items():
+            try:
+                sink(batch)
+            except Exception as error:  # noqa: BLE001 - sinks are isolated from each other
+                failed[name].append(f"{number}: {error}"[:200])
+
+    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return failed
