@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import search as S
 from .registry import query, sql_list, table
@@ -90,7 +91,8 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     per_term = S.term_table(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return per_term.crossJoin(F.broadcast(S.corpus_size(docs))).select("term", "df", "cf", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
+    size = docs.agg(F.count("*").alias("n"))  # the texts are read once, for their terms
+    return per_term.crossJoin(F.broadcast(size)).select("term", "df", "cf", F.round(S.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 @query(_HYBRID + " select q_id, rank, doc_id, cosine from dense where rank <= 10")
@@ -144,3 +146,38 @@ def retrieval_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("q_id") % 7 == 0, "de").otherwise("xx").alias("forbid_category"), (F.col("q_id") % 3 != 0).alias("expect_confident"),
     )
     return S.verdicts(hits, tests)
+
+
+_CATEGORIES = [f"src{n}" for n in range(8)]
+_RECORDS = """records as (select *, coalesce(source, '') || ' ' || coalesce(text, '') || ' ["' || lang || '"]' as indexed, case when doc_id % 3 = 0 then 'PH' when doc_id % 3 = 1 then '' else 'IN' end as market,
+  case when doc_id % 4 = 0 then '' when doc_id % 4 = 1 then 'loan' else 'lease' end as product, not contains(coalesce(text, ''), '@') as allowed from documents)"""
+_FILTERED = _BASE.replace("coalesce(text, '')", "indexed").replace("from documents", "from records where allowed").replace("with questions as", f"with {_RECORDS}, questions as", 1)
+_FILTERED = _FILTERED.replace("), lexical as (", f"""), fitting as (select bm.* from bm join records r using (doc_id) where (q_id % 3 <> 0 or r.lang = 'en') and (q_id % 4 <> 0 or case when market = '' then 'IN' else market end = 'IN')
+    and (q_id % 5 <> 0 or list_contains({sql_list(_CATEGORIES)}, coalesce(r.source, ''))) and (q_id % 2 <> 0 or product in ('', 'loan'))
+), lexical as (""").replace("from bm where score > 0", "from fitting where score > 0")
+
+
+def filtered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: what is indexed, what the filters ask, and whether an address blocks them."""
+    i = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", S.indexed_text(F.col("source"), F.col("text"), F.array("lang")).alias("text"), F.col("lang").alias("language"), F.col("source").alias("category"),
+        F.when(i % 3 == 0, "PH").when(i % 3 == 1, "").otherwise("IN").alias("market"), F.when(i % 4 == 0, "").when(i % 4 == 1, "loan").otherwise("lease").alias("product"),
+        (~F.contains(F.coalesce("text", F.lit("")), F.lit("@"))).alias("retrieval_allowed"),
+    )
+
+
+def filtered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("q_id")
+    return questions(spark, sf_dir).withColumns({
+        "q_language": F.when(q % 3 == 0, "en"), "q_market": F.when(q % 4 == 0, "IN").otherwise(""), "q_categories": F.when(q % 5 == 0, T.strings(_CATEGORIES)), "q_product": F.when(q % 2 == 0, "loan"),
+    })
+
+
+@query(_FILTERED + """, w as (select q_id, term, coalesce(idf, (select max(idf) from idfs where term in (select term from asked)), 1.0) as w from asked left join idfs using (term)),
+ cover as (select q_id, doc_id, round(sum(w) / any_value(total), 6) as coverage from postings join w using (term) join (select q_id, sum(w) as total from w group by 1) using (q_id) group by 1, 2),
+ top as (select l.q_id, l.rank, l.doc_id, l.rank as lexical_rank, round(1.0::double / (60 + l.rank), 9) as rrf, coverage, coverage as score from lexical l left join cover using (q_id, doc_id) where l.rank <= 4)
+select q_id, rank, doc_id, lexical_rank, null::int as dense_rank, rrf, coverage, score, max(case when rank = 1 then score end) over (partition by q_id) >= 0.35 as confident from top""")
+def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions that ask for a language, a market, kinds or a product, without vectors (the lexical channel alone)."""
+    return S.search(filtered_records(spark, sf_dir), filtered_questions(spark, sf_dir))

@@ -29,3 +29,12 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with the package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, where its scan gives fewer (small files of one row group).
+
+    Large tables have more partitions than cores and stay where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
