@@ -2,9 +2,9 @@
 
 Exact: records with one content hash merge into the first (by sequence), across languages.
 Near: within a language, short texts by shingle similarity and long ones by SimHash distance;
-candidates come from an exact index (seven bands for at most six differing bits; shared rare
-shingles for the similarity), so no pair is missed and none is made for nothing.  The merge itself
-is greedy in sequence order; it only ever sees linked records, component by component.
+candidates come from an exact index (three equal blocks of nine for at most six differing bits;
+shared rare shingles for the similarity), so no pair is missed.  The merge is greedy in sequence
+order, decided in rounds over all linked records at once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,8 +24,9 @@ from ..functions import text as T
 from ..lineage import cut
 from ..shipping import ship
 
-SHORT, JACCARD, RADIUS, BANDS, LONGER = 80, 0.82, 6, 7, 1.25
-_BAND_EDGES = [0, 10, 19, 28, 37, 46, 55, 64]
+SHORT, JACCARD, RADIUS, LONGER = 80, 0.82, 6, 1.25
+#: Blocks of a signature, and how many of them agree when at most RADIUS bits differ.
+BLOCKS, EQUAL = 9, 3
 
 
 def exact_groups(records: DataFrame, key: Column, seq: str = "seq") -> DataFrame:
@@ -38,8 +40,7 @@ def _grams(text: str) -> tuple[int, list[str]]:
     return len(tokens), [" ".join(tokens[i : i + 4]) for i in range(len(tokens) - 3)] or ([" ".join(tokens)] if tokens else [])
 
 
-def _signature(text: str) -> tuple[int, int]:
-    _, grams = _grams(text)
+def _signature(grams: list[str]) -> tuple[int, int]:
     if not grams:
         return 0, 0
     low = np.frombuffer(b"".join(hashlib.md5(g.encode()).digest()[8:] for g in grams), np.uint8).reshape(-1, 8)
@@ -57,49 +58,62 @@ def signatures(records: DataFrame, seq: str = "seq", text: str = "text") -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [_signature(t) for t in pdf["text"].fillna("")]
+            found = [_signature(_grams(t)[1]) for t in pdf["text"].fillna("")]
             yield pd.DataFrame({"seq": pdf["seq"], "sig_hi": [h for h, _ in found], "sig_lo": [l for _, l in found]})
 
     rows = records.select(F.col(seq).cast("long").alias("seq"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(run, "seq long, sig_hi long, sig_lo long")
 
 
-def shingle_sets(records: DataFrame, most: float = (SHORT - 4) / JACCARD) -> DataFrame:
-    """seq, language, n_tokens and grams (distinct shingles, null beyond ``most`` of them).
+def read_texts(records: DataFrame, most: float = (SHORT - 4) / JACCARD) -> DataFrame:
+    """seq, language, n_tokens, sig (SimHash) of texts that are not short, and grams (distinct shingles, null beyond ``most``).
 
-    A set similar to a short text's cannot be larger than ``most``.  In Python, because a filter on
-    the column form is pushed below it and re-tokenises the text for every shingle.
+    Each text is tokenised once.  A set similar to a short text's cannot be larger than ``most``.  In
+    Python, because a filter on the column form is pushed below it and re-tokenises the text for every shingle.
     """
     ship(records.sparkSession)
 
+    def one(text: str) -> tuple:
+        n, grams = _grams(text)
+        sets = sorted(set(grams))
+        hi, lo = _signature(grams) if n >= SHORT else (0, 0)
+        sig = (hi << 32 | lo) - ((hi >> 31) << 64)
+        return n, sig if n >= SHORT else None, sets if len(sets) <= most else None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [(n, sorted(set(g))) for n, g in map(_grams, pdf["text"].fillna(""))]
-            sets = [g if len(g) <= most else None for _, g in made]
-            yield pd.DataFrame({"seq": pdf["seq"], "language": pdf["language"], "n_tokens": [n for n, _ in made], "grams": sets})
-
-    return records.select("seq", "language", "text").mapInPandas(run, "seq long, language string, n_tokens long, grams array<string>")
-
-
-def _whole(hi: str, lo: str) -> Column:
-    return F.shiftleft(F.col(hi), 32).bitwiseOR(F.col(lo))
-
-
-def banded_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of one language within RADIUS bits; rows have seq, language, sig_hi, sig_lo."""
-    sig = rows.select("seq", "language", _whole("sig_hi", "sig_lo").alias("sig"))
-    bands = F.array(
-        *[
-            F.struct(F.lit(n).alias("band"), F.shiftrightunsigned("sig", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("bits"))
-            for n, (lo, hi) in enumerate(zip(_BAND_EDGES, _BAND_EDGES[1:]))
-        ]
-    )
-    keyed = sig.select("seq", "language", "sig", F.explode(bands).alias("key")).select("seq", "language", "sig", "key.band", "key.bits")
-    left = keyed.select(F.col("seq").alias("a"), "language", F.col("sig").alias("sa"), "band", "bits")
-    right = keyed.select(F.col("seq").alias("b"), "language", F.col("sig").alias("sb"), "band", "bits")
-    near = left.join(right, ["language", "band", "bits"]).filter(F.col("a") < F.col("b"))
+            n, sig, sets = zip(*map(one, pdf["text"].fillna(""))) if len(pdf) else ((), (), ())
+            yield pd.DataFrame({"seq": pdf["seq"], "language": pdf["language"], "n_tokens": n, "sig": pd.array(sig, "Int64"), "grams": sets})
+
+    return records.select("seq", "language", "text").mapInPandas(run, "seq long, language string, n_tokens long, sig long, grams array<string>")
+
+
+def _keys(sig: str) -> Column:
+    """The signature's keys: every three of its nine blocks, 21 bits or 22, under the number of the three."""
+    edges = [0, 8, 15, 22, 29, 36, 43, 50, 57, 64]
+    cuts = [(lo, (1 << (hi - lo)) - 1, hi - lo) for lo, hi in zip(edges, edges[1:])]
+    blocks = [F.shiftrightunsigned(sig, lo).bitwiseAND(F.lit(mask).cast("long")) for lo, mask, _ in cuts]
+    out = []
+    for n, three in enumerate(combinations(range(BLOCKS), EQUAL)):
+        key = F.lit(n).cast("long")
+        for b in three:
+            key = F.shiftleft(key, cuts[b][2]).bitwiseOR(blocks[b])
+        out.append(key)
+    return F.array(*out)
+
+
+def indexed_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b, distance), a < b, of one language within RADIUS bits; rows have seq, language, sig.
+
+    Six differing bits leave three of nine blocks equal, so the 84 keys of three blocks together miss no
+    pair; a key's 21 bits keep its bucket at a two-millionth of the rows, and the pairs met in proportion.
+    """
+    keyed = rows.select("seq", "language", "sig", F.explode(_keys("sig")).alias("key"))
+    left = keyed.select(F.col("seq").alias("a"), "language", F.col("sig").alias("sa"), "key")
+    right = keyed.select(F.col("seq").alias("b"), "language", F.col("sig").alias("sb"), "key")
     distance = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-    return near.withColumn("distance", distance).filter(F.col("distance") <= RADIUS).select("a", "b", "distance").distinct()
+    near = left.join(right, ["language", "key"]).filter((F.col("a") < F.col("b")) & (distance <= RADIUS))
+    return near.select("a", "b", distance.cast("int").alias("distance")).distinct()
 
 
 def shingle_pairs(rows: DataFrame, threshold: float = JACCARD) -> DataFrame:
@@ -128,62 +142,47 @@ def shingle_pairs(rows: DataFrame, threshold: float = JACCARD) -> DataFrame:
 
 def near_pairs(rows: DataFrame) -> DataFrame:
     """(a, b, distance) under the near-duplicate rule; rows: seq, language, text."""
-    told = shingle_sets(rows)
+    told = cut(read_texts(rows))
     # the index serves both branches: the rule itself looks at the shorter text
     short = shingle_pairs(told).select("a", "b", F.round((1 - F.col("similarity")) * 100).cast("int").alias("distance"))
-    long = told.filter(F.col("n_tokens") >= SHORT).select("seq", "language")
-    sig = signatures(rows).join(long, "seq")
-    return short.unionByName(banded_pairs(sig).select("a", "b", F.col("distance").cast("int").alias("distance")))
-
+    return short.unionByName(indexed_pairs(told.filter("sig is not null")))
 
-def _greedy(rows: pd.DataFrame, links: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    kept: list[int] = []
-    for seq in sorted(rows):
-        found = next((k for k in kept if (k, seq) in links), None)
-        yield seq, seq if found is None else found
-        if found is None:
-            kept.append(seq)
 
+def greedy_merge(pairs: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """seq and survivor of every linked record: in order, each joins the first survivor it is linked to.
 
-def greedy_merge(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """seq and survivor of every linked record: each joins the first survivor it is linked to.
-
-    ``groups`` (node, label) names the component of each linked record; one component is one task's work.
+    Decided in rounds over all records at once: one with a survivor before it among its links is merged,
+    one whose earlier links are all merged survives.  A round decides the first open record of every
+    component at least, and in groups of copies nearly all.
     """
-    ship(pairs.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = set(zip(pdf.a, pdf.b))
-        return pd.DataFrame(list(_greedy(set(pdf.a) | set(pdf.b), links)), columns=["seq", "survivor"])
-
-    return pairs.join(groups, F.col("a") == F.col("node")).select("label", "a", "b").groupBy("label").applyInPandas(run, "seq long, survivor long")
-
-
-def components(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """node and label (smallest reachable) over pairs (a, b), by label spreading with lineage cut each round."""
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    links = cut(pairs.select("a", "b").distinct())
+    nodes = links.select(F.col("a").alias("seq")).union(links.select("b")).distinct()
+    state = cut(nodes.join(links.select(F.col("b").alias("seq")).distinct().withColumn("later", F.lit(True)), "seq", "left").select("seq", F.when(F.col("later"), "open").otherwise("kept").alias("state")))
     for _ in range(rounds):
-        told = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("told"))
-        new = labels.join(told, F.col("node") == F.col("to"), "left").select("node", F.col("label").alias("old"), F.least("label", "told").alias("label"))
-        new = cut(new)
-        labels = new.select("node", "label")
-        if new.filter("old <> label").isEmpty():
-            return labels
-    raise RuntimeError("components not settled")
+        if state.filter("state = 'open'").isEmpty():
+            break
+        before = links.join(state.select(F.col("seq").alias("a"), F.col("state").alias("before")), "a")
+        before = before.join(state.filter("state = 'open'").select(F.col("seq").alias("b")), "b", "left_semi")
+        met = before.groupBy(F.col("b").alias("seq")).agg(F.max(F.col("before") == "kept").alias("kept"), F.max(F.col("before") == "open").alias("open"))
+        new = F.when(F.col("state") != "open", F.col("state")).when(F.col("kept"), "merged").when(F.col("open"), "open").otherwise("kept")
+        state = cut(state.join(met, "seq", "left").select("seq", new.alias("state")))
+    else:
+        raise RuntimeError(f"merges not settled after {rounds} rounds")
+    kept = state.filter("state = 'kept'").select(F.col("seq").alias("a"))
+    first = links.join(kept, "a").groupBy(F.col("b").alias("seq")).agg(F.min("a").alias("first"))
+    return state.join(first, "seq", "left").select("seq", F.when(F.col("state") == "kept", F.col("seq")).otherwise(F.col("first")).alias("survivor"))
 
 
 def merge_near(records: DataFrame) -> DataFrame:
     """Near-merged records (seq, language, text): survivor, merged_from (in order) and the text kept.
 
-    A newcomer over 1.25 times as long as the survivor's text replaces it, payload and all.
+    A newcomer over 1.25 times as long as the survivor's text replaces it, payload and all.  Texts stay out
+    of the fold, which needs their lengths alone.
     """
-    pairs = cut(near_pairs(records))
-    merged = greedy_merge(pairs, components(pairs))
-    rows = records.join(merged, "seq", "left").withColumn("survivor", F.coalesce("survivor", "seq"))
-    group = rows.groupBy("survivor").agg(F.array_sort(F.collect_list(F.struct("seq", F.length("text").alias("n"), "text"))).alias("all"))
-    first = F.get("all", F.lit(0))
+    merged = greedy_merge(near_pairs(records))
+    sizes = records.select("seq", F.length("text").alias("n")).join(merged, "seq", "left").withColumn("survivor", F.coalesce("survivor", "seq"))
+    group = sizes.groupBy("survivor").agg(F.array_sort(F.collect_list(F.struct("seq", "n"))).alias("all"))
     rest = F.slice("all", 2, F.size("all"))
-    kept = F.aggregate(rest, first, lambda acc, x: F.when(x["n"] > acc["n"] * LONGER, x).otherwise(acc))
-    return group.select("survivor", F.transform(rest, lambda x: x["seq"]).alias("merged_from"), kept["seq"].alias("text_from"), kept["text"].alias("text"))
+    kept = F.aggregate(rest, F.get("all", F.lit(0)), lambda acc, x: F.when(x["n"] > acc["n"] * LONGER, x).otherwise(acc))
+    chosen = group.select("survivor", F.transform(rest, lambda x: x["seq"]).alias("merged_from"), kept["seq"].alias("text_from"))
+    return chosen.join(records.select(F.col("seq").alias("text_from"), "text"), "text_from").select("survivor", "merged_from", "text_from", "text")

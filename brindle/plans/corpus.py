@@ -43,22 +43,34 @@ def simhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.signatures(survivors(spark, sf_dir))
 
 
-@query(f"""with {_SURVIVORS}, {_SIG}, g as (select seq, language, len(w) as n, list_distinct({_GRAMS}) as g from survivors),
+_PAIRS = f"""{_SURVIVORS}, {_SIG}, g as (select seq, language, len(w) as n, list_distinct({_GRAMS}) as g from survivors),
 short as (select a.seq as a, b.seq as b, len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) as j
   from g a join g b on a.language = b.language and a.seq < b.seq and least(a.n, b.n) < 80 where len(list_intersect(a.g, b.g)) > 0),
 long as (select a.seq as a, b.seq as b, bit_count(xor(s.sig_hi::bigint, t.sig_hi::bigint)) + bit_count(xor(s.sig_lo::bigint, t.sig_lo::bigint)) as d
-  from g a join g b on a.language = b.language and a.seq < b.seq and least(a.n, b.n) >= 80 join sig s on s.seq = a.seq join sig t on t.seq = b.seq)
-select a, b, cast(round((1 - j) * 100) as int) as distance from short where j >= 0.82 union all select a, b, d::int from long where d <= 6""")
+  from g a join g b on a.language = b.language and a.seq < b.seq and least(a.n, b.n) >= 80 join sig s on s.seq = a.seq join sig t on t.seq = b.seq),
+pairs as (select a, b, cast(round((1 - j) * 100) as int) as distance from short where j >= 0.82 union all select a, b, d::int from long where d <= 6)"""
+
+
+@query(f"with {_PAIRS} select * from pairs")
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.near_pairs(survivors(spark, sf_dir))
 
 
-@query()
+#: The greedy merge, one linked record after another: each joins the first of its earlier links that survived.
+_MERGED = f"""{_PAIRS}, links as (select distinct a, b from pairs), earlier as (select b as seq, list(a) as before, row_number() over (order by b) as n from links group by b),
+fold as (select 0::bigint as n, (select coalesce(list(distinct a), []) from links where a not in (select b from links)) as kept, null::bigint as seq, null::bigint as survivor
+ union all select n, case when hit is null then list_append(kept, seq) else kept end, seq, coalesce(hit, seq) from (select e.n, e.seq, f.kept, list_min(list_intersect(e.before, f.kept)) as hit from fold f join earlier e on e.n = f.n + 1)),
+member as (select s.seq, length(s.text) as n, s.text, coalesce(f.survivor, s.seq) as survivor from survivors s left join fold f on f.seq = s.seq),
+merged as (select survivor, list(seq order by seq) as all_, list({{'seq': seq, 'n': n}} order by seq) as sized from member group by 1)"""
+
+
+@query(f"""with recursive {_MERGED}, chosen as (select survivor, all_[2:] as merged_from, list_reduce(sized, lambda x, y: case when y.n > x.n * 1.25 then y else x end).seq as text_from from merged)
+select c.survivor, merged_from, text_from, md5(m.text) as text_md5 from chosen c join member m on m.seq = text_from""")
 def dedupe_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.merge_near(survivors(spark, sf_dir)).select("survivor", "merged_from", "text_from", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(f"""with recursive {_MERGED} select (select count(*) from documents) as records, (select count(*) from survivors) as after_exact, count(*) as after_near, round(100 * (1 - count(*) / (select count(*) from documents)), 2) as reduction_percent from merged""")
 def dedupe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, kept = table(spark, sf_dir, "documents"), survivors(spark, sf_dir)
     merged = dedupe.merge_near(kept)
@@ -66,7 +78,32 @@ def dedupe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("reduction_percent", F.round(100 * (1 - F.col("after_near") / F.col("records")), 2))
 
 
-@query()
+#: Packing, one part of a text after another (held: the lines of the open chunk, size: their length), then small chunks to the one before.
+_JOINED_LINES = "array_to_string(list_filter({0}, lambda x: trim(x, E' \\t\\r') <> ''), E'\\n')"
+_CHUNKS = f"""doc as (select doc_id, coalesce(text, '') as text, trim(coalesce(text, ''), E' \\t\\n\\r') as body from documents),
+line as (select doc_id, i, string_split(text, E'\\n')[i] as line from doc, unnest(range(1, len(string_split(text, E'\\n')) + 1)) r(i) where greatest(1, length(body) // 4) > {corpus.MAX_TOKENS}),
+kind as (select *, regexp_matches(trim(line, E' \\t\\r'), '^(\\| |- rule_id)') as is_row, greatest(1, length(line) // 4) > {corpus.MAX_TOKENS} and not is_row as long from line),
+part as (select *, row_number() over (partition by doc_id order by i, j) as n from (select doc_id, i, line, is_row, long, unnest(ps) as part, generate_subscripts(ps, 1) as j
+  from (select *, case when long then list_filter(list_transform(string_split(regexp_replace(line, '([.!?])\\s+([A-Z0-9])', E'\\\\1\\x01\\\\2', 'g'), chr(1)), lambda x: trim(x, E' \\t\\r')), lambda x: x <> '') else [line] end as ps from kind))),
+fold as (select distinct doc_id, 0::bigint as n, []::varchar[] as held, -1::bigint as size, null::varchar as last, false as last_row, null::varchar as c1, false as a1, null::varchar as c2 from part union all
+ select doc_id, n, list_append(held2, part), coalesce(list_sum(list_transform(held2, lambda x: length(x) + 1)), 0)::bigint + length(part), coalesce(nullif(c2, ''), last1), case when c2 <> '' then false else row1 end, nullif(c1, ''), is_row, nullif(c2, '')
+ from (select *, case when over2 then []::varchar[] else held1 end as held2, case when over2 then {_JOINED_LINES.format('held1')} end as c2
+  from (select *, long and len(held1) > 0 and (list_sum(list_transform(held1, lambda x: length(x) + 1)) + length(part)) // 4 > {corpus.MAX_TOKENS} as over2
+   from (select *, case when over1 then case when last1 is not null and not row1 then [right(last1, {corpus.OVERLAP * 4})] else []::varchar[] end else held end as held1
+    from (select *, case when over1 and c1 <> '' then c1 else last end as last1, case when over1 and c1 <> '' then is_row else last_row end as row1
+     from (select *, case when over1 then {_JOINED_LINES.format('held')} end as c1
+      from (select p.*, f.held, f.last, f.last_row, p.j = 1 and len(f.held) > 0 and (f.size + 1 + length(p.line)) // 4 > {corpus.MAX_TOKENS} as over1 from fold f join part p on p.doc_id = f.doc_id and p.n = f.n + 1))))))),
+ended as (select doc_id, n, {_JOINED_LINES.format('held')} as chunk from (select *, row_number() over (partition by doc_id order by n desc) as k from fold) where k = 1),
+made as (select doc_id, body as chunk, regexp_matches(body, '^(\\| |- rule_id)') as atomic, 0.0 as n from doc where body <> '' and greatest(1, length(body) // 4) <= {corpus.MAX_TOKENS} union all
+ select doc_id, c1, a1, n from fold where c1 is not null union all select doc_id, c2, false, n + 0.5 from fold where c2 is not null union all select doc_id, chunk, false, n + 1 from ended where chunk <> ''),
+numbered as (select *, row_number() over (partition by doc_id order by n) as c from made),
+runts as (select *, greatest(1, length(chunk) // 4) < {corpus.MIN_TOKENS} and not atomic and not coalesce(lag(atomic) over (partition by doc_id order by c), true) as small from numbered)"""
+
+
+@query(f"""with recursive {_CHUNKS}
+select doc_id || '__' || case when k < 1000 then lpad(k::varchar, 3, '0') else k::varchar end as record_id, 'About' as heading, atomic, greatest(1, length(chunk) // 4) as n_tokens, md5(chunk) as text_md5
+from (select doc_id, atomic, chunk, row_number() over (partition by doc_id order by c) - 1 as k from (select doc_id, g, min(c) as c, bool_or(atomic) as atomic, string_agg(chunk, E'\\n' order by c) as chunk
+  from (select *, sum((not small)::int) over (partition by doc_id order by c) as g from runts) group by 1, 2))""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## About\n"), F.coalesce("text", F.lit(""))).alias("text"))
     return corpus.chunks(docs).select(
@@ -188,7 +225,13 @@ def pii_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "has_pii", "kinds", "n_findings", F.md5("redacted").alias("redacted_md5"))
 
 
-@query()
+#: Blocks of pages whose article holds one heading and paragraphs, some of them unclosed.
+_BLOCKS = r"""piece as (select page_id, i, string_split_regex(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<(?:h1|p)>')[i] as piece, html from pages, unnest(range(2, 2 + len(regexp_extract_all(coalesce(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), ''), '<(?:h1|p)>')))) r(i)),
+said as (select page_id, i, case when i = 2 then 'h1' else 'p' end as tag, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(piece, '(?s)</(?:h1|p)>.*$', ''), '<br */?>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), chr(8203), ''), '\s+', ' ', 'g')) as text from piece),
+blocks as (select page_id, row_number() over (partition by page_id order by i) - 1 as n, tag, text, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) as key from said where length(text) >= 3)"""
+
+
+@query(f"with {_BLOCKS} select * from blocks")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.blocks(table(spark, sf_dir, "pages"))
 
@@ -206,7 +249,10 @@ def boilerplate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.filter(F.col("seen") >= F.greatest(F.lit(2), F.floor(F.col("pages") * V.BOILERPLATE_SHARE))).select("key", "seen")
 
 
-@query()
+@query(f"""with {_BLOCKS}, repeated as (select key from (select distinct page_id, tag, text, key from blocks) group by 1 having count(*) >= greatest(2, floor((select count(*) from pages) * {V.BOILERPLATE_SHARE}))),
+rest as (select *, row_number() over (partition by page_id, key order by n) as k from blocks where key not in (select key from repeated)),
+whole as (select page_id, trim(regexp_replace(string_agg(case when tag = 'h1' then E'\\n## ' || text else text end, E'\\n' order by n), '\\n{{3,}}', E'\\n\\n', 'g'), E' \\n') as text from rest where k = 1 group by 1)
+select page_id, url, coalesce(text, '') as text, case when regexp_matches(lower(left(coalesce(text, ''), 600)), '{'|'.join(V.MISSING_PAGE)}') then 'soft_404' when length(coalesce(text, '')) < {V.THIN_CHARS} then 'thin_content' else '' end as flag from pages left join whole using (page_id)""")
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "pages")
     blocks = pages.blocks(source)

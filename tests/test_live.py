@@ -51,11 +51,15 @@ def test_voice_segments():
 
 
 def test_chunks():
-    table = "\n".join(f"| row {n}: " + "x" * 60 for n in range(39))
+    table = [f"| row {n}: " + "x" * 60 for n in range(39)]
     made = corpus.pack("T", table)
-    assert len(made) > 1 and all(c["atomic"] for c in made) and "\n".join(c["text"] for c in made) == table
-    prose = corpus.pack("P", " ".join(f"Sentence {n} says a few words." for n in range(400)))
-    assert all(len(c["text"]) // 4 <= corpus.MAX_TOKENS for c in prose) and prose[0]["text"][-50:] in prose[1]["text"]
+    assert len(made) > 1 and all(c["atomic"] for c in made[:-1]) and "\n".join(c["text"] for c in made) == "\n".join(table)
+    prose = corpus.pack("P", [f"Line {n} says a few words and a few more." for n in range(200)] + ["", " "])
+    assert all(len(c["text"]) // 4 <= corpus.MAX_TOKENS for c in prose) and prose[1]["text"].startswith(prose[0]["text"][-240:])
+    long = corpus.pack("L", ["One line.", " ".join(f"Sentence {n} says a few words." for n in range(400))])
+    assert all(len(c["text"]) // 4 <= corpus.MAX_TOKENS for c in long) and not any(c["atomic"] for c in long)
+    assert " ".join(c["text"] for c in long).replace("\n", " ").count("Sentence 399 says") == 1
+    assert corpus.pack("S", [" ", "- rule_id: 1"]) == [{"heading": "S", "text": "- rule_id: 1", "atomic": True}] and corpus.pack("S", [""]) == []
     small = [{"heading": "A", "text": "x" * 200, "atomic": False}, {"heading": "A", "text": "y", "atomic": False}, {"heading": "B", "text": "z", "atomic": False}]
     assert [c["heading"] for c in corpus.join_runts(small)] == ["A", "B"]
 
