@@ -2,10 +2,12 @@
 
 Regular expressions propose spans, leftmost and without overlap within a kind; checksums (Luhn for
 cards, mod 97 for bank accounts) confirm or drop them; context words in the ``reach`` characters
-before a span adjust its score.  Spans that score ``accept`` or more stay.
+before and after a span adjust its score.  Spans that score ``accept`` or more stay.
 
 Kinds: email, ip, card, phone (the base kinds, which stay whenever they validate), then iban (a
-bank account number, needs mod 97) and ssn (three, two and four digits: needs a context word).
+bank account number, needs mod 97), ssn (three, two and four digits: needs a context word) and secret
+(an unbroken run of 20 or more letters, digits and + / _ - with at least four letters and four digits:
+needs a context word, unless it begins as issued keys do).
 
 Positions come from the gaps between matches: splitting a text by the pattern gives the gaps,
 extracting gives the matches, and the running sum of their lengths (in code points) gives the
@@ -30,6 +32,10 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_OPAQUE = "[A-Za-z0-9+/_-]"
+SECRET = rf"(?<!{_OPAQUE}){_OPAQUE}{{20,}}+"
+#: How keys of well-known issuers begin.
+ISSUED = "^(?:AKIA[0-9A-Z]{16}$|ASIA[0-9A-Z]{16}$|gh[pousr]_|glpat-|xox[abprs]-|sk-|sk_live_|AIza)"
 # A part of at most 255 with any zeros before it; words that make a span likelier.
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 WORDS = {
@@ -39,13 +45,14 @@ WORDS = {
     "phone": "phone|call|tel|mobile",
     "iban": "iban|bank|account",
     "ssn": "ssn|social security",
+    "secret": "token|secret|passw|pwd|api.?key|access.?key|private.?key|credential|bearer|auth",
 }
 #: Score of a confirmed span, and what a context word adds.
-SCORES = {"email": (0.9, 0.1), "ip": (0.6, 0.3), "card": (0.8, 0.2), "phone": (0.6, 0.3), "iban": (0.8, 0.2), "ssn": (0.3, 0.5)}
+SCORES = {"email": (0.9, 0.1), "ip": (0.6, 0.3), "card": (0.8, 0.2), "phone": (0.6, 0.3), "iban": (0.8, 0.2), "ssn": (0.3, 0.5), "secret": (0.3, 0.5)}
 #: A text without this cannot match, and is not scanned by the costly pattern.
 _NEEDS = {"email": "@", "phone": "+"}
-_PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN}
-_HINTS = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}
+_PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "secret": SECRET}
+_HINTS = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "secret": _OPAQUE + "{20}"}
 BASE = ("email", "ip", "card", "phone")
 _BLOCK = 256
 
@@ -78,6 +85,8 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(9, 15)
     if kind == "iban":
         return mod97(match)
+    if kind == "secret":
+        return (F.regexp_count(match, F.lit("[0-9]")) >= 4) & (F.regexp_count(match, F.lit("[A-Za-z]")) >= 4)
     return F.lit(True)
 
 
@@ -103,7 +112,11 @@ def _confirmed(kind: str, reach: int, accept: float) -> Column:
     def span(match: Column, n: Column) -> Column:
         at = F.get(start, n)
         before = F.lower(F.substr("text", F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach))))
-        score = F.lit(base) + F.when(before.rlike(rf"\b(?:{WORDS[kind]})"), F.lit(bonus)).otherwise(0.0)
+        after = F.lower(F.substr("text", at + F.length(match) + 1, F.lit(reach)))
+        told = rf"\b(?:{WORDS[kind]})"
+        score = F.lit(base) + F.when(before.rlike(told) | after.rlike(told), F.lit(bonus)).otherwise(0.0)
+        if kind == "secret":
+            score = F.when(match.rlike(ISSUED), 0.9).otherwise(score)
         return F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(match)).alias("end"), score.alias("score"), match.alias("text"))
 
     return F.filter(F.transform(f"m_{kind}", span), lambda x: _valid(kind, x["text"]) & (x["score"] >= F.lit(accept)))
@@ -131,7 +144,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds, the hash of their spans, and all spans as text."""
+    """Counts of the base kinds, the hash of their spans, all spans and their scores as text, and counts of the other kinds."""
     df = find(docs, id_col, text_col)
     text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -139,4 +152,5 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(
         "doc_id", *[of(kind) for kind in BASE],
         F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform("found", text), ",").alias("spans"),
+        F.array_join(F.transform("found", lambda x: F.format_string("%.2f", x["score"])), ",").alias("scores"), *[of(kind) for kind in _PATTERNS if kind not in BASE],
     )
