@@ -17,11 +17,13 @@ element itself are never removed for being repeated.  A name counts when a whole
 ("sidebar", or "share-links" where all parts are of that kind; not "has-sidebar").  It does not count
 on main elements, on the page's largest article and on what holds one of these; an article is noise
 by its own name only if that is a whole class.  The text is what stands in the main element or, where
-articles hold most of that (of all text, on a page without a main element), in the articles; else what
-the style tree leaves.
+articles hold most of that (of all text, on a page without a main element), in the articles and the main
+element's own heading; else what the style tree leaves.
 
-Defined results: null and empty pages give an empty text; a null url is the host ''; repeated rows
-give repeated rows; an empty table gives an empty result; other columns are ignored.
+Defined results: null and empty pages give an empty text; the longest pages are read whole; a null url
+is the host ''; repeated rows give repeated rows, each with the text that one of them would have; pages
+of equal main text have equal contents, of which none counts as repeated; an empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -154,7 +156,10 @@ def _unnamed(found: list[tuple[str, Node]], opened: dict[int, tuple[int, ...]],
 
 
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]:
-    """A page's text blocks in order, as (text, branch, noise, main), and each branch's look."""
+    """A page's text blocks in order, as (text, branch, noise, main), and each branch's look.
+
+    main: 0 outside, 1 in the main element, 2 in an article, 3 in both, 4 the heading (h1) of the main element.
+    """
     stack = [Node("", "", False, 0, (), 0)]
     out: list[tuple[str, Node]] = []
     opened: dict[int, tuple[int, ...]] = {}
@@ -224,7 +229,8 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]
         text.append(rest[: rest.find("<")] if "<" in rest and re.match(r"[a-zA-Z/!?]", rest[rest.find("<") + 1 :]) else rest)
     flush()
     free = _unnamed(out, opened, mains)
-    told = [(text, top.branch, top.noise or not free.issuperset(top.named), top.main) for text, top in out]
+    kind = lambda top: 4 if top.main == 1 and top.tag == "h1" else top.main
+    told = [(text, top.branch, top.noise or not free.issuperset(top.named), kind(top)) for text, top in out]
     return told, {branch: ">".join(tags) for branch, tags in looks.items()}
 
 
@@ -235,14 +241,15 @@ def _place(block: tuple[str, str, bool, int]) -> int:
 
 def _chosen(found: list[tuple[str, str, bool, int]]) -> str:
     """The main text among blocks that are not noise."""
-    sizes = [0, 0, 0, 0]
+    sizes = [0, 0, 0, 0, 0]
     for b in found:
         sizes[b[3]] += len(b[0])
-    rest, main, outside, inside = sizes
-    if main or inside:  # a main element: its articles where they hold most of it, all of it else
-        kinds = (2, 3) if inside >= main else (1, 3)
+    rest, main, outside, inside, head = sizes
+    main += head
+    if main or inside:  # a main element: its heading and articles where these hold most of it, all of it else
+        kinds = (2, 3, 4) if inside >= main else (1, 3, 4)
         if outside > main + inside:  # articles beside it hold more: neither goes
-            kinds = (1, 2, 3)
+            kinds = (1, 2, 3, 4)
     else:
         kinds = (2,) if outside >= rest and outside else (0, 2)
     return "\n\n".join(b[0] for b in found if b[3] in kinds)

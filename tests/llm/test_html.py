@@ -1,6 +1,10 @@
+import math
 import re
+from collections import defaultdict
 from html import unescape
 
+import pytest
+
 from brindle.llm import html, queries
 
 from .fixtures import DATA
@@ -110,3 +114,58 @@ def test_looks_hold_the_whole_sequence():
     page = lambda last: "<div>" + "<p>a</p><ul><li>b</ul>" * 40 + last + "</div>"
     looks = [html.blocks(page(last))[1]["/div"] for last in ("<pre>c</pre>", "<table></table>")]
     assert looks[0] != looks[1] and looks[0].count(">") == 80
+
+
+def brute_tree(rows):
+    """importance and pages of every branch, and own importance of every repeated content, by host; rows: host, html."""
+    votes = defaultdict(set)  # what each distinct main text of a host holds
+    for host, page in rows:
+        found, looks = html.blocks(page or "")
+        found = [b for b in found if not b[2]]
+        held = {(b[1], "content", b[0]) for b in found} | {(b[1], "page", "") for b in found} | {(b, "look", x) for b, x in looks.items()}
+        votes[host, html._chosen(found)] |= held
+    counts = defaultdict(lambda: defaultdict(int))
+    for (host, _), held in votes.items():
+        for branch, kind, what in held:
+            counts[host, branch][kind, what] += 1
+    tree = {}
+    for place, seen in counts.items():
+        m = seen.get(("page", ""), 0)
+        if not m:
+            continue
+        told = {w: k for (kind, w), k in seen.items() if kind == "content"}
+        looks = [k for (kind, _), k in seen.items() if kind == "look"]
+        content = 1 - sum(k * math.log(k) for k in told.values()) / sum(told.values()) / math.log(m) if m > 1 else 1.0
+        entropy = -sum(k / sum(looks) * math.log(k / sum(looks)) for k in looks) / math.log(m) if m > 1 and looks else 0.0
+        mixed = lambda x, e=min(1, max(0, entropy)): x + html.DAMP * e * (1 - x)
+        tree[place] = (m, mixed(content), sorted(mixed(1 - math.log(k) / math.log(m)) for k in told.values() if k > 1))
+    return tree
+
+
+def test_style_tree_of_the_whole_table_against_brute_force(spark):
+    rows = html._hosted(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), "page_id", "url", "html")
+    want = brute_tree([(r.host, r.html) for r in rows.collect()])
+    got = defaultdict(list)
+    for r in html.style_tree(rows).collect():
+        got[r.host, r.branch].append(r)
+    assert set(got) == set(want) and any(len(w[2]) for w in want.values())
+    for place, (m, importance, own) in want.items():
+        assert all(r.pages == m and r.importance == pytest.approx(importance, abs=1e-9) for r in got[place]), place
+        assert sorted(r.own for r in got[place] if r.place is not None) == pytest.approx(own, abs=1e-9)
+
+
+def test_headings_leads_and_tails_of_main():
+    assert html.main_text("<main><h1>T</h1><p>Lead</p><article><p>Body</p></article><p>tail</p></main>") == "T\n\nLead\n\nBody\n\ntail"
+    assert html.main_text("<main><h1>A title</h1><article><p>The story is told at some length.</p></article></main>") == "A title\n\nThe story is told at some length."
+    for name in "content has-sidebar|no-sidebar|layout-with-nav|post related-posts-enabled|ad-free|social-science|share-price-report|notice-board".split("|"):
+        assert html.main_text(f'<div class="{name}"><article><p>Real text.</p></article></div>') == "Real text.", name
+
+
+def test_awkward_pages(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {n} of a very long page.</p>" for n in range(30_000)) + "</article>"
+    rows = [(1, "https://a.org/x", long, 1), (2, None, "<p>no host</p>", 2), (None, "https://a.org/y", "", 3), (4, "not a url", None, 4), (5, "https://a.org/z", "<div>" * 3000 + "deep", 5),
+            (6, "https://b.org/x", "<article><p>Same</p></article>", 6), (7, "https://b.org/x?utm=1", "<article><p>Same</p></article>", 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")
+    got = {r.page_id: r for r in html.extract(df).collect()}
+    assert len(got) == len(rows) and got[1].text.count("\n\n") == 29_999 and got[1].text.endswith("Paragraph 29999 of a very long page.")
+    assert (got[2].text, got[None].text, got[4].text, got[5].text, got[6].text, got[7].text) == ("no host", "", "", "deep", "Same", "Same")
