@@ -12,7 +12,8 @@ each); beyond that the line numbers to remove are found by joins and only they a
 
 Defined results: blank lines are never removed; null texts stay null (0 lines); a null site counts
 as no site; repeated rows are treated alike; documents whose every line goes keep their row with
-an empty text; an empty table gives an empty result; other columns are kept by ``remove_boilerplate``.
+an empty text; the longest texts are cut into their lines whole; an empty table gives an empty result;
+other columns, whatever their names, are kept by ``remove_boilerplate``.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from . import kernels
 from .storage import materialize
 
 MIN_SITES, LG_BUCKETS = 5, 12
+#: Lines near or above the threshold that are broadcast to count their sites.
+MOST_SPREAD = 500_000
 _EDGE = " \t\r"
 #: Three standard errors of the sketch.
 BAND = 3 * 1.04 / (1 << LG_BUCKETS) ** 0.5
@@ -53,6 +56,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     spread = spread.select(F.col("hash").alias("wide"), F.hll_sketch_estimate("sketch").alias("sites"))
     spread = materialize(spread.filter(F.col("sites") >= min_sites - band), "spread")
     near = F.col("sites") <= min_sites + band
+    if spread.count() <= MOST_SPREAD:  # 16 bytes each; then a line that every page holds is no task's key
+        spread = F.broadcast(spread)
     wide = lines.join(spread, F.col("hash") == F.col("wide"))
     found = wide.groupBy("hash").agg(
         F.max("sites").alias("sites"),
@@ -91,9 +96,21 @@ class _Known:
         return (b"\n".join(p for n, p in enumerate(parts) if n not in drop) if drop else text), len(parts), len(drop)
 
 
+def _free(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _by_broadcast(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_Known(known.toArrow()))
     place = docs.columns.index(text_col)
+    counts = _free(docs.columns, "lines_before", "lines_removed")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strip = shared.value.strip
@@ -106,17 +123,17 @@ def _by_broadcast(docs: DataFrame, known: DataFrame, id_col: str, text_col: str)
             columns = list(batch.columns)
             columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
             columns += [pa.array(before, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_lines_before", "_lines_removed"])
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *counts])
 
-    added = [T.StructField("_lines_before", T.LongType()), T.StructField("_lines_removed", T.LongType())]
-    return map_arrow(docs, run, T.StructType([*docs.schema.fields, *added]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, *[T.StructField(name, T.LongType()) for name in counts]]))
 
 
 def _by_join(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """The same by joins on line hash, then on (document, text): for any number of lines."""
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(text_col).cast("string")))
+    text_key, its_doc, its_key, drop, before, removed = _free(docs.columns, "text_key", "its_doc", "its_key", "drop_lines", "lines_before", "lines_removed")
+    keyed = docs.withColumn(text_key, F.xxhash64(F.col(text_col).cast("string")))
     rows = keyed.select(
-        F.col(id_col).cast("long").alias("doc"), "_text_key",
+        F.col(id_col).cast("long").alias("doc"), F.col(text_key).alias("key"),
         F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"),
     )
     rows = rows.withColumn("line", F.btrim("line", F.lit(_EDGE))).filter("line <> ''")
@@ -124,17 +141,17 @@ def _by_join(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, site
     hit = rows.join(known, rows.line_hash == known.hash).filter(
         ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))
     )
-    drops = hit.groupBy(F.col("doc").alias("_doc"), F.col("_text_key").alias("_key")).agg(F.collect_set("line_no").alias("_drop"))
-    out = keyed.join(drops, keyed[id_col].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left")
+    drops = hit.groupBy(F.col("doc").alias(its_doc), F.col("key").alias(its_key)).agg(F.collect_set("line_no").alias(drop))
+    out = keyed.join(drops, keyed[id_col].cast("long").eqNullSafe(F.col(its_doc)) & (F.col(text_key) == F.col(its_key)), "left")
     parts = F.split(F.col(text_col).cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, n: ~F.array_contains("_drop", n)), "\n")
+    kept = F.array_join(F.filter(parts, lambda _, n: ~F.array_contains(drop, n)), "\n")
     return out.withColumns(
         {
-            text_col: F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(kept),
-            "_lines_before": F.coalesce(F.size(parts), F.lit(0)).cast("long") * F.col(text_col).isNotNull().cast("long"),
-            "_lines_removed": F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"),
+            text_col: F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(kept),
+            before: F.coalesce(F.size(parts), F.lit(0)).cast("long") * F.col(text_col).isNotNull().cast("long"),
+            removed: F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long"),
         }
-    ).drop("_text_key", "_doc", "_key", "_drop")
+    ).drop(text_key, its_doc, its_key, drop)
 
 
 def _stripped(docs, min_sites, id_col, text_col, site_col, most_broadcast) -> DataFrame:
@@ -159,4 +176,4 @@ def line_report(
     """doc_id, n_lines, n_removed and the remaining text of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(site_col).cast("string").alias("source"))
     out = _stripped(rows, min_sites, "doc_id", "text", "source", most_broadcast)
-    return out.select("doc_id", F.col("_lines_before").alias("n_lines"), F.col("_lines_removed").alias("n_removed"), "text")
+    return out.select("doc_id", F.col("lines_before").alias("n_lines"), F.col("lines_removed").alias("n_removed"), "text")

@@ -1,6 +1,8 @@
 import math
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from brindle.llm import lines, mixing, queries
 
 from .fixtures import AWKWARD, DATA, documents
@@ -51,6 +53,16 @@ def test_lines_both_ways_and_awkward(spark):
     assert lines.line_report(documents(spark, [])).count() == 0
 
 
+def test_lines_keep_columns_of_any_name(spark):
+    names = ["text_key", "its_doc", "its_key", "drop_lines", "lines_before", "LINES_REMOVED", "_drop", "hash", "doc"]
+    rows = [(n, f"own {n}\nshared", f"site{n % 7}") for n in range(30)]
+    df = documents(spark, rows).select("doc_id", "text", "source").withColumns({n: F.lit(n) for n in names})
+    for most in (1_000_000, 0):
+        out = lines.remove_boilerplate(df, most_broadcast=most)
+        assert out.columns == df.columns
+        assert all(all(r[n] == n for n in names) for r in out.collect()) and out.filter("text like '%shared'").count() == 1
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[n % 3] for n, s in enumerate(names)}
