@@ -16,9 +16,10 @@ The result is range-sorted by position.
 Everything is DataFrame expressions.  The running sums over a source are split by ranges of the
 hash, so a source with a third of all rows is spread over many tasks.
 
-Defined results: null texts have size 0; documents of size 0 are taken 0 times; a null source is a
-source, sorted last; repeated rows are documents of their own; an empty table gives an empty
-result; other columns are ignored.
+Defined results: null texts have size 0, the longest are counted whole; documents of size 0 are taken
+0 times; a null source is a source, sorted last; among documents of one hash the smaller id, then the
+smaller size, is first in the queue; equal positions are sorted by id; repeated rows are documents of
+their own; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import spread
 from . import decontaminate, html, lines, mixing, pii, quality, simhash, tokens, topk, toxicity
 
 #: Vocabulary file that operator 9 counts with.
@@ -13,7 +14,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ The text is first cut into special tokens, then into pieces by the tokenizer's o
 are independent, so a text's count is the sum of its pieces' last counts.
 
 Defined results: null counts as empty (0 bytes, 0 tokens); texts are never cut; special strings in
-a text are special tokens, as the library's default has it; repeated rows give repeated rows.
+a text are special tokens, as the library's default has it; repeated rows give repeated rows; an empty
+table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
