@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
 from . import kernels
+from .components import SALTS, copied
 from .storage import materialize
 
 THRESHOLD, DAMP = 0.5, 0.1
@@ -321,10 +322,11 @@ def extract(
             known.setdefault(r.host, set()).add(r.place)
         shared = spark.sparkContext.broadcast(known)
         given = rows.withColumn("low", F.lit(None).cast("array<long>"))
-    else:  # beyond the bound each page meets its host's contents by a join
+    else:  # beyond the bound each page meets its host's contents by a join, a large host in several tasks
         shared = None
-        by_host = low.groupBy(F.col("host").alias("low_host")).agg(F.collect_set("place").alias("low"))
-        given = rows.join(by_host, F.col("host") == F.col("low_host"), "left").drop("low_host")
+        by_host = copied(low.groupBy("host").agg(F.collect_set("place").alias("low")))
+        salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        given = salted.join(by_host, ["host", "salt"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small_batches(batches, "html"):

@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 
 from ..shipping import map_arrow
 from . import kernels
+from .components import attach
 from .storage import materialize
 
 MIN_SITES, LG_BUCKETS = 5, 12
@@ -49,7 +50,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
-    """hash, first_doc and first_line of every line that stands on at least ``min_sites`` sites."""
+    """hash, first_doc, first_line and times of every line that stands on at least ``min_sites`` sites."""
     lines = _lines(docs, id_col, text_col, site_col)
     band = max(1.0, BAND * min_sites)
     spread = lines.groupBy("hash").agg(F.hll_sketch_agg("site", LG_BUCKETS).alias("sketch"))
@@ -62,11 +63,11 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     found = wide.groupBy("hash").agg(
         F.max("sites").alias("sites"),
         F.countDistinct(F.when(near, F.col("site"))).alias("exact"),
-        F.min(F.struct("doc_id", "line_no")).alias("first"),
+        F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"),
     )
     sure = F.when(near, F.col("exact") >= min_sites).otherwise(True)
     return materialize(
-        found.filter(sure).select("hash", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")),
+        found.filter(sure).select("hash", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "times"),
         "boilerplate",
     )
 
@@ -108,7 +109,7 @@ def _free(columns: list[str], *names: str) -> list[str]:
 
 
 def _by_broadcast(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_Known(known.toArrow()))
+    shared = docs.sparkSession.sparkContext.broadcast(_Known(known.select("hash", "first_doc", "first_line").toArrow()))
     place = docs.columns.index(text_col)
     counts = _free(docs.columns, "lines_before", "lines_removed")
 
@@ -137,8 +138,8 @@ def _by_join(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, site
         F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("line_no", "line"),
     )
     rows = rows.withColumn("line", F.btrim("line", F.lit(_EDGE))).filter("line <> ''")
-    rows = rows.withColumn("line_hash", F.xxhash64("line")).drop("line")
-    hit = rows.join(known, rows.line_hash == known.hash).filter(
+    rows = rows.withColumn("hash", F.xxhash64("line")).drop("line")
+    hit = attach(rows, known, "hash", "times").filter(
         ~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))
     )
     drops = hit.groupBy(F.col("doc").alias(its_doc), F.col("key").alias(its_key)).agg(F.collect_set("line_no").alias(drop))

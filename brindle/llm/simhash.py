@@ -161,12 +161,26 @@ def _links_of_sorted(batches: Iterable[pa.RecordBatch], max_bucket: int) -> Iter
             [pa.array(tags, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["key", "a", "b"]
         )
 
+    def as_large(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(x.view(np.int64)) for x in (keys, fps, fps)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "a", "b"])
+
+    flooded = None  # the key whose bucket has outgrown this task: its rows go on as they come
     for batch in batches:
         keys = np.concatenate((held_keys, batch.column("key").to_numpy().view(np.uint64)))
         fps = np.concatenate((held, batch.column("fp").to_numpy().view(np.uint64)))
-        cut = np.flatnonzero(keys != keys[-1])[-1] + 1 if len(keys) and keys[0] != keys[-1] else 0
+        if flooded is not None:
+            n = int(np.searchsorted(keys, flooded, side="right"))
+            yield as_large(keys[:n], fps[:n])
+            keys, fps = keys[n:], fps[n:]
+            flooded = None if len(keys) else flooded
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
         yield from out(keys[:cut], fps[:cut])
         held_keys, held = keys[cut:], fps[cut:]
+        if len(held) > max_bucket:
+            flooded = held_keys[-1]
+            yield as_large(held_keys, held)
+            held_keys, held = held_keys[:0], held[:0]
     yield from out(held_keys, held)
 
 

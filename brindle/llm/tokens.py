@@ -41,6 +41,19 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+def _must_be_plain(spec: dict) -> None:
+    """Refuses vocabulary files whose texts are cut or changed otherwise than this module does."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    flags = [x["content"] for x in spec.get("added_tokens", []) if any(x.get(f) for f in ("single_word", "lstrip", "rstrip", "normalized"))]
+    good = {
+        "model": model.get("type", "BPE") == "BPE" and not any(model.get(f) for f in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")),
+        "normalizer": spec.get("normalizer") is None, "added_tokens": not flags,
+        "pre_tokenizer": cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space"),
+    }
+    if not all(good.values()):
+        raise ValueError(f"only plain byte-level BPE is counted by prefixes; other settings in: {[k for k, ok in good.items() if not ok]}")
+
+
 class PrefixCounter:
     """Prefix counts for one vocabulary file (``tokenizers`` JSON, byte-level BPE)."""
 
@@ -50,6 +63,7 @@ class PrefixCounter:
     def __init__(self, path: str, keep: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _must_be_plain(spec)
         letters = _byte_letters()
         raw = lambda token: bytes(letters[c] for c in token)
         model = spec["model"]

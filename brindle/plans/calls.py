@@ -53,6 +53,18 @@ def repeated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.repeated_questions(turns.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), speaker.alias("speaker"), text.alias("text")))
 
 
+@query("""with t as (select conv_id as call_id, turn as seq, case when role = 'user' then 'customer' else 'agent' end as speaker, ' ' || first_value(text) over (partition by conv_id, role, turn // 8 order by turn) || case turn % 3 when 0 then '?!' when 1 then ' ' else '...' end as text from conversations),
+p as (select call_id, seq, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', '', 'g'), '\\s+', ' ', 'g')) as plain from t where speaker = 'customer')
+select call_id, seq from (select *, lag(plain, 1) over w as a, lag(plain, 2) over w as b from p window w as (partition by call_id order by seq)) where plain <> '' and plain = a and plain = b""")
+def repeated_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers who say the same words again, with other marks: each turn repeats the first of its eight."""
+    first = F.first("text").over(W.partitionBy("conv_id", "role", F.floor(F.col("turn") / 8)).orderBy("turn"))
+    mark = F.when(F.col("turn") % 3 == 0, "?!").when(F.col("turn") % 3 == 1, " ").otherwise("...")
+    speaker = F.when(F.col("role") == "user", "customer").otherwise("agent")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seq"), speaker.alias("speaker"), F.concat(F.lit(" "), first, mark).alias("text"))
+    return live.repeated_questions(turns)
+
+
 @query(f"""with {_CALLS}, item as (select * from (values {', '.join(f"('{n}', {d}::double, '{_Q(live.pattern(w))}')" for n, d, w in V.CHECKLIST if n != 'no_payment_disclosure')}) t(item, deadline, p)),
 s as (select call_id, item, any_value(deadline) as deadline, min(case when speaker = 'agent' and regexp_matches(lower(text), p) then call_time_s end) as said_at from calls, item group by 1, 2)
 select call_id, item, said_at, said_at is null or said_at >= deadline as gap from s""")

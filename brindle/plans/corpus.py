@@ -249,6 +249,13 @@ def boilerplate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.filter(F.col("seen") >= F.greatest(F.lit(2), F.floor(F.col("pages") * V.BOILERPLATE_SHARE))).select("key", "seen")
 
 
+@query(f"with {_BLOCKS} select key, count(*) as seen from (select distinct page_id, tag, text, key from blocks) group by 1 having count(*) >= greatest(2, floor((select count(*) from pages) * 0.01))")
+def repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the pages' own text that stand on one page in a hundred, two at least."""
+    source = table(spark, sf_dir, "pages")
+    return corpus.boilerplate(pages.blocks(source), F.lit(source.count()), 0.01)
+
+
 @query(f"""with {_BLOCKS}, repeated as (select key from (select distinct page_id, tag, text, key from blocks) group by 1 having count(*) >= greatest(2, floor((select count(*) from pages) * {V.BOILERPLATE_SHARE}))),
 rest as (select *, row_number() over (partition by page_id, key order by n) as k from blocks where key not in (select key from repeated)),
 whole as (select page_id, trim(regexp_replace(string_agg(case when tag = 'h1' then E'\\n## ' || text else text end, E'\\n' order by n), '\\n{{3,}}', E'\\n\\n', 'g'), E' \\n') as text from rest where k = 1 group by 1)

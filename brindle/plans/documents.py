@@ -118,15 +118,15 @@ def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""select doc_id, trim(regexp_replace(regexp_replace('“' || left(text, 300) || '” – it’s', '[ \t]+', ' ', 'g'), '', '')) as raw_start,
+    r"""select doc_id, md5(trim(regexp_replace('“' || text || '” – it’s', '[ \t]+', ' ', 'g'))) as raw_md5,
     replace(replace(replace(replace(trim(regexp_replace(regexp_replace('“' || text || '” – it’s', '[ \t]+', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), E' \t\n\r'), '“', '"'), '”', '"'), '’', ''''), '–', '-') as text
     from documents where text is not null"""
 )
 def plain_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = lambda c: F.concat(F.lit("“"), c, F.lit("” – it’s"))
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    raw = F.trim(F.regexp_replace(framed(F.left("text", F.lit(300))), r"[ \t]+", " "))
-    return docs.select("doc_id", raw.alias("raw_start"), T.plain_marks(framed(F.col("text"))).alias("text"))
+    raw = F.md5(F.trim(F.regexp_replace(framed(F.col("text")), r"[ \t]+", " ")))
+    return docs.select("doc_id", raw.alias("raw_md5"), T.plain_marks(framed(F.col("text"))).alias("text"))
 
 
 @query("""select doc_id, section, heading, trim(string_agg(case when not is_head then line end, E'\\n' order by n), E' \\t\\n\\r') as body from (

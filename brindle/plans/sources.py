@@ -81,7 +81,48 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_jsonl(spark, path, files.DOCUMENT).select("doc_id", "title", "text")
 
 
-@query("""select o_orderkey as id, case when o_orderkey % 3 = 0 then 'new' else 'old' end as state from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0""")
+@query("""select o_orderkey as id, case when o_orderstatus <> 'F' then 'new' else 'old' end as state from orders""")
 def keep_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    return files.keep_latest(orders.filter("id % 2 = 0").withColumn("state", F.lit("old")), orders.filter("id % 3 = 0").withColumn("state", F.lit("new")), "id")
+    """Every order is in the old table; those still open or partly so come again in the new one."""
+    orders = table(spark, sf_dir, "orders")
+    old, new = orders.select(F.col("o_orderkey").alias("id"), F.lit("old").alias("state")), orders.filter("o_orderstatus <> 'F'")
+    return files.keep_latest(old, new.select(F.col("o_orderkey").alias("id"), F.lit("new").alias("state")), "id")
+
+
+@query("select doc_id, lang, md5(coalesce(text, '')) as text_md5 from documents where doc_id in (0, 7, 42, 199)")
+def index_point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by id from an index laid out by id: all files but those of the ids' buckets are skipped."""
+    path = _folder(spark, "records")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text", "lang")
+    files.write_records(docs, path)
+    found = files.read_records(spark, path, [0, 7, 42, 199])
+    return found.select(F.col("record_id").alias("doc_id"), "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@query("select doc_id, trim(lower(lang)) as lang, n_chars from documents")
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record set under its stamp, read back."""
+    folder = _folder(spark, "snapshots")
+    files.write_snapshot(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), folder, "20260801T000000")
+    return spark.read.parquet(f"{folder}/versions/20260801T000000")
+
+
+@query(f"""with f as (select page_id, url, unnest(regexp_extract_all(html, '<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"''#]*)', 1)) as href from pages),
+r as (select {_HOST} as own, case when regexp_matches(href, '^https?://') then href when starts_with(href, '//') then regexp_extract(url, '^(https?:)', 1) || href when starts_with(href, '/') then regexp_extract(url, '^(https?://[^/?#]+)', 1) || href
+  else regexp_replace(regexp_replace(url, '[?#].*$', ''), '/[^/]*$', '/') || href end as target from f where href <> '' and not regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') or regexp_matches(href, '^https?://'))
+select distinct own as host, regexp_replace(target, '/+$', '') as url, regexp_matches(lower(target), '\\.pdf$') as is_pdf from r where regexp_extract(target, '^https?://([^/?#]+)', 1) = own and not contains(target, '/the')""")
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links against each page's own address, without those of a pattern that the crawl leaves out."""
+    return web.resolved_links(table(spark, sf_dir, "pages").select("url", "html"), exclude="/the")
+
+
+@query("""select 'docs/' || (page_id % 3) || '/' || page_id as doc_id, url, length(html) as n from pages where page_id % 4 <> 1 and html is not null""")
+def manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest of pages and their files: entries without a path, or whose file is not there, give no row."""
+    pages = table(spark, sf_dir, "pages")
+    folder = _folder(spark, "raw")
+    path = F.concat(F.lit("docs/"), (F.col("page_id") % 3).cast("string"), F.lit("/"), F.col("page_id").cast("string"))
+    stored = pages.filter("page_id % 4 <> 1 and html is not null").select(path.alias("path"), "html")
+    stored.write.parquet(folder)
+    manifest = pages.select("url", F.when(F.col("page_id") % 8 != 5, path).alias("html_path"))
+    return files.manifest_scan(manifest, spark.read.parquet(folder)).select(F.col("path").alias("doc_id"), "url", F.length("html").cast("long").alias("n"))

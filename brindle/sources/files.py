@@ -27,8 +27,20 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.array_join(F.transform("lines", lambda x: F.regexp_replace(F.rtrim(x), r"[ \t]+", " ")), "\n").alias("text"))
 
 
+def csv_document(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """A CSV file as one text: its label as a heading, then a line for each row, in file order."""
+    table = spark.read.option("header", True).csv(path)
+    lines = csv_lines(table, label).withColumn("n", F.monotonically_increasing_id())
+    rows = lines.groupBy("heading").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("rows"))
+    return rows.select(F.concat(F.lit("## "), "heading", F.lit("\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text"))
+
+
 def read_sources(spark: SparkSession, registry: list[dict]) -> DataFrame:
-    """Union of the registered sources: kind csv, markdown or jsonl; market IN unless said; missing files skipped."""
+    """Union of the registered sources: kind csv, csv_pii, markdown, jsonl or pdf_text; market IN unless said; missing files skipped.
+
+    A table with personal data (csv_pii) is a CRM export, other tables internal ones.  Of a PDF the text
+    that another provider has extracted is read (whole text files).
+    """
     out = spark.createDataFrame([], DOCUMENT)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for entry in registry:
@@ -36,15 +48,17 @@ def read_sources(spark: SparkSession, registry: list[dict]) -> DataFrame:
         if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
             continue
         meta = [F.lit(entry["id"]).alias("doc_id"), F.lit(entry.get("title", entry["id"])).alias("title")]
-        tail = [F.lit(entry["kind"]).alias("source_type"), F.lit(entry.get("market", "IN")).alias("market")]
-        if entry["kind"] == "csv":
-            table = csv_lines(spark.read.option("header", True).csv(entry["path"]), entry["id"])
-            table = table.groupBy("heading").agg(F.array_join(F.collect_list("line"), "\n").alias("text"))
-            out = out.unionByName(table.select(*meta, "text", *tail))
-        elif entry["kind"] == "markdown":
-            out = out.unionByName(read_markdown(spark, entry["path"]).select(*meta, "text", *tail))
+        kind = {"csv": "internal_table", "csv_pii": "crm_export", "markdown": "internal_handbook", "pdf_text": "internal_pdf"}.get(entry["kind"], entry["kind"])
+        tail = [F.lit(kind).alias("source_type"), F.lit(entry.get("market", "IN")).alias("market")]
+        if entry["kind"] in ("csv", "csv_pii"):
+            found = csv_document(spark, entry["path"], entry.get("title", entry["id"])).select(*meta, "text", *tail)
+        elif entry["kind"] in ("markdown", "pdf_text"):
+            found = read_markdown(spark, entry["path"]).select(*meta, "text", *tail)
+        elif entry["kind"] == "jsonl":
+            found = read_jsonl(spark, entry["path"], DOCUMENT).select("doc_id", "title", "text", *tail)
         else:
-            out = out.unionByName(read_jsonl(spark, entry["path"], DOCUMENT).select("doc_id", "title", "text", *tail))
+            raise ValueError(f"{entry['id']}: unknown kind {entry['kind']}")
+        out = out.unionByName(found)
     return out
 
 
@@ -53,6 +67,27 @@ def write_index(records: DataFrame, path: str, by: list[str]) -> None:
     records.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
+#: Ranges of record ids of an index laid out for reads by id.
+BUCKETS = 64
+
+
+def write_records(records: DataFrame, path: str, key: str = "record_id") -> None:
+    """Replaces an index laid out by a hash of the record's id, so that a read by id opens one folder."""
+    records.withColumn("bucket", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS))).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_records(spark: SparkSession, path: str, ids: list, key: str = "record_id") -> DataFrame:
+    """The records of the given ids; partitions of other ids are not opened."""
+    buckets = [r.b for r in spark.createDataFrame([(str(i),) for i in ids], "id string").select(F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).alias("b")).distinct().collect()]
+    return spark.read.parquet(path).filter(F.col("bucket").isin(buckets) & F.col(key).isin(ids)).drop("bucket")
+
+
+def manifest_scan(manifest: DataFrame, stored: DataFrame) -> DataFrame:
+    """url, path and html of manifest entries (url, html_path) whose file is stored (path, html)."""
+    entries = manifest.filter("coalesce(html_path, '') <> ''").select("url", F.col("html_path").alias("path"))
+    return entries.join(stored.filter("html is not null"), "path")
+
+
 def write_snapshot(records: DataFrame, folder: str, stamp: str) -> None:
     records.write.mode("errorifexists").parquet(f"{folder}/versions/{stamp}")
 

@@ -43,3 +43,37 @@ def links(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame
     path = F.when(F.col("href").startswith("/"), F.col("href")).when(own != "", F.regexp_replace("href", "^https?://[^/]+", "")).otherwise(F.concat(F.lit("/"), "href"))
     found = found.filter((own == "") | (own == F.col("host"))).select("host", path.alias("path")).distinct()
     return found.withColumn("is_pdf", F.lower("path").endswith(".pdf"))
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """An address against the page it stands on, without fragment; null for other schemes than http.
+
+    Steps up ("../") are taken one after another, ones beyond the root are left out.
+    """
+    bare = F.regexp_replace(href, "#.*$", "")
+    scheme, root = F.regexp_extract(base, "^(https?:)", 1), F.regexp_extract(base, "^(https?://[^/?#]+)", 1)
+    path = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "^https?://[^/]+", "")
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    whole = (
+        F.when(bare.rlike("(?i)^https?://"), bare).when(bare.startswith("//"), F.concat(scheme, bare)).when(bare.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), None)
+        .when(bare == "", None).when(bare.startswith("/"), F.concat(root, bare)).when(bare.startswith("?"), F.concat(root, path, bare)).otherwise(F.concat(root, folder, bare))
+    )
+    head, tail = F.regexp_extract(whole, "^(https?://[^/?#]+)", 1), F.regexp_extract(whole, "([?].*)$", 1)
+    steps = F.split(F.regexp_replace(F.regexp_replace(whole, "[?].*$", ""), "^https?://[^/]+/?", ""), "/", -1)
+    none = F.array().cast("array<string>")
+    taken = F.aggregate(
+        steps, none,
+        lambda done, s: F.when(s == ".", done).when(s == "..", F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done)).otherwise(F.concat(done, F.array(s))),
+    )
+    return F.when(whole.isNotNull() & (head != ""), F.concat(head, F.lit("/"), F.array_join(taken, "/"), tail))
+
+
+def resolved_links(pages: DataFrame, include: str = ".", exclude: str = "^$") -> DataFrame:
+    """host, url and is_pdf of the distinct links of pages (url, html) to their own host, in order."""
+    href = F.regexp_extract_all("html", F.lit(r"""<a\b[^>]*?\bhref\s*=\s*["']([^"']*)"""), F.lit(1))
+    found = pages.select("url", F.explode(href).alias("href"))
+    found = found.select(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_replace(resolved(F.col("href"), F.col("url")), "/+$", "").alias("url"))
+    own = F.regexp_extract("url", "^https?://([^/?#]+)", 1) == F.col("host")
+    found = found.filter(F.col("url").isNotNull() & own & F.col("url").rlike(include) & ~F.col("url").rlike(exclude)).distinct()
+    return found.withColumn("is_pdf", F.lower("url").endswith(".pdf")).orderBy("host", "url")

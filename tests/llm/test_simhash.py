@@ -84,3 +84,14 @@ def test_links_of_chosen_fingerprints(spark):
     for most in (4096, 3):  # 3: most buckets are cut into blocks
         got = {r.node: r.label for r in connected_components(simhash.fingerprint_links(df, most)).collect()}
         assert {x: got.get(x, x) for x in signed} == want
+
+
+def test_a_bucket_that_outgrows_its_task_streams_through():
+    import pyarrow as pa
+
+    rows = [(1, 8), (1, 9)] + [(5, 100 + n) for n in range(50)] + [(6, 16), (6, 17), (7, 1)]
+    for size in (1, 3, 7, 100):
+        batches = [pa.RecordBatch.from_pydict({"key": [k for k, _ in part], "fp": [f for _, f in part]}) for part in (rows[i : i + size] for i in range(0, len(rows), size))]
+        out = [r for b in simhash._links_of_sorted(iter(batches), 10) for r in b.to_pylist()]
+        assert sorted(r["a"] for r in out if r["key"] == 5) == [100 + n for n in range(50)]
+        assert {(r["a"], r["b"]) for r in out if r["key"] is None} == {(8, 9), (16, 17)}

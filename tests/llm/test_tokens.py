@@ -1,4 +1,6 @@
+import json
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -50,3 +52,11 @@ def test_every_prefix(library):
 def test_prefix_tables(spark, library):
     got = tokens.prefix_tables(documents(spark, [(1, "It's here", "s"), (2, None, "s")]), PATH).collect()
     assert {r.doc_id: r.counts for r in got} == {1: [len(library.encode("It's here"[:i]).ids) for i in range(10)], 2: [0]}
+
+
+def test_other_kinds_of_vocabulary_are_refused():
+    spec = json.loads(Path(PATH).read_text(encoding="utf-8"))
+    tokens._must_be_plain(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**spec["model"], "byte_fallback": True}}, {"added_tokens": [{"content": "x", "lstrip": True}]}):
+        with pytest.raises(ValueError, match=next(iter(change))):
+            tokens._must_be_plain({**spec, **change})

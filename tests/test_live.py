@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from brindle.operators import corpus, live, pages
 from brindle.plans import calls, queries
+from brindle.streaming import nudges
 
 DATA = "/root/testdata/sf0.001"
 
@@ -67,3 +68,21 @@ def test_chunks():
 def test_page_blocks():
     html = "<body><nav><li>menu</li></nav><main><h2>Q &amp; A</h2><button>How long does it take?</button><button>Read more</button><ul><li><p>Nested text</p></ul><p>One<p>Two <b>bold</main><p>outside</p>"
     assert pages.parse(html) == [("h2", "Q & A"), ("h4", "How long does it take?"), ("li", "Nested text"), ("p", "Nested text"), ("p", "One"), ("p", "Two bold")]
+
+
+def test_late_events_are_dropped_by_the_watermark(spark, tmp_path):
+    """Three micro-batches: what comes two hours behind the newest event is late, half an hour is not."""
+    batches = [[("2024-01-02 12:00:00", 1.0)], [("2024-01-02 10:00:00", 10.0), ("2024-01-02 11:30:00", 100.0)], [("2024-01-05 00:00:00", 1000.0)]]
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame([("a", t, v) for t, v in rows], "event_type string, ts string, value double")
+        df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("event_type string, ts timestamp, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = nudges.run_available(nudges.windowed_counts(stream, width="1 hour"), f"{tmp_path}/sink")
+    assert sorted((r.start.hour, r.n, r.total) for r in got.collect()) == [(11, 1, 100.0), (12, 1, 1.0)]
+
+
+def test_signals_that_would_show_the_same_words(spark):
+    """Two cues of one kind with other evidence show one text, so the second is a duplicate however late it comes."""
+    rows = [(1, 1, "frustration", "capek", 0.9, 0.0), (1, 2, "frustration", "fed up", 0.9, 50.0), (1, 3, "risk", "a fee", 0.9, 60.0), (1, 4, "risk", "a waiver", 0.9, 120.0), (2, 1, "frustration", "kesal", 0.9, 50.0)]
+    df = spark.createDataFrame(rows, "call_id long, seq long, kind string, detail string, confidence double, at double")
+    assert {(r.call_id, r.seq): r.outcome for r in live.suppress(df).collect()} == {(1, 1): "emitted", (1, 2): "duplicate", (1, 3): "emitted", (1, 4): "emitted", (2, 1): "emitted"}
