@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch; long rows then come a few at a time.
+BATCH_BYTES = 2 << 20
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 _sent: set[str] = set()
 
 
@@ -25,10 +33,32 @@ def ship(spark: SparkSession) -> None:
     _sent.add(context.applicationId)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with the package at hand in the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+def _given_back(function: Callable) -> Callable:
+    """``function``, after which the worker hands its free memory back: Spark keeps workers for later tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return run
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with the package at hand in the workers.
+
+    The session's batches are bounded by bytes as well as by rows, so that a worker's memory does not
+    depend on how long the rows are; a setting of the user's own stays.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_LIMIT, None) == _DEFAULT:
+        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+    return df.mapInArrow(_given_back(function), schema)
 
 
 def spread(df: DataFrame) -> DataFrame:
