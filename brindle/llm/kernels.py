@@ -118,15 +118,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def joined_blocks(texts: list[bytes], limit: int = BLOCK) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
-    """Groups texts into newline-joined buffers of about ``limit`` bytes.
+def joined_blocks(texts: list[bytes], limit: int = BLOCK, most: int = 1 << 16) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """Groups texts into newline-joined buffers of about ``limit`` bytes and at most ``most`` texts.
 
     Yields (first index, end index, buffer, offset of each text in it and one past the last).
     """
     at = 0
     while at < len(texts):
         stop, size = at + 1, len(texts[at]) + 1
-        while stop < len(texts) and size + len(texts[stop]) < limit:
+        while stop < len(texts) and stop - at < most and size + len(texts[stop]) < limit:
             size += len(texts[stop]) + 1
             stop += 1
         part = texts[at:stop]

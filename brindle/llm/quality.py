@@ -37,6 +37,8 @@ SHAPES, LEXICAL, DIMENSIONS, NEIGHBOURS, ACCEPT = 2048, 4096, 32, 15, 0.3
 BINS = SHAPES + LEXICAL
 #: Sum of the shares of the lexical terms, where those of the shapes sum to one.
 LEXICAL_WEIGHT = 0.25
+#: Texts whose dense term rows are held at once, however short they are.
+_ROWS = 128
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:], _SHAPE[48:58] = ord("A"), ord("a"), ord("a"), ord("0")
@@ -48,7 +50,7 @@ _REPEAT = SHAPES - 1
 
 def term_shares(texts: list[bytes]) -> Iterator[np.ndarray]:
     """For groups of texts, a row for each: the share of every hashed term among its terms."""
-    for first, end, data, offsets in kernels.joined_blocks(texts):
+    for first, end, data, offsets in kernels.joined_blocks(texts, most=_ROWS):
         n = end - first
         plain, begins, _ = kernels.hash_words(data)
         doc = np.searchsorted(offsets, begins, side="right") - 1
@@ -112,14 +114,16 @@ def fit(shares: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS, ne
     if not len(labels):
         return NeighbourModel(np.ones(BINS, np.float32), np.zeros((BINS, 1), np.float32), np.zeros((0, 1), np.float32), labels, neighbours)
     idf = np.log((1 + len(shares)) / (1 + (shares > 0).sum(0))).astype(np.float32) + np.float32(1)
-    x = np.sqrt(shares) * idf
+    x = np.sqrt(shares)
+    x *= idf
     probe = np.random.default_rng(7).standard_normal((BINS, dimensions + 8)).astype(np.float32)
     q = np.linalg.qr(x @ probe)[0]
     for _ in range(4):
         q = np.linalg.qr(x @ np.linalg.qr(x.T @ q)[0])[0]
     v = np.linalg.svd(q.T @ x, full_matrices=False)[2][:dimensions].T.astype(np.float32)
+    del x
     model = NeighbourModel(idf, v, np.zeros((0, dimensions), np.float32), labels.astype(float), neighbours)
-    model.vectors = model.embed(shares)
+    model.vectors = np.concatenate([model.embed(shares[at : at + _ROWS]) for at in range(0, len(shares), _ROWS)])
     return model
 
 
@@ -129,9 +133,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernels.small_batches(batches, "text"):
-            out = [r for s in term_shares(kernels.text_bytes(batch.column("text"))) for r in s]
-            held = [np.flatnonzero(r).astype(np.int32) for r in out]
-            columns = [batch.column("id"), batch.column("label"), pa.array([h.tobytes() for h in held], pa.binary()), pa.array([r[h].tobytes() for r, h in zip(out, held)], pa.binary())]
+            terms, values = [], []
+            for shares in term_shares(kernels.text_bytes(batch.column("text"))):
+                for row in shares:
+                    held = np.flatnonzero(row).astype(np.int32)
+                    terms.append(held.tobytes())
+                    values.append(row[held].tobytes())
+            columns = [batch.column("id"), batch.column("label"), pa.array(terms, pa.binary()), pa.array(values, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "label", "term", "share"])
 
     rows = map_arrow(labelled_sample(docs, usable, label, sample, id_col, text_col), run, "id long, label int, term binary, share binary").collect()

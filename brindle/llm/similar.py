@@ -59,6 +59,8 @@ _PRINTS = [f"f{n}" for n in range(BITS // 64)]
 _SALTS = kernels.mix64(np.arange(1, len(_PRINTS) + 1, dtype=np.uint64))
 _FACTORS = kernels.mix64(np.arange(101, 101 + BANDS * MINIMA, dtype=np.uint64)) | np.uint64(1)
 _PIECE = 1 << 10
+#: Shingles looked up at once.
+_FLAT = 1 << 18
 
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -192,14 +194,20 @@ def _first_pairs(buckets: DataFrame) -> DataFrame:
 
 def _overlaps(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles of ``one`` stand in each of ``sets`` (sorted, distinct, none empty but where all are)."""
-    sizes = np.array([len(x) for x in sets])
-    flat = np.concatenate(sets)
-    if not len(one) or not len(flat):
+    ends = np.cumsum([len(x) for x in sets])
+    if not len(one) or not ends[-1]:
         return np.zeros(len(sets), np.int64)
-    there = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
-    sums = np.concatenate(([0], np.cumsum(there)))
-    ends = np.cumsum(sizes)
-    return sums[ends] - sums[ends - sizes]
+    found, at = [], 0
+    while at < len(sets):  # a bounded number of shingles at a time, one set at least
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - len(sets[at]) + _FLAT, side="right")))
+        flat = np.concatenate(sets[at:stop])
+        there = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        sums = np.concatenate(([0], np.cumsum(there)))
+        sizes = np.array([len(x) for x in sets[at:stop]])
+        last = np.cumsum(sizes)
+        found.append(sums[last] - sums[last - sizes])
+        at = stop
+    return np.concatenate(found)
 
 
 def links_of_block(cids: np.ndarray, labels: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], left: int, similarity: float) -> list[tuple[int, int]]:
@@ -235,14 +243,14 @@ def _links_of_blocks(similarity: float):
         held: list[pa.RecordBatch] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(held).combine_chunks()
+            sets = [np.frombuffer(v.as_buffer(), np.uint64) for part in held for v in part.column("shingles")]  # views, no copies
+            rows = pa.Table.from_batches(held).drop_columns("shingles")
             held.clear()
             sides = rows.column("side").to_numpy()
             left = len(sides) if rows.column("x")[0] == rows.column("y")[0] else int((sides == 0).sum())
             if len(sides) < 2 or not left:
                 return
             prints = np.stack([rows.column(f).to_numpy() for f in _PRINTS], axis=1)
-            sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows.column("shingles")]
             found = links_of_block(rows.column("cid").to_numpy(), rows.column("label").to_numpy(), prints, sets, left, similarity)
             if found:
                 a, b = zip(*found)
