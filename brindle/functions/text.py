@@ -203,3 +203,12 @@ def sentences(text: Column) -> Column:
 def fill_template(template: Column, detail: Column) -> Column:
     stop = F.when(detail.rlike(r"[.!?]$") | (detail == ""), detail).otherwise(F.concat(detail, F.lit(".")))
     return F.replace(template, F.lit("{detail}"), stop)
+
+
+def running_sums(numbers: Column, block: int = 256) -> Column:
+    """Running sums of an array of integers, in blocks, so that long arrays do not take quadratic work."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(numbers) - 1, F.lit(0)), F.lit(block))
+    blocks = F.transform(starts, lambda k: F.struct(F.slice(numbers, k + 1, F.lit(block)).alias("part"), total(F.slice(numbers, k + 1, F.lit(block))).alias("sum")))
+    before = lambda n: F.aggregate(F.slice(blocks, F.lit(1), n), F.lit(0), lambda a, b: a + b["sum"])
+    return F.flatten(F.transform(blocks, lambda b, n: F.transform(b["part"], lambda _, k: before(n) + total(F.slice(b["part"], F.lit(1), k + 1)))))

@@ -107,13 +107,20 @@ def indexed_pairs(rows: DataFrame) -> DataFrame:
 
     Six differing bits leave three of nine blocks equal, so the 84 keys of three blocks together miss no
     pair; a key's 21 bits keep its bucket at a two-millionth of the rows, and the pairs met in proportion.
+    Keys are joined for distinct signatures only: however many records share one, they meet once.
     """
-    keyed = rows.select("seq", "language", "sig", F.explode(_keys("sig")).alias("key"))
-    left = keyed.select(F.col("seq").alias("a"), "language", F.col("sig").alias("sa"), "key")
-    right = keyed.select(F.col("seq").alias("b"), "language", F.col("sig").alias("sb"), "key")
-    distance = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))
-    near = left.join(right, ["language", "key"]).filter((F.col("a") < F.col("b")) & (distance <= RADIUS))
-    return near.select("a", "b", distance.cast("int").alias("distance")).distinct()
+    members = rows.select("seq", "language", "sig")
+    keyed = members.select("language", "sig").distinct().withColumn("key", F.explode(_keys("sig")))
+    left = keyed.select("language", F.col("sig").alias("sa"), "key")
+    right = keyed.select("language", F.col("sig").alias("sb"), "key")
+    distance = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))).cast("int")
+    near = left.join(right, ["language", "key"]).filter((F.col("sa") < F.col("sb")) & (distance <= RADIUS)).drop("key").distinct()
+    same = members.groupBy("language", F.col("sig").alias("sa")).agg(F.count("*").alias("n")).filter("n > 1").select("language", "sa", F.col("sa").alias("sb"))
+    met = near.unionByName(same).withColumn("distance", distance)
+    met = met.join(members.select("language", F.col("sig").alias("sa"), F.col("seq").alias("x")), ["language", "sa"])
+    met = met.join(members.select("language", F.col("sig").alias("sb"), F.col("seq").alias("y")), ["language", "sb"])
+    met = met.filter((F.col("x") < F.col("y")) | (F.col("x") > F.col("y")) & (F.col("sa") != F.col("sb")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance").distinct()
 
 
 def shingle_pairs(rows: DataFrame, threshold: float = JACCARD) -> DataFrame:

@@ -1,6 +1,12 @@
 """Corpus queries on rows that the shared tables do not hold."""
 
-from brindle.operators import corpus
+import itertools
+import random
+
+from pyspark.sql import functions as F
+
+from brindle.functions import text as T
+from brindle.operators import corpus, dedupe
 from brindle.plans import queries
 
 
@@ -25,3 +31,24 @@ def test_headings_of_any_length(spark):
     head = "h" * ((1 << 20) + 9)
     row = corpus.sections(spark.createDataFrame([(1, f"## {head}\nbody")], "doc_id long, text string")).first()
     assert row.heading == head and row.body == "body"
+
+
+def test_pairs_of_shared_signatures(spark):
+    """Many records on few signatures, null languages among them, against all pairs."""
+    chance, rows = random.Random(5), []
+    base = [chance.getrandbits(64) for _ in range(8)]
+    for seq in range(200):
+        sig = base[chance.randrange(8)]
+        for _ in range(chance.choice([0, 0, 1, 3, 6])):
+            sig ^= 1 << chance.randrange(64)
+        rows.append((seq, chance.choice(["en", "hi", None]), sig - (sig >> 63 << 64)))
+    got = dedupe.indexed_pairs(spark.createDataFrame(rows, "seq long, language string, sig long")).collect()
+    far = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    want = [(a, b, far(x, y)) for a, m, x in rows for b, n, y in rows if a < b and m == n is not None and far(x, y) <= 6]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_running_sums_of_long_arrays(spark):
+    numbers = list(range(1000))
+    row = spark.createDataFrame([(numbers, [])], "a array<int>, b array<int>").select(T.running_sums(F.col("a")).alias("a"), T.running_sums(F.col("b")).alias("b")).first()
+    assert row.a == list(itertools.accumulate(numbers)) and row.b == []
