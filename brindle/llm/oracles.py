@@ -73,5 +73,41 @@ select doc_id, size, source_size, target, (passes * size + part)::bigint as take
 from timed"""
 
 
+SQL_op13_importance_resampling = r"""
+with recursive crc(b, step, c) as (
+  select b, 0, b::bigint from range(256) r(b)
+  union all select b, step + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where step < 8
+), entries as (
+  select list(c order by b) as entry from crc where step = 8
+), docs as (
+  select row_number() over () as id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents
+), items as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as word from benchmark
+), said as (
+  select id, unnest(words) as word from docs
+), coded as (
+  select word, hex(encode(word)) as code from (select word from said union select word from items)
+), hashed as (
+  select word, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(code) // 2 + 1), lambda i: ('0x' || substr(code, 2 * i - 1, 2))::bigint)),
+    lambda c, b: xor(c >> 8, entry[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket from coded, entries
+), ours as (
+  select bucket, count(*) as s from said join hashed using (word) group by bucket
+), theirs as (
+  select bucket, count(*) as t from items join hashed using (word) group by bucket
+), gains as (
+  select bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((select coalesce(sum(s), 0) from ours)::double + 10000)) / ((s + 1)::double * ((select coalesce(sum(t), 0) from theirs)::double + 10000))))::bigint as gain
+  from ours left join theirs using (bucket)
+), weighed as (
+  select id, floor(sum(gain) / count(*))::bigint as weight from said join hashed using (word) join gains using (bucket) group by id
+), scored as (
+  select doc_id, len(words)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5)::double / 4294967296)))::bigint as score
+  from docs left join weighed using (id)
+), placed as (
+  select *, row_number() over (order by (n_features < 20), score desc, doc_id nulls last, n_features) as place, (10 * count(*) filter (where n_features >= 20) over ()) // 100 as drawn from scored
+)
+select doc_id, n_features, weight, score::bigint as score, case when place <= drawn then place end as rank from placed"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name[4:]: text for name, text in globals().items() if name.startswith("SQL_")}

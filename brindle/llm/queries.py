@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import spread
-from . import decontaminate, html, lines, mixing, pii, quality, simhash, tokens, topk, toxicity
+from . import decontaminate, html, lines, mixing, pii, quality, resample, simhash, tokens, topk, toxicity, winnow
 
 #: Vocabulary file that operator 9 counts with.
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,5 +62,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
