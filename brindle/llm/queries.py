@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import spread
-from . import decontaminate, html, lines, mixing, pii, quality, resample, simhash, tokens, topk, toxicity, winnow
+from . import align, decontaminate, html, lines, mixing, pii, quality, resample, simhash, tokens, topk, toxicity, winnow
 
 #: Vocabulary file that operator 9 counts with.
 TOKENIZER = "byte_bpe_50k.json"
 
+#: Vocabulary files that operator 11 aligns.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -62,6 +65,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.digest(_table(spark, sf_dir, "documents"), tuple(str(public_tokenizers.path(x)) for x in ALIGNED))
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digest(_table(spark, sf_dir, "documents"))
 
