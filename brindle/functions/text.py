@@ -205,10 +205,44 @@ def fill_template(template: Column, detail: Column) -> Column:
     return F.replace(template, F.lit("{detail}"), stop)
 
 
+def once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often and wherever it is read.
+
+    Inside a lambda of a higher-order function a plain expression would be computed again for each element.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def running_sums(numbers: Column, block: int = 256) -> Column:
     """Running sums of an array of integers, in blocks, so that long arrays do not take quadratic work."""
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(numbers) - 1, F.lit(0)), F.lit(block))
-    blocks = F.transform(starts, lambda k: F.struct(F.slice(numbers, k + 1, F.lit(block)).alias("part"), total(F.slice(numbers, k + 1, F.lit(block))).alias("sum")))
-    before = lambda n: F.aggregate(F.slice(blocks, F.lit(1), n), F.lit(0), lambda a, b: a + b["sum"])
-    return F.flatten(F.transform(blocks, lambda b, n: F.transform(b["part"], lambda _, k: before(n) + total(F.slice(b["part"], F.lit(1), k + 1)))))
+    starts = lambda xs: F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(block))
+    cut = lambda xs: F.transform(F.transform(starts(xs), lambda k: F.slice(xs, k + 1, F.lit(block))), lambda part: F.struct(part.alias("part"), total(part).alias("sum")))
+    within = lambda before, part: F.transform(part, lambda _, k: before + total(F.slice(part, F.lit(1), k + 1)))
+    before = lambda blocks, n: F.aggregate(F.slice(blocks, F.lit(1), n), F.lit(0), lambda a, b: a + b["sum"])
+    summed = lambda blocks: F.flatten(F.transform(blocks, lambda b, n: once(before(blocks, n), lambda base: within(base, b["part"]))))
+    return once(numbers, lambda xs: once(cut(xs), summed))
+
+
+def match_starts(matches: Column, gaps: Column) -> Column:
+    """Where each match of a pattern starts, from 0: the gaps (what splitting by it leaves) and the matches before it."""
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
+    steps = F.zip_with(lengths(gaps), F.concat(F.array(F.lit(0)), lengths(matches)), lambda g, m: g + m)
+    return F.slice(running_sums(steps), F.lit(1), F.size(matches))
+
+
+_BITS = 12
+
+
+def blocks(text: Column) -> Column:
+    """A text in pieces of 4,096 code points, for ``between``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << _BITS}}}"), F.lit(0))
+
+
+def between(held: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a text's ``blocks``; unlike a substring it does not count from the text's beginning."""
+    first, last, inside = F.shiftright(start, _BITS), F.shiftright(end, _BITS), F.lit((1 << _BITS) - 1)
+    at = lambda n: F.coalesce(F.get(held, n), F.lit(""))
+    head, tail = start.bitwiseAND(inside) + 1, end.bitwiseAND(inside)
+    middle = F.array_join(F.slice(held, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first == last, F.substr(at(first), head, end - start)).otherwise(F.concat(F.substr(at(first), head), middle, F.substr(at(last), F.lit(1), tail)))
