@@ -1,11 +1,11 @@
 """Alignment of two tokenisations of the same texts (operator 11).
 
 Two encoders cut the same bytes into tokens.  Each gives a table of *end events*: where each of its
-tokens ends, in bytes, with the token's id.  The tables are united, partitioned by document and
+tokens ends, in bytes, with the token's id.  The events of both sides are united, partitioned by document and
 sorted within partitions by offset; a machine streams through a partition and cuts a document where
 both sides end.  Between two cuts lies a *group*; the tokens of both sides that end at a cut are
-*linked*.  An event row holds a run of at most ``RUN`` tokens (their lengths and ids as bytes), so a
-document costs a few rows to shuffle, not one for each token.  The machine holds the runs of each
+*linked*.  An event row holds a run of at most ``RUN`` tokens (its start and their ids as bytes; an id gives
+the length and so the end), so a document costs a few rows to shuffle, not one for each token.  The machine holds the runs of each
 side that the other has not reached yet and the open group, so its memory does not grow with the
 length of a document.
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shipping import map_arrow
+from ..shipping import map_arrow, spread
 from . import kernels
 from .storage import materialize
 from .tokens import _byte_letters, _must_be_plain
@@ -50,7 +50,7 @@ RUN = 1 << 14
 MOST_UNITS, MOST_UNIT_BYTES = 600_000, 16 << 20
 #: Pairs of ids that are broadcast with their counts.
 MOST_PAIRS = 1_000_000
-EVENTS = "row long, doc_id long, side int, start long, lengths binary, ids binary"
+EVENTS = "row long, doc_id long, side int, start long, ids binary"
 
 
 class JsonEncoder:
@@ -99,52 +99,68 @@ def encoder(path: str) -> JsonEncoder | PieceEncoder:
     return JsonEncoder(path) if path.endswith(".json") else PieceEncoder(path)
 
 
-class Units:
-    """Encodes texts by their units and remembers those.
-
-    ``place`` holds the units that are one word, neither begun nor ended by white space: where a text has
-    only those, they are what splitting it at spaces gives.  ``other`` holds the rest.
-    """
+class Side:
+    """What one encoder makes of the units known: ids, laid end to end."""
 
     def __init__(self, of: JsonEncoder | PieceEncoder):
         self.of = of
-        sizes = [len(b) for b in of.bytes_of]
-        self.lengths = np.array(sizes, np.uint8 if max(sizes) < 256 else np.uint32)
-        self.id_type = np.uint16 if len(sizes) <= 1 << 16 else np.uint32
+        self.lengths = np.array([len(b) for b in of.bytes_of], np.int64)
+        self.id_type = np.uint16 if len(self.lengths) <= 1 << 16 else np.uint32
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.other: dict[str, int] = {}
         self.flat, self.starts, self.sizes = np.zeros(1 << 16, self.id_type), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.n = self.used = self.n_bytes = 0
+        self.n = self.used = 0
 
-    def _keep(self, ids: np.ndarray, sizes: np.ndarray, n_bytes: int) -> None:
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         """New units, numbered on: their ids, and how many each has (-1: not its bytes)."""
         room = lambda held, n: held if n <= len(held) else np.concatenate([held, np.zeros(max(n, len(held)), held.dtype)])
         self.flat, self.starts, self.sizes = room(self.flat, self.used + len(ids)), room(self.starts, self.n + len(sizes)), room(self.sizes, self.n + len(sizes))
         own, now = np.maximum(sizes, 0), slice(self.n, self.n + len(sizes))
         self.flat[self.used : self.used + len(ids)] = ids
         self.sizes[now], self.starts[now] = sizes, self.used + np.cumsum(own) - own
-        self.n, self.used, self.n_bytes = self.n + len(sizes), self.used + len(ids), self.n_bytes + n_bytes
+        self.n, self.used = self.n + len(sizes), self.used + len(ids)
 
-    def _learn(self, words: list[str]) -> None:
+    def learn_words(self, words: list[str]) -> None:
         """Words are encoded as one text, which is parted where each ends."""
-        self.place.update(zip(words, range(self.n, self.n + len(words))))
         joined = " " + " ".join(words)
         ids = np.array(self.of.encode([joined])[0], self.id_type)
-        ends, reached = np.cumsum([1 + len(w.encode()) for w in words]), np.cumsum(self.lengths[ids], dtype=np.int64)
+        ends, reached = np.cumsum([1 + len(w.encode()) for w in words]), np.cumsum(self.lengths[ids])
         upto = np.searchsorted(reached, ends, "right")
         if b"".join([self.of.bytes_of[n] for n in ids.tolist()]) == joined.encode() and np.array_equal(reached[upto - 1], ends):
-            self._keep(ids, np.diff(upto, prepend=0), len(joined))
+            self._keep(ids, np.diff(upto, prepend=0))
         else:
-            self._each(words)
+            self.learn_each(words)
 
-    def _each(self, units: list[str]) -> None:
+    def learn_each(self, units: list[str]) -> None:
         for unit, ids in zip(units, self.of.encode([" " + u for u in units])):
-            data = b" " + unit.encode()
-            good = b"".join([self.of.bytes_of[n] for n in ids]) == data
-            self._keep(np.array(ids if good else [], self.id_type), np.array([len(ids) if good else -1]), len(data))
+            good = b"".join([self.of.bytes_of[n] for n in ids]) == b" " + unit.encode()
+            self._keep(np.array(ids if good else [], self.id_type), np.array([len(ids) if good else -1]))
+
+    def gathered(self, at: np.ndarray) -> np.ndarray | None:
+        """The ids of a text whose units these are; None if they do not give its bytes back."""
+        sizes = self.sizes[at]
+        if sizes.min() < 0:
+            return None
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+
+
+class Units:
+    """Encodes texts by their units, on one side or more, and remembers those."""
+
+    def __init__(self, *of: JsonEncoder | PieceEncoder):
+        self.sides = [Side(e) for e in of]
+        self.cuts = all(e.cuts for e in of)
+        self.place: dict[str, int] = {}
+        self.n_bytes = 0
+
+    def _learn(self, units: list[str], how: str) -> None:
+        if units:
+            self.place.update(zip(units, range(len(self.place), len(self.place) + len(units))))
+            self.n_bytes += sum(map(len, units))
+            for side in self.sides:
+                getattr(side, how)(units)
 
     @staticmethod
     def parted(text: str) -> list[str]:
@@ -161,82 +177,85 @@ class Units:
             closed = bool(word) and not word[-1].isspace()
         return [" ".join(x) for x in out]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Each text's ids; None if they do not give its bytes back.  What is new in all of them is encoded at once."""
-        if self.n > MOST_UNITS or self.n_bytes > MOST_UNIT_BYTES:
-            self.forget()
-        place, other, cuts = self.place, self.other, self.of.cuts
-        parts = [text.split(" ") if cuts else [text] for text in texts]
-        found = [list(map(place.get, words)) for words in parts]
-        lacking = [n for n, places in enumerate(found) if None in places]
-        new = dict.fromkeys(chain.from_iterable(parts[n] for n in lacking))
-        words = [w for w in new if w not in place]
-        loose = {w for w in words if not w or w[0].isspace() or w[-1].isspace()} if cuts else set(words)
-        if len(words) > len(loose):
-            self._learn([w for w in words if w not in loose])
-        odd = {n: self.parted(texts[n]) if cuts else parts[n] for n in lacking if loose and not loose.isdisjoint(parts[n])}
-        rest = [u for u in dict.fromkeys(chain.from_iterable(odd.values())) if u not in place and u not in other]
-        other.update(zip(rest, range(self.n, self.n + len(rest))))
-        self._each(rest)
-        for n in lacking:
-            found[n] = [place[u] if u in place else other[u] for u in odd[n]] if n in odd else list(map(place.get, parts[n]))
-        return [self._gathered(np.array(places)) for places in found]
-
-    def _gathered(self, at: np.ndarray) -> np.ndarray | None:
-        sizes = self.sizes[at]
-        if sizes.min() < 0:
-            return None
-        ends = np.cumsum(sizes)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
-
-
-@lru_cache(maxsize=8)
-def units(path: str) -> Units:
-    return Units(encoder(path))
+    def encode(self, texts: list[str]) -> list[list[np.ndarray | None]]:
+        """For each side, each text's ids; None if they do not give its bytes back.
+
+        A word that neither begins nor ends with white space is a unit; a text with other words is cut more
+        slowly.  What is new in all the texts is encoded at once.
+        """
+        if len(self.place) > MOST_UNITS or self.n_bytes > MOST_UNIT_BYTES:
+            self.place, self.n_bytes = {}, 0
+            for side in self.sides:
+                side.forget()
+        parts = [text.split(" ") if self.cuts else [text] for text in texts]
+        words = dict.fromkeys(chain.from_iterable(parts))
+        loose = {w for w in words if not w or w[0].isspace() or w[-1].isspace()} if self.cuts else set(words)
+        if loose and self.cuts:
+            parts = [p if loose.isdisjoint(p) else self.parted(t) for p, t in zip(parts, texts)]
+            words = dict.fromkeys(chain.from_iterable(parts))
+        place = self.place
+        new = [u for u in words if u not in place]
+        free = [u for u in new if self.cuts and u not in loose and " " not in u]
+        self._learn(free, "learn_words")
+        self._learn([u for u in new if u not in place] if len(free) < len(new) else [], "learn_each")
+        here = {u: place[u] for u in words}  # the words of these texts alone: a small table
+        found = [np.array(list(map(here.get, p))) for p in parts]
+        return [[side.gathered(at) for at in found] for side in self.sides]
+
+
+@lru_cache(maxsize=4)
+def units(vocabularies: tuple[str, ...]) -> Units:
+    return Units(*map(encoder, vocabularies))
 
 
 def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id and text, written to the shared folder, so that both sides number the rows alike."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows, "numbered")
+    """row, doc_id and text; a row's number is its place in ``docs``, which must give its rows in the same order whenever it is read."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def encoded(held: Units, data: list[bytes]) -> list[np.ndarray]:
-    """The ids of texts, none for those that are empty, no text at all, or not given back."""
+def encoded(held: Units, data: list[bytes]) -> list[list[np.ndarray]]:
+    """For each side the ids of texts; none on any for those that are empty, no text at all, or not given back."""
     texts = [d.decode(errors="replace") for d in data]
     good = [n for n, (d, t) in enumerate(zip(data, texts)) if d and ("\ufffd" not in t or t.encode() == d)]
-    out = [np.zeros(0, held.id_type)] * len(data)
-    for n, ids in zip(good, held.encode([texts[n] for n in good])):
-        out[n] = out[n] if ids is None else ids
+    made = held.encode([texts[n] for n in good]) if good else [[] for _ in held.sides]
+    out = [[np.zeros(0, side.id_type)] * len(data) for side in held.sides]
+    for place, n in enumerate(good):
+        if all(ids[place] is not None for ids in made):
+            for side, ids in enumerate(made):
+                out[side][n] = ids[place]
     return out
 
 
-def end_events(rows: DataFrame, side: int, vocabulary: str) -> DataFrame:
-    """``EVENTS`` of one side: token lengths (which give the ends) and ids in runs; a text without tokens has one empty run."""
+def end_events(rows: DataFrame, vocabularies: dict[int, str]) -> DataFrame:
+    """``EVENTS`` of the sides named: where a run of tokens starts, in bytes, and its ids, whose lengths give the ends.
+
+    A text without tokens has one empty run.  Both sides in one pass read the texts once; tables of single sides can be united.
+    """
+    numbers, paths = list(vocabularies), tuple(vocabularies.values())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = units(vocabulary)
+        held = units(paths)
         for batch in kernels.small_batches(batches, "text", 2 << 20):
-            numbers, keys = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()
+            row_numbers, keys = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()
             out: list[list] = [[], [], [], [], []]
-            for number, key, ids in zip(numbers, keys, encoded(held, kernels.text_bytes(batch.column("text")))):
-                lengths, start = held.lengths[ids], 0
-                for at in range(0, max(len(ids), 1), RUN):
-                    part = lengths[at : at + RUN]
-                    for column, value in zip(out, (number, key, start, part.tobytes(), ids[at : at + RUN].tobytes())):
-                        column.append(value)
-                    start += int(part.sum(dtype=np.int64))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            row, key, start, lengths, ids = (pa.array(c, k) for c, k in zip(out, kinds))
-            yield pa.RecordBatch.from_arrays([row, key, pa.array(np.full(len(row), side, np.int32)), start, lengths, ids], ["row", "doc_id", "side", "start", "lengths", "ids"])
+            for number, side, texts in zip(numbers, held.sides, encoded(held, kernels.text_bytes(batch.column("text")))):
+                for row, key, ids in zip(row_numbers, keys, texts):
+                    start = 0
+                    for at in range(0, max(len(ids), 1), RUN):
+                        part = ids[at : at + RUN]
+                        for column, value in zip(out, (row, key, number, start, part.tobytes())):
+                            column.append(value)
+                        start += int(side.lengths[part].sum())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["row", "doc_id", "side", "start", "ids"])
 
     return map_arrow(rows.select("row", "doc_id", "text"), run, EVENTS)
 
 
-def sorted_events(first: DataFrame, second: DataFrame) -> DataFrame:
+def sorted_events(events: DataFrame) -> DataFrame:
     """The end events of both sides, a document's together and in the order of their offsets."""
-    parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return first.unionAll(second).repartition(parts, "row").sortWithinPartitions("row", "start", "side")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return events.repartition(parts, "row").sortWithinPartitions("row", "start", "side")
 
 
 class Cut(NamedTuple):
@@ -255,14 +274,16 @@ class Cut(NamedTuple):
     last: bool
 
 
-class Side:
+class Pending:
     """Tokens of one side that the other has not reached yet."""
 
-    def __init__(self) -> None:
-        self.ends, self.ids, self.at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    def __init__(self, of: Side):
+        self.of = of
+        self.ends, self.ids, self.at = np.zeros(0, np.int64), np.zeros(0, of.id_type), 0
 
-    def take(self, lengths: np.ndarray, ids: np.ndarray) -> None:
-        ends = self.at + np.cumsum(lengths, dtype=np.int64)
+    def take(self, data: bytes) -> None:
+        ids = np.frombuffer(data, self.of.id_type)
+        ends = self.at + np.cumsum(self.of.lengths[ids])
         self.ends, self.ids = (np.concatenate([self.ends, ends]), np.concatenate([self.ids, ids])) if len(self.ends) else (ends, ids)
         self.at = int(ends[-1]) if len(ends) else self.at
 
@@ -275,38 +296,42 @@ class Side:
         return ids, np.diff(upto, prepend=0)
 
 
-def sweep(batches: Iterable[pa.RecordBatch], types: tuple) -> Iterator[Cut]:
-    """Streams through sorted events; ``types``: the numpy types of lengths and ids of either side."""
-    row, doc_id, sides, done = None, None, (Side(), Side()), 0
+def common(a: np.ndarray, b: np.ndarray, done: int) -> np.ndarray:
+    """The ends that both sides have; all lie beyond ``done``."""
+    if not len(a) or not len(b):
+        return np.zeros(0, np.int64)
+    seen = np.zeros(int(max(a[-1], b[-1])) - done + 1, bool)
+    seen[b - done] = True
+    return a[seen[a - done]]
+
+
+def sweep(batches: Iterable[pa.RecordBatch], held: Units) -> Iterator[Cut]:
+    """Streams through sorted events and gives what lies between the ends that both sides share."""
+    row, doc_id, sides, done = None, None, [Pending(s) for s in held.sides], 0
     none = np.zeros(0, np.int64)
 
-    def closing(cuts: np.ndarray, last: bool) -> Cut:
+    def closing(last: bool) -> Cut | None:
         nonlocal done
+        a, b = sides
+        cuts = common(a.ends, b.ends, done) if not last or a.at == b.at else none
         if not len(cuts):
-            return Cut(row, doc_id, done, none, none, none, none, none, last)
-        (a, n_a), (b, n_b) = (s.give(cuts) for s in sides)
-        out = Cut(row, doc_id, done, cuts, a, b, n_a, n_b, last)
+            return Cut(row, doc_id, done, none, none, none, none, none, last) if last else None
+        (a_ids, n_a), (b_ids, n_b) = (s.give(cuts) for s in sides)
+        out = Cut(row, doc_id, done, cuts, a_ids, b_ids, n_a, n_b, last)
         done = int(cuts[-1])
         return out
 
     for batch in batches:
-        for number, key, side, _, lengths, ids in zip(*(batch.column(n).to_pylist() for n in range(6))):
+        for number, key, side, data in zip(*(batch.column(n).to_pylist() for n in ("row", "doc_id", "side", "ids"))):
             if number != row:
                 if row is not None:
-                    yield closing(np.intersect1d(sides[0].ends, sides[1].ends, assume_unique=True) if sides[0].at == sides[1].at else none, True)
-                row, doc_id, sides, done = number, key, (Side(), Side()), 0
-            a_type, id_type = types[side]
-            sides[side].take(np.frombuffer(lengths, a_type), np.frombuffer(ids, id_type))
-            if min(len(s.ends) for s in sides) >= RUN:  # both sides have more than one run: pass what both have reached
-                cuts = np.intersect1d(sides[0].ends, sides[1].ends, assume_unique=True)
-                if len(cuts):
-                    yield closing(cuts, False)
+                    yield closing(True)
+                row, doc_id, sides, done = number, key, [Pending(s) for s in held.sides], 0
+            sides[side].take(data)
+            if min(len(s.ends) for s in sides) >= RUN and (cut := closing(False)):  # pass what both sides have reached
+                yield cut
     if row is not None:
-        yield closing(np.intersect1d(sides[0].ends, sides[1].ends, assume_unique=True) if sides[0].at == sides[1].at else none, True)
-
-
-def _types(vocabularies: tuple[str, str]) -> tuple:
-    return tuple((units(v).lengths.dtype, units(v).id_type) for v in vocabularies)
+        yield closing(True)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
@@ -317,7 +342,7 @@ def groups(events: DataFrame, vocabularies: tuple[str, str]) -> DataFrame:
     """row, doc_id, start, end (bytes of space + text), a_ids and b_ids of every group."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cut in sweep(batches, _types(vocabularies)):
+        for cut in sweep(batches, units(vocabularies)):
             n = len(cut.ends)
             if n:
                 starts = np.concatenate(([cut.start], cut.ends[:-1]))
@@ -354,13 +379,12 @@ def passed(events: DataFrame, vocabularies: tuple[str, str]) -> DataFrame:
     without a pair, with n_a, n_b, n_groups and groups_sha256 ('' without tokens)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = [len(encoder(v).bytes_of) for v in vocabularies]
-        text = GroupText(*sizes)
+        text = GroupText(*(len(s.lengths) for s in units(vocabularies).sides))
         whole, n_a, n_b, n_groups, ended = hashlib.sha256(), 0, 0, 0, b""
         made: list[tuple] = []
         heads: list[tuple] = []
         held = 0
-        for cut in sweep(batches, _types(vocabularies)):
+        for cut in sweep(batches, units(vocabularies)):
             if len(cut.ends):
                 told = text.of(cut)
                 whole.update(ended)  # the sign after a group stands before the next one only
@@ -417,7 +441,7 @@ def scored_links(links: DataFrame, counts: DataFrame, most_pairs: int = MOST_PAI
 def digest(docs: DataFrame, vocabularies: tuple[str, str], most_pairs: int = MOST_PAIRS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What the alignment of every document holds: tokens, groups, links, and how common its links are in the corpus."""
     rows = numbered(docs, id_col, text_col)
-    events = sorted_events(end_events(rows, 0, vocabularies[0]), end_events(rows, 1, vocabularies[1]))
+    events = sorted_events(end_events(spread(rows), dict(enumerate(vocabularies))))
     found = materialize(passed(events, vocabularies), "links")
     links = found.filter("pair is not null").select("row", "doc_id", "pair", "n")
     counts = materialize(pair_counts(links), "pairs")

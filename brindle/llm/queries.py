@@ -68,7 +68,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return align.digest(_table(spark, sf_dir, "documents"), tuple(str(public_tokenizers.path(x)) for x in ALIGNED))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")  # the operator numbers the rows before it spreads them
+    return align.digest(docs, tuple(str(public_tokenizers.path(x)) for x in ALIGNED))
 
 
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,18 +91,18 @@ def test_awkward_rows_and_both_joins(spark, libraries):
 
 def test_units_encode_as_whole_texts(libraries):
     rng = random.Random(1)
-    for file in FILES:
-        held = align.Units(align.encoder(file))
-        texts = ["".join(rng.choice(["ab", "The", " ", " ", "\n", "'s", "é", "中", "19", ".", ",", "\t", "x "]) for _ in range(rng.randint(1, 30))) for _ in range(600)]
-        got = [g for n in range(0, 600, 50) for g in held.encode(texts[n : n + 50])]
-        assert [g.tolist() for g in got] == held.of.encode([" " + t for t in texts])
+    held = align.Units(*map(align.encoder, FILES))
+    texts = ["".join(rng.choice(["ab", "The", " ", " ", "\n", "'s", "é", "中", "19", ".", ",", "\t", "x "]) for _ in range(rng.randint(1, 30))) for _ in range(600)]
+    parts = [held.encode(texts[n : n + 50]) for n in range(0, 600, 50)]
+    for number, side in enumerate(held.sides):
+        assert [g.tolist() for p in parts for g in p[number]] == side.of.encode([" " + t for t in texts])
 
 
 def test_groups_and_small_runs(spark, libraries, monkeypatch):
     monkeypatch.setattr(align, "RUN", 7)
     text = "Some words, then ümläute and 中文 in one text. " * 6
     rows = align.numbered(documents(spark, [(1, text, "s"), (2, None, "s"), (3, "x", "s")]))
-    events = align.sorted_events(align.end_events(rows, 0, FILES[0]), align.end_events(rows, 1, FILES[1]))
+    events = align.sorted_events(align.end_events(rows, {0: FILES[0]}).unionAll(align.end_events(rows, {1: FILES[1]})))
     got = [r for r in align.groups(events, FILES).orderBy("row", "end").collect() if r.doc_id == 1]
     data = (" " + text).encode()
     left, right = tokens(libraries, text)
@@ -110,5 +110,5 @@ def test_groups_and_small_runs(spark, libraries, monkeypatch):
     assert [i for r in got for i in r.a_ids] == [i for i, _ in left] and [i for r in got for i in r.b_ids] == [i for i, _ in right]
     # the machine passes what both sides have reached, whatever the runs
     made = events.toArrow().to_batches()
-    cuts = [c for c in align.sweep(iter(made), align._types(FILES)) if c.doc_id == 1]
+    cuts = [c for c in align.sweep(iter(made), align.units(FILES)) if c.doc_id == 1]
     assert cuts[-1].last and sum(len(c.ends) for c in cuts) == len(got)
