@@ -213,36 +213,44 @@ def once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def running_sums(numbers: Column, block: int = 256) -> Column:
-    """Running sums of an array of integers, in blocks, so that long arrays do not take quadratic work."""
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    starts = lambda xs: F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(block))
-    cut = lambda xs: F.transform(F.transform(starts(xs), lambda k: F.slice(xs, k + 1, F.lit(block))), lambda part: F.struct(part.alias("part"), total(part).alias("sum")))
-    within = lambda before, part: F.transform(part, lambda _, k: before + total(F.slice(part, F.lit(1), k + 1)))
-    before = lambda blocks, n: F.aggregate(F.slice(blocks, F.lit(1), n), F.lit(0), lambda a, b: a + b["sum"])
-    summed = lambda blocks: F.flatten(F.transform(blocks, lambda b, n: once(before(blocks, n), lambda base: within(base, b["part"]))))
-    return once(numbers, lambda xs: once(cut(xs), summed))
-
-
-def match_starts(matches: Column, gaps: Column) -> Column:
-    """Where each match of a pattern starts, from 0: the gaps (what splitting by it leaves) and the matches before it."""
+def match_starts(df: DataFrame, matches: dict[str, tuple[str, str]], text: str, block: int = 256) -> DataFrame:
+    """Adds columns with the place, from 0, of each match of a pattern in ``text``; {new column: (column of matches, pattern)}.
+
+    Splitting a text by a pattern gives the gaps between its matches; a place is the sum of the gaps and matches
+    before it.  The sums are taken in blocks, in columns of their own, so that none is computed again for each match.
+    """
     lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
-    steps = F.zip_with(lengths(gaps), F.concat(F.array(F.lit(0)), lengths(matches)), lambda g, m: g + m)
-    return F.slice(running_sums(steps), F.lit(1), F.size(matches))
+
+    def steps(found: str, pattern: str) -> Column:
+        gone = F.concat(F.array(F.lit(0)), lengths(F.col(found)))
+        return F.when(F.size(found) > 0, F.zip_with(lengths(F.split(text, pattern, -1)), gone, lambda g, m: g + m)).otherwise(F.array().cast("array<int>"))
+
+    total = "aggregate({}, 0, (a, x) -> a + x)".format
+    cut = f"transform(sequence(0, greatest(size(`_{{0}}`) - 1, 0), {block}), k -> slice(`_{{0}}`, k + 1, {block}))"
+    parts = f"transform({cut}, p -> named_struct('part', p, 'sum', {total('p')}))".format
+    own = f"transform(b.part, (y, k) -> base + {total('slice(b.part, 1, k + 1)')})"
+    before = "array(aggregate(slice(`_{0}`, 1, n), 0, (a, x) -> a + x.sum))"
+    places = f"slice(flatten(transform(`_{{0}}`, (b, n) -> get(transform({before}, base -> {own}), 0))), 1, size(`{{1}}`))".format
+    df = df.withColumns({f"_{n}": steps(*m) for n, m in matches.items()})
+    df = df.withColumns({f"_{n}": F.expr(parts(n)) for n in matches})
+    return df.withColumns({n: F.expr(places(n, m[0])) for n, m in matches.items()}).drop(*[f"_{n}" for n in matches])
 
 
 _BITS = 12
 
 
 def blocks(text: Column) -> Column:
-    """A text in pieces of 4,096 code points, for ``between``."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << _BITS}}}"), F.lit(0))
+    """A text in pieces of 8,192 code points, each 4,096 after the one before, for ``near`` and ``between``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{2 << _BITS}}})).{{1,{1 << _BITS}}}"), F.lit(1))
+
+
+def near(held: Column, start: Column, count: Column) -> Column:
+    """Up to 4,096 code points of a text's ``blocks``; unlike a substring it does not count from the text's beginning."""
+    return F.coalesce(F.substr(F.get(held, F.shiftright(start, _BITS)), start.bitwiseAND(F.lit((1 << _BITS) - 1)) + 1, count), F.lit(""))
 
 
 def between(held: Column, start: Column, end: Column) -> Column:
-    """The code points from start to end of a text's ``blocks``; unlike a substring it does not count from the text's beginning."""
-    first, last, inside = F.shiftright(start, _BITS), F.shiftright(end, _BITS), F.lit((1 << _BITS) - 1)
-    at = lambda n: F.coalesce(F.get(held, n), F.lit(""))
-    head, tail = start.bitwiseAND(inside) + 1, end.bitwiseAND(inside)
-    middle = F.array_join(F.slice(held, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
-    return F.when(first == last, F.substr(at(first), head, end - start)).otherwise(F.concat(F.substr(at(first), head), middle, F.substr(at(last), F.lit(1), tail)))
+    """The code points from start to end of a text's ``blocks``, however many."""
+    size = F.lit(1 << _BITS)
+    more = F.transform(F.sequence(start, F.greatest(end - 1, start), size), lambda at: near(held, at, F.least(end - at, size)))
+    return F.when(end > start, F.array_join(more, "")).otherwise(F.lit(""))

@@ -28,7 +28,19 @@ def test_places_and_pieces(spark):
     text = "é\U0001f600x" * 5000
     spans = [(0, 3), (4090, 4100), (0, 15_000), (8192, 8192), (4096, 8192), (14_999, 15_040)]
     df = spark.createDataFrame([(text, *s) for s in spans], "text string, a int, b int")
-    got = df.select("a", "b", T.once(T.blocks(F.col("text")), lambda h: T.between(h, F.col("a"), F.col("b"))).alias("part")).collect()
+    got = df.withColumn("held", T.blocks(F.col("text"))).select("a", "b", T.between(F.col("held"), F.col("a"), F.col("b")).alias("part")).collect()
     assert all(r.part == text[r.a : r.b] for r in got)
-    sums = spark.range(1).select(T.running_sums(F.transform(F.sequence(F.lit(0), F.lit(999)), lambda x: (x % 7).cast("int"))).alias("s"), T.running_sums(F.array().cast("array<int>")).alias("e")).first()
-    assert sums.s == [sum(x % 7 for x in range(n + 1)) for n in range(1000)] and sums.e == []
+    words = spark.createDataFrame([("ab c " * 700 + "é ab",), ("",), (None,)], "text string").withColumn("m", F.regexp_extract_all("text", F.lit("ab|c"), F.lit(0)))
+    found = T.match_starts(words, {"s": ("m", "ab|c")}, "text").select("s").collect()
+    assert [r.s for r in found[:2]] == [sorted([5 * n for n in range(700)] + [5 * n + 3 for n in range(700)] + [3502]), []]
+
+
+def test_overlapping_spans_yield_to_the_first(spark):
+    ends = [(n * 5, n % 3, n * 5 + (12 if n % 7 == 0 else 4), "pan") for n in range(400)]
+    kept, at = [], 0
+    for s in ends:
+        if s[0] >= at:
+            kept.append(s)
+            at = s[2]
+    rows = spark.createDataFrame([(ends,), ([],), (ends[1:5],)], f"spans array<{corpus._SPAN}>")
+    assert [[tuple(x) for x in r.s] for r in rows.select(corpus._apart(F.col("spans")).alias("s")).collect()] == [kept, [], ends[1:5]]
