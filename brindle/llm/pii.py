@@ -11,7 +11,8 @@ needs a context word, unless it begins as issued keys do).
 
 Positions come from the gaps between matches: splitting a text by the pattern gives the gaps,
 extracting gives the matches, and the running sum of their lengths (in code points) gives the
-starts.  The sum is taken in blocks, so a text with very many matches stays cheap.  The patterns
+starts.  The sums are taken in blocks and the context is read from pieces of the text, each made once, so
+the work is in proportion to a text's matches.  The patterns
 use possessive repeats and start only where a run starts or the previous match ended, which leaves
 the matches as they are but makes the scan linear even on texts of one endless word.
 
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import blocks, match_starts, near
+
 # The proposing patterns.
 _MAIL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_MAIL})){_MAIL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -54,7 +57,6 @@ _NEEDS = {"email": "@", "phone": "+"}
 _PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "ssn": SSN, "secret": SECRET}
 _HINTS = {"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "secret": _OPAQUE + "{20}"}
 BASE = ("email", "ip", "card", "phone")
-_BLOCK = 256
 
 
 def _digits(match: Column) -> Column:
@@ -90,57 +92,38 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _running(lengths: Column) -> Column:
-    """Running sums of an array of integers, in blocks."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lengths) - 1, F.lit(0)), F.lit(_BLOCK)), lambda k: F.slice(lengths, k + 1, F.lit(_BLOCK)))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    made = F.transform(blocks, lambda b: F.struct(b.alias("part"), total(b).alias("sum")))
-    return F.flatten(
-        F.transform(
-            made,
-            lambda b, n: F.transform(
-                b["part"], lambda _, k: F.aggregate(F.slice(made, F.lit(1), n), F.lit(0), lambda a, x: a + x["sum"]) + total(F.slice(b["part"], F.lit(1), k + 1))
-            ),
-        )
-    )
-
-
 def _confirmed(kind: str, reach: int, accept: float) -> Column:
     """The spans of one kind that pass their checksum and score enough."""
-    start, (base, bonus) = F.col(f"s_{kind}"), SCORES[kind]
-
-    def span(match: Column, n: Column) -> Column:
-        at = F.get(start, n)
-        before = F.lower(F.substr("text", F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach))))
-        after = F.lower(F.substr("text", at + F.length(match) + 1, F.lit(reach)))
-        told = rf"\b(?:{WORDS[kind]})"
-        score = F.lit(base) + F.when(before.rlike(told) | after.rlike(told), F.lit(bonus)).otherwise(0.0)
+    base, bonus = SCORES[kind]
+    told = rf"\b(?:{WORDS[kind]})"
+
+    def span(match: Column, at: Column) -> Column:
+        end, first = at + F.length(match), F.greatest(at - reach, F.lit(0))
+        context = F.lower(near(F.col("held"), first, at - first)).rlike(told) | F.lower(near(F.col("held"), end, F.lit(reach))).rlike(told)
+        score = F.lit(base) + F.when(context, F.lit(bonus)).otherwise(0.0)
         if kind == "secret":
             score = F.when(match.rlike(ISSUED), 0.9).otherwise(score)
-        return F.struct(F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(match)).alias("end"), score.alias("score"), match.alias("text"))
+        return F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), score.alias("score"), match.alias("text"))
 
-    return F.filter(F.transform(f"m_{kind}", span), lambda x: _valid(kind, x["text"]) & (x["score"] >= F.lit(accept)))
+    return F.filter(F.zip_with(f"m_{kind}", f"s_{kind}", span), lambda x: _valid(kind, x["text"]) & (x["score"] >= F.lit(accept)))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 40, accept: float = 0.5) -> DataFrame:
     """doc_id and found: an array of (kind, start, end, score, text), by kind as listed, then start.
 
-    Offsets are code points from 0, end exclusive.
+    Offsets are code points from 0, end exclusive; ``reach`` is at most 4,096.
     """
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
-    for kind, pattern in _PATTERNS.items():
+
+    def matches(kind: str) -> Column:
         hint = F.contains("text", F.lit(_NEEDS[kind])) if kind in _NEEDS else F.col("text").rlike(_HINTS[kind])
-        df = df.withColumn(f"m_{kind}", F.when(hint, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
-    for kind, pattern in _PATTERNS.items():
-        gaps = F.when(F.size(f"m_{kind}") > 0, F.split("text", pattern, -1)).otherwise(none)
-        df = df.withColumn(f"g_{kind}", F.transform(gaps, lambda g: F.length(g)))
-    for kind in _PATTERNS:
-        match, gap = F.col(f"m_{kind}"), F.col(f"g_{kind}")
-        steps = F.transform(match, lambda _, n: F.get(gap, n) + F.when(n > 0, F.length(F.get(match, n - 1))).otherwise(0))
-        df = df.withColumn(f"s_{kind}", F.when(F.size(match) > 0, _running(steps)).otherwise(F.array().cast("array<int>")))
-    parts = [_confirmed(kind, reach, accept) for kind in _PATTERNS]
-    return df.select("doc_id", F.concat(*parts).alias("found"))
+        return F.when(hint, F.regexp_extract_all("text", F.lit(_PATTERNS[kind]), F.lit(0))).otherwise(none)
+
+    df = df.withColumns({f"m_{kind}": matches(kind) for kind in _PATTERNS})
+    some = F.coalesce(*[F.when(F.size(f"m_{kind}") > 0, F.lit(True)) for kind in _PATTERNS], F.lit(False))
+    df = match_starts(df.withColumn("held", F.when(some, blocks(F.col("text"))).otherwise(none)), {f"s_{kind}": (f"m_{kind}", pattern) for kind, pattern in _PATTERNS.items()}, "text")
+    return df.select("doc_id", F.concat(*[_confirmed(kind, reach, accept) for kind in _PATTERNS]).alias("found"))
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from brindle.llm import pii, queries
 
@@ -87,3 +88,15 @@ def test_whole_table(spark):
     for r in got:
         assert tuple(r)[1:6] == brute(docs[r.doc_id])[0]
     assert pii.digest(documents(spark, [])).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    def seconds(n):
+        began = time.perf_counter()
+        row = pii.digest(documents(spark, [(1, "1.2.3.4 a@b.co " * n, "s")])).first()
+        assert (row.n_ip, row.n_email) == (n, n) and row.spans.endswith(f"ip:{15 * n - 15}:{15 * n - 8}")
+        return time.perf_counter() - began
+
+    seconds(10)
+    few, many = min(seconds(5_000) for _ in range(2)), seconds(10_000)
+    assert many < 3 * few + 2 and many < 30
