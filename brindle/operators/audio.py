@@ -11,11 +11,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .live import voiced_segments
+from .live import VoiceActivity, voiced_segments
 
 WIDTH, CHUNK_MS = 2, 200
 # Limits of one utterance, in milliseconds, and the level that interrupts an agent.
-PREROLL_MS, SHORTEST_MS, LONGEST_MS, BARGE_IN_RMS, ECHO_TAIL_MS = 300.0, 350.0, 30_000.0, 0.055, 400.0
+UTTERANCE = {"hangover": 1100.0, "longest": 30_000.0, "shortest": 350.0}
+BARGE_IN_RMS, ECHO_TAIL_MS = 0.055, 400.0
 
 
 def mix_stereo(left: Column, right: Column) -> Column:
@@ -79,21 +80,24 @@ def customer_levels(levels: DataFrame, tail_ms: float = ECHO_TAIL_MS) -> DataFra
     return levels.withColumn("guarded", guarded).filter(~F.col("guarded") | (F.col("rms") >= BARGE_IN_RMS)).drop("guarded")
 
 
+class TurnVoice(VoiceActivity):
+    """An utterance may reach its longest, and ends beyond it."""
+
+    def full(self, length: float) -> bool:
+        return length > self.longest
+
+
 def utterances(levels: DataFrame) -> DataFrame:
-    """call_id, start_ms, end_ms of a customer's utterances, with the sound just before each (300 ms).
+    """call_id, start_ms, end_ms of a customer's utterances, with the sound just before each (300 ms at most).
 
-    None is shorter than 0.35 s or longer than 30 s, and none overlaps the one before it.
+    An utterance ends with 1.1 s of silence, or beyond 30 s; none is under 0.35 s or without speech, and one that a
+    call's end cuts off is not answered.
     """
     ship(levels.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, found, free = pdf.sort_values("ms"), [], -np.inf
-        for start, end, _ in voiced_segments(pdf, longest=LONGEST_MS):
-            start = max(start - PREROLL_MS, free, float(pdf["ms"].iloc[0]))
-            if end - start >= SHORTEST_MS:
-                found.append((int(pdf["call_id"].iloc[0]), start, end))
-            free = end
-        return pd.DataFrame(found, columns=["call_id", "start_ms", "end_ms"])
+        found = voiced_segments(pdf.sort_values("ms"), TurnVoice(**UTTERANCE), at_end=False)
+        return pd.DataFrame([(int(pdf["call_id"].iloc[0]), a, b) for a, b in found], columns=["call_id", "start_ms", "end_ms"])
 
     return customer_levels(levels).groupBy("call_id").applyInPandas(run, "call_id long, start_ms double, end_ms double")
 

@@ -150,41 +150,97 @@ def score_calls(outcomes: DataFrame, truth: DataFrame) -> DataFrame:
     return both.select("call_id", "missed", "forbidden_shown", "unexpected", ok.alias("passed"))
 
 
-def voiced_segments(levels: pd.DataFrame, hangover: float = 1100.0, longest: float = 20_000.0) -> Iterator[tuple]:
-    """(start, end, chunks) of speech in one channel's levels (ms, rms, chunk_ms), in time order.
-
-    The noise floor is the 15th percentile of the last 60 levels, at least half of them, within
-    0.004 to 0.060, rising by 1.5 times plus 0.0001 at most and falling freely.
+# How speech is told from noise; times in milliseconds, levels as a share of full scale.
+FLOOR_START, FLOOR_LEAST, FLOOR_MOST, FLOOR_PLACE, FLOOR_LEVELS = 0.008, 0.004, 0.060, 0.15, 60
+SPEECH_LEVEL, SPEECH_RATIO, SPEECH_SHARE, SPEECH_BEGINS, PREROLL_MS = 0.010, 3.0, 0.08, 250.0, 300.0
+#: Of segments on a live call: silence that ends one, its longest and shortest.
+SEGMENT = {"hangover": 800.0, "longest": 20_000.0, "shortest": 400.0}
+
+
+class VoiceActivity:
+    """Speech in one channel's levels, one after another in time order; its state is small and goes into JSON.
+
+    A level counts as speech if it is above three times the noise floor and 0.010.  The floor, read before the
+    level moves it, is the 15th percentile of the last 60 levels, at least half of them, within 0.004 to 0.060; it
+    rises by 1.5 times plus 0.0001 at most and falls freely.  A segment begins once 250 ms were loud, with the
+    300 ms before it, and ends after ``hangover`` of silence, which it includes, or when it reaches ``longest``;
+    a voice that goes on after that is heard again only after a silence.  Segments under ``shortest``, and those
+    of which less than 8 % is at 0.010 or more, are no speech.
     """
-    recent: list[float] = []
-    floor, start, quiet, loud, count = 0.004, None, 0.0, 0.0, 0
-    for at, rms, width in zip(levels["ms"], levels["rms"], levels["chunk_ms"]):
-        recent = [*recent, rms][-60:]
-        if len(recent) >= 30:
-            target = sorted(recent)[int(0.15 * (len(recent) - 1))]
-            floor = min(max(min(target, floor * 1.5 + 1e-4), 0.004), 0.060)
-        if rms >= max(3 * floor, 0.010):
-            loud, quiet = loud + width, 0.0
-            if start is None and loud >= 250:
-                start, count = at + width - loud, int(loud // width) - 1
+
+    def __init__(self, hangover: float, longest: float, shortest: float, state: dict | None = None):
+        self.hangover, self.longest, self.shortest = hangover, longest, shortest
+        self.now = state or {"recent": [], "floor": FLOOR_START, "speaking": False, "loud": 0.0, "quiet": 0.0, "before": [], "held": None}
+
+    def _above(self, level: float) -> bool:
+        """Whether a level is above the threshold; then it moves the floor."""
+        now = self.now
+        above = level > max(now["floor"] * SPEECH_RATIO, SPEECH_LEVEL)
+        now["recent"] = [*now["recent"], level][-FLOOR_LEVELS:]
+        n = len(now["recent"])
+        if 2 * n >= FLOOR_LEVELS:
+            target = min(max(sorted(now["recent"])[int(n * FLOOR_PLACE)], FLOOR_LEAST), FLOOR_MOST)
+            now["floor"] = min(target, now["floor"] * 1.5 + 1e-4) if target > now["floor"] else target
+        return above
+
+    def hear(self, ms: float, level: float, width: float) -> tuple[float, float] | None:
+        """(start, end) of a segment that this level completes."""
+        now, before = self.now, self.now["speaking"]
+        if self._above(level):
+            now["loud"], now["quiet"] = now["loud"] + width, 0.0
+            now["speaking"] = before or now["loud"] >= SPEECH_BEGINS
         else:
-            quiet, loud = quiet + width, loud if start is not None else 0.0
-        if start is not None:
-            count += 1
-            if quiet >= hangover or at + width - start >= longest:
-                yield start, at + width - quiet, count
-                start, quiet, loud = None, 0.0, 0.0
-    if start is not None:
-        yield start, at + width - quiet, count
-
-
-def segments(levels: DataFrame, shortest: float = 400.0) -> DataFrame:
-    """call_id, start_ms, end_ms of the speech in each call; segments under 0.4 s are dropped."""
+            now["quiet"] += width
+            now["speaking"] = before and now["quiet"] < self.hangover
+            now["loud"] = now["loud"] if now["speaking"] else 0.0
+        piece = [width, width if level >= SPEECH_LEVEL else 0.0]
+        if now["speaking"] and not before:
+            lead = sum(w for w, _ in now["before"])
+            now["held"] = [ms - lead, ms, lead, sum(v for _, v in now["before"])]
+        if now["held"] is None:
+            now["before"] = self._tail([*now["before"], piece])
+            return None
+        start, _, length, voiced = now["held"]
+        now["held"] = [start, ms + width, length + piece[0], voiced + piece[1]]
+        over = before and not now["speaking"]
+        return self.taken() if over or self.full(length + width) else None
+
+    def full(self, length: float) -> bool:
+        return length >= self.longest
+
+    @staticmethod
+    def _tail(pieces: list) -> list:
+        """The last 300 ms of the pieces, the first of them cut."""
+        out, room = [], PREROLL_MS
+        for width, voiced in reversed(pieces):
+            if room > 0:
+                share = min(width, room)
+                out.insert(0, [share, voiced and share])
+                room -= share
+        return out
+
+    def taken(self) -> tuple[float, float] | None:
+        """The segment held, if it is speech; a call's end takes it as it is."""
+        held = self.now["held"]
+        self.now["held"], self.now["before"] = None, []
+        if held is None:
+            return None
+        start, end, length, voiced = held
+        return (start, end) if length >= self.shortest and voiced / length >= SPEECH_SHARE else None
+
+
+def voiced_segments(levels: pd.DataFrame, voice: VoiceActivity, at_end: bool = True) -> Iterator[tuple[float, float]]:
+    """(start, end) of speech in one channel's levels (ms, rms, chunk_ms), in time order; ``at_end``: the open one too."""
+    found = [voice.hear(*row) for row in zip(levels["ms"], levels["rms"], levels["chunk_ms"])]
+    return filter(None, [*found, voice.taken() if at_end else None])
+
+
+def segments(levels: DataFrame) -> DataFrame:
+    """call_id, start_ms, end_ms of the speech in each call's levels (call_id, ms, rms, chunk_ms); a call's end ends its last."""
     ship(levels.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ms")
-        found = [(int(pdf["call_id"].iloc[0]), a, b) for a, b, _ in voiced_segments(pdf) if b - a >= shortest]
-        return pd.DataFrame(found, columns=["call_id", "start_ms", "end_ms"])
+        found = voiced_segments(pdf.sort_values("ms"), VoiceActivity(**SEGMENT))
+        return pd.DataFrame([(int(pdf["call_id"].iloc[0]), a, b) for a, b in found], columns=["call_id", "start_ms", "end_ms"])
 
     return levels.groupBy("call_id").applyInPandas(run, "call_id long, start_ms double, end_ms double")

@@ -181,7 +181,7 @@ def rolling_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with recursive levels as (select user_id as call_id, row_number() over (partition by user_id order by ts, event_id) * 200.0::double as ms, value / 1500 as rms, 200.0::double as width from events),
-{vad_sql(20_000.0)} select call_id, a as start_ms, b as end_ms from found where b - a >= 400""")
+{vad_sql(800.0, '>= 20000', 400.0, True)} select * from found""")
 def vad_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     levels = table(spark, sf_dir, "events").select(F.col("user_id").alias("call_id"), (place * 200.0).alias("ms"), (F.col("value") / 1500).alias("rms"), F.lit(200.0).alias("chunk_ms"))

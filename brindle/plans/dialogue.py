@@ -186,30 +186,41 @@ def completed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.completion_order(rows)
 
 
-def vad_sql(longest: float) -> str:
-    """Segments of speech (call_id, a, b) in ``levels`` (call_id, ms, rms, width), one level after another."""
+def vad_sql(hangover: float, full: str, shortest: float, at_end: bool) -> str:
+    """Speech (call_id, start_ms, end_ms) in ``levels`` (call_id, ms, rms, width of 200), one level after another, as ``found``.
+
+    State: levels heard (recent, floor_), speaking with its loud and quiet times, what is captured (start, total, voiced),
+    and before that the number k of levels since the last capture with whether the last two were at speech level.
+    """
+    last = f" union all select call_id, start, upto, total, voiced from (select *, row_number() over (partition by call_id order by n desc) as r from fold) where r = 1 and cap" if at_end else ""
     return f"""numbered as (select *, row_number() over (partition by call_id order by ms) as n from levels),
-fold as (select distinct call_id, 0::bigint as n, []::double[] as recent, 0.004::double as floor_, null::double as start, 0.0::double as quiet, 0.0::double as loud, null::double as a, null::double as b, 0.0::double as upto from numbered
+fold as (select distinct call_id, 0::bigint as n, []::double[] as recent, 0.008::double as floor_, false as speaking, 0.0::double as loud, 0.0::double as quiet, false as cap, 0.0::double as start, 0.0::double as total,
+  0.0::double as voiced, 0 as k, false as p1, false as p2, 0.0::double as upto, false as taken, 0.0::double as a, 0.0::double as len, 0.0::double as said from numbered
 union all
-select call_id, n, recent, floor_, case when closed then null else start end, case when closed then 0.0 else quiet end, case when closed then 0.0 else loud end, case when closed then start end, case when closed then upto - quiet end, upto
-from (select *, start is not null and (quiet >= 1100 or upto - start >= {longest}) as closed from (
-  select call_id, n, recent, floor_, upto, quiet, loud, case when start is null and hot and loud >= 250 then upto - loud else start end as start from (
-    select *, case when hot then 0.0 else quiet0 + width end as quiet, case when hot then loud0 + width when start is not null then loud0 else 0.0 end as loud from (
-      select *, rms >= greatest(3 * floor_, 0.010::double) as hot from (
-        select *, case when len(recent) >= 30 then least(greatest(least(list_sort(recent)[1 + floor(0.15::double * (len(recent) - 1))::int], floor0 * 1.5::double + 0.0001::double), 0.004::double), 0.060::double) else floor0 end as floor_ from (
-          select l.call_id, l.n, l.rms, l.width, l.ms + l.width as upto, list_append(f.recent, l.rms)[-60:] as recent, f.floor_ as floor0, f.start, f.quiet as quiet0, f.loud as loud0
-          from fold f join numbered l on l.call_id = f.call_id and l.n = f.n + 1)))))))
-, found as (select call_id, a, b from fold where a is not null union all
-  select call_id, start, upto - quiet from (select *, row_number() over (partition by call_id order by n desc) as k from fold) where k = 1 and start is not null)"""
-
-
-_LEVELS = """levels as (select user_id as call_id, row_number() over (partition by user_id order by ts, event_id) * 200.0::double as ms, value / 1500 as rms, 200.0::double as width, event_type = 'view' as speaking from events)"""
-
-
-@query(f"with recursive {_LEVELS.replace('levels as', 'every_ as')}, guarded as (select *, max(case when speaking then ms + width end) over (partition by call_id order by ms) as last from every_), levels as (select call_id, ms, rms, width from guarded where not coalesce(ms < last + {audio.ECHO_TAIL_MS}, false) or rms >= {audio.BARGE_IN_RMS}), {vad_sql(audio.LONGEST_MS)}, u as (select call_id, greatest(a - {audio.PREROLL_MS}, coalesce(lag(b) over (partition by call_id order by a), -1), (select min(ms) from levels l where l.call_id = found.call_id)) as start_ms, b as end_ms from found) select * from u where end_ms - start_ms >= {audio.SHORTEST_MS}")
+select call_id, n, recent, floor_, speaking, loud, quiet, cap1 and not done, start1, total1, voiced1, case when done then 0 when cap1 then k else k + 1 end, case when cap1 then p1 else heard end, case when cap1 then p2 else p1 end,
+  upto, done, start1, total1, voiced1
+from (select *, cap1 and (ends or total1 {full}) as done from (
+  select *, case when begins then ms - lead else start end as start1, case when cap1 then case when begins then lead else total end + width else 0.0 end as total1,
+    case when cap1 then case when begins then (case when k >= 1 and p1 then 200.0 else 0.0 end) + (case when k >= 2 and p2 then 100.0 else 0.0 end) else voiced end + case when heard then width else 0.0 end else 0.0 end as voiced1
+  from (select *, cap or begins as cap1, least(300.0, 200.0 * k)::double as lead, rms >= 0.010 as heard, (spoke or begins) and not ends as speaking,
+      case when hot then loud0 + width when spoke and not ends then loud0 else 0.0 end as loud from (
+    select *, hot and not spoke and loud0 + width >= 250 as begins, not hot and spoke and quiet >= {hangover} as ends from (
+      select *, case when hot then 0.0 else quiet0 + width end as quiet, case when low is null then floor0 when low > floor0 then least(low, floor0 * 1.5::double + 0.0001::double) else low end as floor_ from (
+        select *, case when len(recent) >= 30 then least(greatest(list_sort(recent)[1 + floor(len(recent) * 0.15::double)::int], 0.004::double), 0.060::double) end as low from (
+          select l.call_id, l.n, l.ms, l.rms, l.width, l.ms + l.width as upto, list_append(f.recent, l.rms)[-60:] as recent, f.floor_ as floor0, l.rms > greatest(f.floor_ * 3.0::double, 0.010::double) as hot,
+            f.speaking as spoke, f.loud as loud0, f.quiet as quiet0, f.cap, f.start, f.total, f.voiced, f.k, f.p1, f.p2
+          from fold f join numbered l on l.call_id = f.call_id and l.n = f.n + 1)))))))),
+found as (select call_id, a as start_ms, b as end_ms from (select call_id, a, upto as b, len as total, said as voiced from fold where taken{last}) t(call_id, a, b, total, voiced) where total >= {shortest} and voiced / total >= 0.08)"""
+
+
+_LEVELS = """levels as (select user_id % 8 as call_id, row_number() over (partition by user_id % 8 order by ts, event_id) * 200.0::double as ms, value / 1500 as rms, 200.0::double as width, event_type = 'view' as speaking from events)"""
+
+
+@query(f"with recursive {_LEVELS.replace('levels as', 'every_ as')}, guarded as (select *, max(case when speaking then ms + width end) over (partition by call_id order by ms) as last from every_), levels as (select call_id, ms, rms, width from guarded where not coalesce(ms < last + {audio.ECHO_TAIL_MS}, false) or rms >= {audio.BARGE_IN_RMS}), {vad_sql(1100.0, '> 30000', 350.0, False)} select * from found")
 def turn_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    call = F.col("user_id") % 8
+    place = F.row_number().over(W.partitionBy(call).orderBy("ts", "event_id"))
     levels = table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("call_id"), (place * 200.0).alias("ms"), (F.col("value") / 1500).alias("rms"), F.lit(200.0).alias("chunk_ms"), (F.col("event_type") == "view").alias("agent_speaking")
+        call.alias("call_id"), (place * 200.0).alias("ms"), (F.col("value") / 1500).alias("rms"), F.lit(200.0).alias("chunk_ms"), (F.col("event_type") == "view").alias("agent_speaking")
     )
     return audio.utterances(levels)

@@ -82,7 +82,7 @@ def test_the_agent_does_not_hear_itself(spark):
     n = 60
     levels = pd.DataFrame({"call_id": 1, "ms": [200.0 * i for i in range(n)], "rms": [0.04 if 10 <= i < 25 else 0.2 if 35 <= i < 45 else 0.001 for i in range(n)], "chunk_ms": 200.0, "agent_speaking": [8 <= i < 26 for i in range(n)]})
     found = audio.utterances(spark.createDataFrame(levels)).collect()
-    assert [(r.start_ms, r.end_ms) for r in found] == [(6700.0, 9000.0)]  # only the customer's, from 0.3 s before it
+    assert [(r.start_ms, r.end_ms) for r in found] == [(6900.0, 10_200.0)]  # only the customer's, from 0.3 s before the second loud level to 1.1 s (six levels) after the last
 
 
 def test_one_utterance_waits(spark):

@@ -1,11 +1,13 @@
 """The suppression contract, its batch and stream forms, and dialogue folds."""
 
+import random
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from brindle.operators import corpus, live, pages
 from brindle.plans import calls, queries
-from brindle.streaming import nudges
+from brindle.streaming import nudges, voice
 
 DATA = "/root/testdata/sf0.001"
 
@@ -43,12 +45,38 @@ def test_voice_segments():
         rms = [x for x, n in spans for _ in range(n)]
         return pd.DataFrame({"ms": [200.0 * i for i in range(len(rms))], "rms": rms, "chunk_ms": 200.0})
 
-    found = [(a, b) for a, b, _ in live.voiced_segments(levels([(0.001, 10), (0.2, 10), (0.001, 10)]))]
-    assert found == [(2000.0, 4000.0)]
-    assert not list(live.voiced_segments(levels([(0.001, 10), (0.2, 1), (0.001, 10)])))  # a lone transient
-    assert len(list(live.voiced_segments(levels([(0.001, 9), (0.2, 5), (0.001, 3), (0.2, 5), (0.001, 9)])))) == 1  # a short pause
-    assert len(list(live.voiced_segments(levels([(0.001, 9), (0.2, 5), (0.001, 8), (0.2, 5), (0.001, 9)])))) == 2
-    assert list(live.voiced_segments(levels([(0.2, 120)])))[0][1] == 20_000
+    def found(*spans):
+        return list(live.voiced_segments(levels(spans), live.VoiceActivity(**live.SEGMENT)))
+
+    assert found((0.001, 10), (0.2, 10), (0.001, 10)) == [(1900.0, 4800.0)]  # 300 ms before the second loud level, 800 ms after the last
+    assert not found((0.001, 10), (0.2, 1), (0.001, 10))  # a lone transient
+    assert len(found((0.001, 9), (0.2, 5), (0.001, 3), (0.2, 5), (0.001, 9))) == 1  # a short pause
+    assert len(found((0.001, 9), (0.2, 5), (0.001, 8), (0.2, 5), (0.001, 9))) == 2
+    assert not found((0.018, 20))  # a room's noise: under three times the first floor
+    assert found((0.2, 120)) == [(0.0, 20_000.0)]  # what goes on after the longest is not heard again without a silence
+    assert found((0.001, 10), (0.2, 3)) == [(1900.0, 2600.0)]  # the call's end ends it
+    patient = live.VoiceActivity(hangover=8000.0, longest=9e9, shortest=400.0)
+    assert not list(live.voiced_segments(levels([(0.001, 3), (0.2, 2), (0.001, 50)]), patient))  # under 8 % of it is loud
+
+
+def test_voice_activity_on_a_stream(spark, tmp_path):
+    """Batches that cut through segments give what the whole calls give; each channel has state of its own."""
+    rng = random.Random(2)
+    rows = [(c, ch, 200.0 * i, 0.3 * rng.random() ** 4, 200.0) for c in (1, 2) for ch in ("agent", "customer") for i in range(400)]
+    schema = "call_id long, channel string, ms double, rms double, chunk_ms double"
+    for n in range(8):
+        part = [r for r in rows if 10_000 * n <= r[2] < 10_000 * (n + 1)]
+        df = spark.createDataFrame(part, schema).withColumn("ts", F.timestamp_millis((F.col("ms") + 1_700_000_000_000).cast("long")))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = nudges.run_available(voice.stream_segments(stream), f"{tmp_path}/sink").collect()
+    want = {}
+    for c in (1, 2):
+        for ch in ("agent", "customer"):
+            own = pd.DataFrame([r[2:] for r in rows if r[:2] == (c, ch)], columns=["ms", "rms", "chunk_ms"])
+            want[c, ch] = list(live.voiced_segments(own, live.VoiceActivity(**live.SEGMENT), at_end=False))
+    assert sum(map(len, want.values())) > 8
+    assert {k: sorted((r.start_ms, r.end_ms) for r in got if (r.call_id, r.channel) == k) for k in want} == want
 
 
 def test_chunks():
