@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..lineage import shared_folder
+from ..operators import index
 from ..operators import search as S
 from .registry import query, sql_list, table
 
@@ -87,6 +91,29 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ranked(S.bm25(postings, idfs, asked), 4).select("q_id", "rank", "doc_id", "score")
 
 
+@query(_BASE + " select q_id, rank, doc_id, score from lexical")
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical channel from a written index, of which only the asked terms' buckets and the blocks that may matter are read."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return index.Index(spark, path).lexical(questions(spark, sf_dir)).select("q_id", "rank", "doc_id", "score")
+
+
+_EARLIER, _LATER = "doc_id % 5 <> 0", "doc_id % 11 <> 3"
+
+
+@query(_BASE.replace("from documents", f"from (select doc_id, case when doc_id % 7 = 2 then text || ' the loan terms changed once more' else text end as text from documents where {_LATER})") + " select q_id, rank, doc_id, score from lexical")
+def index_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of four fifths of the documents, carried through a change: new ones enter, some are changed, some go."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.write(docs.filter(_EARLIER), f"{path}/1")
+    later = docs.filter(_LATER).withColumn("text", F.when(F.col("doc_id") % 7 == 2, F.concat("text", F.lit(" the loan terms changed once more"))).otherwise(F.col("text")))
+    changed = later.filter(f"not ({_EARLIER}) or doc_id % 7 = 2")
+    index.apply(spark, f"{path}/1", f"{path}/2", changed, docs.filter(f"{_EARLIER} and (doc_id % 7 = 2 or not ({_LATER}))"))
+    return index.Index(spark, f"{path}/2").lexical(questions(spark, sf_dir)).select("q_id", "rank", "doc_id", "score")
+
+
 @query(_BASE + " select term, count(*) as df, sum(tf)::bigint as cf, round(max(ln(1 + (n - (select count(*) from postings p2 where p2.term = postings.term) + 0.5) / ((select count(*) from postings p2 where p2.term = postings.term) + 0.5))), 6) as idf from postings, size group by term")
 def corpus_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -98,7 +125,7 @@ def corpus_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_HYBRID + " select q_id, rank, doc_id, cosine from dense where rank <= 10")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, vectors, asked = _asked(spark, sf_dir)
-    return S.ranked(S.cosines(vectors, asked.filter("q_vector is not null")), 10, "cosine").select("q_id", "rank", "doc_id", "cosine")
+    return S.nearest(vectors, asked, 10).select("q_id", "rank", "doc_id", "cosine")
 
 
 @query(_HYBRID + " select q_id, doc_id, lexical_rank, dense_rank, rrf from fused")
@@ -107,7 +134,7 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = S.question_terms(q, "q_id", "question")
     postings, idfs = S.asked_postings(table(spark, sf_dir, "documents").select("doc_id", "text"), terms)
     lexical = S.ranked(S.bm25(postings, idfs, terms), 50)
-    dense = S.ranked(S.cosines(vectors, asked.filter("q_vector is not null")), 50, "cosine")
+    dense = S.nearest(vectors, asked, 50)
     return S.fuse(lexical, dense).select("q_id", "doc_id", "lexical_rank", "dense_rank", "rrf")
 
 
