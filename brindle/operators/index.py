@@ -26,13 +26,14 @@ from ..functions import text as T
 from ..lineage import cut
 from . import search as S
 
-BUCKETS = 64
+#: Buckets of terms, at most, and documents for each.
+MOST_BUCKETS, BUCKET_DOCS = 256, 20_000
 #: Documents of one block, on average, and blocks that are scored before the others are bounded.
 BLOCK_DOCS, FIRST_BLOCKS = 64, 8
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def _block(doc_id: Column, blocks: int) -> Column:
@@ -40,16 +41,9 @@ def _block(doc_id: Column, blocks: int) -> Column:
 
 
 def _postings(docs: DataFrame, blocks: int) -> DataFrame:
-    """bucket, term, block and the arrays of its postings."""
+    """term, block and p, the postings of the term's documents in the block."""
     rows = S.term_table(docs).withColumn("block", _block(F.col("doc_id"), blocks))
-    made = rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("p"))
-    return _bounded(made)
-
-
-def _bounded(made: DataFrame) -> DataFrame:
-    return made.select(
-        _bucket(F.col("term")).alias("bucket"), "term", "block", F.size("p").cast("long").alias("df"), F.array_max("p.tf").alias("most_tf"), F.array_min("p.dl").alias("least_dl"), "p"
-    )
+    return rows.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "dl"))).alias("p"))
 
 
 def _totals(docs: DataFrame) -> DataFrame:
@@ -60,16 +54,19 @@ def _totals(docs: DataFrame) -> DataFrame:
 def write(docs: DataFrame, path: str, blocks: int | None = None) -> None:
     """Writes the index of ``docs`` (doc_id, text) under ``path``."""
     totals = cut(_totals(docs))
-    blocks = blocks or max(1, totals.first().n // BLOCK_DOCS)
-    _save(_postings(docs, blocks), totals, path, blocks)
+    n = totals.first().n
+    blocks = blocks or max(1, n // BLOCK_DOCS)
+    _save(_postings(docs, blocks), totals, path, blocks, min(MOST_BUCKETS, max(4, n // BUCKET_DOCS)))
 
 
-def _save(postings: DataFrame, totals: DataFrame, path: str, blocks: int) -> None:
+def _save(made: DataFrame, totals: DataFrame, path: str, blocks: int, buckets: int) -> None:
+    bounds = F.size("p").cast("long").alias("df"), F.array_max("p.tf").alias("most_tf"), F.array_min("p.dl").alias("least_dl")
+    postings = made.select(_bucket(F.col("term"), buckets).alias("bucket"), "term", "block", *bounds, "p")
     laid = postings.repartition(F.col("bucket"), F.col("block") % 4).sortWithinPartitions("bucket", "term", "block")
     laid.write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/postings")
     heads = postings.sparkSession.read.parquet(f"{path}/postings").drop("p").repartition(F.col("bucket"))
     heads.write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/heads")
-    totals.withColumn("blocks", F.lit(blocks)).write.mode("errorifexists").parquet(f"{path}/totals")
+    totals.withColumns({"blocks": F.lit(blocks), "buckets": F.lit(buckets)}).write.mode("errorifexists").parquet(f"{path}/totals")
 
 
 def apply(spark: SparkSession, path: str, target: str, changed: DataFrame, before: DataFrame) -> None:
@@ -89,7 +86,7 @@ def apply(spark: SparkSession, path: str, target: str, changed: DataFrame, befor
     made = both.select("term", "block", F.sort_array(F.concat(F.coalesce("p", none), F.coalesce("added", none))).alias("p")).filter(F.size("p") > 0)
     more, less = _totals(changed), _totals(before)
     sums = more.crossJoin(less.select(F.col("n").alias("n0"), F.col("terms").alias("terms0")))  # one row each
-    _save(_bounded(made), sums.select((F.lit(totals.n) + F.col("n") - F.col("n0")).alias("n"), (F.lit(totals.terms) + F.col("terms") - F.col("terms0")).alias("terms")), target, blocks)
+    _save(made, sums.select((F.lit(totals.n) + F.col("n") - F.col("n0")).alias("n"), (F.lit(totals.terms) + F.col("terms") - F.col("terms0")).alias("terms")), target, blocks, totals.buckets)
 
 
 class Index:
@@ -102,7 +99,7 @@ class Index:
 
     def _of(self, table: str, asked: DataFrame) -> DataFrame:
         """The rows of the asked terms; folders of other buckets are not opened."""
-        buckets = [r.b for r in asked.select(_bucket(F.col("term")).alias("b")).distinct().collect()]  # at most BUCKETS
+        buckets = [r.b for r in asked.select(_bucket(F.col("term"), self.totals.buckets).alias("b")).distinct().collect()]  # MOST_BUCKETS at most
         return self.spark.read.parquet(f"{self.path}/{table}").filter(F.col("bucket").isin(buckets))
 
     def _share(self, tf: Column, dl: Column) -> Column:
