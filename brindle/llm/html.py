@@ -16,9 +16,12 @@ elements so named by class, id or role, have importance zero and are not counted
 element itself are never removed for being repeated.  A name counts when a whole class or id says it
 ("sidebar", or "share-links" where all parts are of that kind; not "has-sidebar").  It does not count
 on main elements, on the page's largest article and on what holds one of these; an article is noise
-by its own name only if that is a whole class.  The text is what stands in the main element or, where
-articles hold most of that (of all text, on a page without a main element), in the articles and the main
-element's own heading; else what the style tree leaves.
+by its own name only if that is a whole class.  A form counts like such a name, and on a page without
+main element and article neither counts on what holds more than half of the text; a name of which one part says comments counts whatever its other
+parts.  Inline elements that are hidden, adverts or share links go.  An article with less than a quarter of the
+largest one's text tells of another page and goes, with the section around it.  The text is what stands in the
+main element or, on a page without one where articles hold most of the text, in the articles; else what the
+style tree leaves.
 
 Defined results: null and empty pages give an empty text; the longest pages are read whole; a null url
 is the host ''; repeated rows give repeated rows, each with the text that one of them would have; pages
@@ -66,8 +69,13 @@ NOISE_NAMES = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent "
     "gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer masthead topbar toolbar pager pagination share sharing social related recommended "
-    "comment comments reply replies disqus respond widget form skip".split()
+    "comment comments reply replies disqus respond widget form skip adsbygoogle".split()
 )
+#: Parts that make a name say reader comments whatever stands beside them, but for those that speak of another element's.
+COMMENT_PARTS = frozenset("comment comments discussion discussions disqus replies respond responses".split())
+ABOUT_PARTS = frozenset("has have with without no not hide show enable enabled disable disabled open closed allow count".split())
+#: Names that take inline elements away too.
+INLINE_NAMES = frozenset("ad ads adv advert advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion share sharing".split())
 OUTER_NAMES = frozenset("header head".split())
 #: Parts that may stand beside a name in one class or id without changing what it says.
 PLAIN_PARTS = frozenset(
@@ -88,27 +96,43 @@ class Node:
     """An open element: its tag, branch, whether it is noise whatever it holds, its kind of main content (1 main,
     2 article, 3 article in main), the elements down to it that are noise by name, and its outermost article."""
 
-    __slots__ = ("tag", "branch", "noise", "main", "named", "article")
+    __slots__ = ("tag", "branch", "noise", "main", "named", "article", "number")
 
-    def __init__(self, tag, branch, noise, main, named, article):
-        self.tag, self.branch, self.noise, self.main, self.named, self.article = tag, branch, noise, main, named, article
+    def __init__(self, tag, branch, noise, main, named, article, number=0):
+        self.tag, self.branch, self.noise, self.main, self.named, self.article, self.number = tag, branch, noise, main, named, article, number
 
 
 def _names(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
 
 
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
 @lru_cache(1 << 16)
-def _named(classes: str) -> tuple[bool, bool, bool]:
-    """Whether class and id names say noise, a page's head, or noise by a whole name."""
-    noise = outer = whole = False
-    for name in classes.lower().split():
-        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()]
+def _named(classes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether class and id names say noise, a page's head, noise by a whole name, or reader comments by a part."""
+    noise = outer = whole = said = False
+    for name in classes.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", _CAMEL.sub("-", name).lower()) if x and not x.isdigit()]
         if all(x in NOISE_NAMES or x in OUTER_NAMES or x in PLAIN_PARTS for x in parts):
             noise = noise or not NOISE_NAMES.isdisjoint(parts)
             outer = outer or not OUTER_NAMES.isdisjoint(parts)
-        whole = whole or name in NOISE_NAMES
-    return noise, outer, whole
+        said = said or not COMMENT_PARTS.isdisjoint(parts) and ABOUT_PARTS.isdisjoint(parts)
+        whole = whole or name.lower() in NOISE_NAMES
+    return noise, outer, whole, said
+
+
+def _hidden(names: dict[str, str]) -> bool:
+    return "hidden" in names or names.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", names.get("style", ""), re.I))
+
+
+def _muted(raw: str) -> bool:
+    """Whether an inline element is hidden, an advert or a share link."""
+    names = _names(raw)
+    classes = f"{names.get('class', '')} {names.get('id', '')}"
+    parts = re.split(r"[^a-z0-9]+", _CAMEL.sub("-", classes).lower())
+    return _hidden(names) or _named(classes)[0] and not INLINE_NAMES.isdisjoint(parts)
 
 
 def _open(tag: str, raw: str, above: Node, n: int) -> Node:
@@ -117,16 +141,15 @@ def _open(tag: str, raw: str, above: Node, n: int) -> Node:
     names = _names(raw) if raw.strip(" /\n\t\r") else {}
     own_article = tag == "article" or names.get("itemprop") == "articleBody"
     own_main = tag == "main" or names.get("role", "").lower() == "main"
-    if tag in NOISE or (tag == "header" and not main):
+    if tag == "form":
+        named = (*named, n)  # whole sites stand in a form
+    elif tag in NOISE or (tag == "header" and not main):
         noise = True
     elif names and tag not in ("html", "body"):
-        if (
-            names.get("role", "").lower() in NOISE_ROLES or "hidden" in names or names.get("aria-hidden", "").lower() == "true"
-            or re.search(r"display\s*:\s*none", names.get("style", ""), re.I)
-        ):
+        if names.get("role", "").lower() in NOISE_ROLES or _hidden(names):
             noise = True
-        told, outer, whole = _named(f"{names.get('class', '')} {names.get('id', '')}")
-        if not own_main and (whole if own_article else told or outer and not main):
+        told, outer, whole, said = _named(f"{names.get('class', '')} {names.get('id', '')}")
+        if not own_main and (whole if own_article else told or said or outer and not main):
             named = (*named, n)
     if own_article:
         article = article or n
@@ -136,26 +159,52 @@ def _open(tag: str, raw: str, above: Node, n: int) -> Node:
     if tag in BLOCK and tag not in LEAF and tag not in ("html", "body"):
         own = (names.get("class", "").split() or [""])[0] or names.get("id", "")
         branch = f"{branch}/{tag}.{own}" if own else f"{branch}/{tag}"
-    return Node(tag, branch, noise, main, named, article)
+    return Node(tag, branch, noise, main, named, article, n)
 
 
-def _unnamed(found: list[tuple[str, Node]], opened: dict[int, tuple[int, ...]], mains: set[int]) -> set[int]:
-    """The elements whose names do not count: those that hold a main element or the largest article, and that article.
+#: An article beside the page's own that has less than this share of its text tells of another page.
+TEASER = 0.25
 
-    ``opened`` has the elements noise by name from the root to each outermost article.
-    """
+
+def _articles(found: list[tuple[str, Node]], opened: dict[int, tuple[int, ...]]) -> tuple[int | None, dict[int, int]]:
+    """The page's largest article, and the size of every outermost article."""
     sizes: dict[int, int] = {}
     for text, top in found:
         if top.article and not top.noise and len(top.named) <= len(opened[top.article]):
             sizes[top.article] = sizes.get(top.article, 0) + len(text)
-    free = set(mains)
     own = lambda n: n in opened[n]
-    best = max(sizes, key=lambda n: (not own(n), sizes[n], -n), default=None)
+    return max(sizes, key=lambda n: (not own(n), sizes[n], -n), default=None), sizes
+
+
+def _unnamed(found: list[tuple[str, Node]], opened: dict[int, tuple[int, ...]], mains: set[int], best: int | None) -> set[int]:
+    """The elements whose names do not count: those that hold a main element or the largest article, that article, and
+    on a page without either those that hold more than half of its text."""
+    free = set(mains)
     if best is not None:
         free.update(opened[best])
+    held: dict[int, int] = {}
+    every = 0
+    for text, top in found if best is None and not mains else ():
+        if not top.noise:
+            every += len(text)
+            for n in top.named:
+                held[n] = held.get(n, 0) + len(text)
+    free.update(n for n, size in held.items() if 2 * size > every)
     return free
 
 
+def _teasers(best: int | None, sizes: dict[int, int], above: dict[int, int], plain: set[int]) -> set[int]:
+    """Articles that only tell of other pages, with the element around them where it holds nothing of the page's own."""
+    if best is None:
+        return set()
+    own, n = {best}, best
+    while n in above:
+        n = above[n]
+        own.add(n)
+    small = {n for n, size in sizes.items() if n != best and size < TEASER * sizes[best]}
+    return small | {above[n] for n in small if above.get(n) in plain and above[n] not in own}
+
+
 def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]:
     """A page's text blocks in order, as (text, branch, noise, main), and each branch's look.
 
@@ -165,6 +214,9 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]
     out: list[tuple[str, Node]] = []
     opened: dict[int, tuple[int, ...]] = {}
     mains: set[int] = set()
+    above: dict[int, int] = {}
+    plain: set[int] = set()
+    mute = ["", 0]
     count = 0
     looks: dict[str, list[str]] = {}
     text: list[str] = []
@@ -187,16 +239,22 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not mute[1]:
             text.append(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             continue
         tag = m[3].lower()
+        if mute[1] and tag == mute[0]:
+            mute[1] += -1 if m[2] else 1
+            continue
         if tag == "br":
             text.append(" ")
         if tag not in BLOCK and tag not in NOISE:
+            if not mute[1] and not m[2] and tag not in VOID and len(m[4] or "") > 5 and _muted(m[4]):
+                mute[:] = [tag, 1]
             continue
+        mute[1] = 0  # an inline element ends where a block begins or ends
         if m[2]:
             flush()
             close(frozenset([tag]), frozenset())
@@ -221,17 +279,30 @@ def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], dict[str, str]]
             count += 1
             new = _open(tag, m[4] or "", parent, count)
             stack.append(new)
+            above[count] = parent.number
+            if tag in ("section", "div", "ul", "ol", "li", "aside"):
+                plain.add(count)
             if new.article == count:
                 opened[count] = new.named
             if new.main in (1, 3) and parent.main not in (1, 3) and not new.noise:
                 mains.update(new.named)
-    if at < len(page):
+    if at < len(page) and not mute[1]:
         rest = page[at:]
         text.append(rest[: rest.find("<")] if "<" in rest and re.match(r"[a-zA-Z/!?]", rest[rest.find("<") + 1 :]) else rest)
     flush()
-    free = _unnamed(out, opened, mains)
+    best, sizes = _articles(out, opened)
+    free = _unnamed(out, opened, mains, best)
+    others = _teasers(best, sizes, above, plain)
+
+    def elsewhere(n: int) -> bool:
+        while n:
+            if n in others:
+                return True
+            n = above.get(n, 0)
+        return False
+
     kind = lambda top: 4 if top.main == 1 and top.tag == "h1" else top.main
-    told = [(text, top.branch, top.noise or not free.issuperset(top.named), kind(top)) for text, top in out]
+    told = [(text, top.branch, top.noise or not free.issuperset(top.named) or bool(others) and elsewhere(top.number), kind(top)) for text, top in out]
     return told, {branch: ">".join(tags) for branch, tags in looks.items()}
 
 
@@ -247,10 +318,8 @@ def _chosen(found: list[tuple[str, str, bool, int]]) -> str:
         sizes[b[3]] += len(b[0])
     rest, main, outside, inside, head = sizes
     main += head
-    if main or inside:  # a main element: its heading and articles where these hold most of it, all of it else
-        kinds = (2, 3, 4) if inside >= main else (1, 3, 4)
-        if outside > main + inside:  # articles beside it hold more: neither goes
-            kinds = (1, 2, 3, 4)
+    if main or inside:  # a main element, with what stands around its articles
+        kinds = (1, 2, 3, 4) if outside > main + inside else (1, 3, 4)  # articles beside it that hold more do not go
     else:
         kinds = (2,) if outside >= rest and outside else (0, 2)
     return "\n\n".join(b[0] for b in found if b[3] in kinds)

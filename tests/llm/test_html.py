@@ -104,7 +104,7 @@ def test_article_level_only_where_articles_hold_most():
     plain = "The story is told here at some length."
     assert html.main_text(f'<main>{story}<article class="card">teaser</article></main>') == f"{plain}\n\nteaser"
     assert html.main_text(f"<div>{story}</div><article>teaser</article>") == f"{plain}\n\nteaser"
-    assert html.main_text(f"<main><p>Crumbs</p><article>{story}</article></main><p>rest</p>") == plain
+    assert html.main_text(f"<main><p>Lead</p><article>{story}</article></main><p>rest</p>") == f"Lead\n\n{plain}"  # a main element is kept whole
     assert html.main_text(f"<p>rest</p><article>{story}</article>") == plain
     assert html.main_text(f"<main>{story}</main><article>teaser</article>") == plain
     assert html.main_text(f"<main><p>Head</p></main><article>{story}</article>") == f"Head\n\n{plain}"
@@ -169,3 +169,37 @@ def test_awkward_pages(spark):
     got = {r.page_id: r for r in html.extract(df).collect()}
     assert len(got) == len(rows) and got[1].text.count("\n\n") == 29_999 and got[1].text.endswith("Paragraph 29999 of a very long page.")
     assert (got[2].text, got[None].text, got[4].text, got[5].text, got[6].text, got[7].text) == ("no host", "", "", "deep", "Same", "Same")
+
+
+LONG = "This sentence belongs to the article and is long enough to count as its text. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body><form id="aspnetForm"><nav>Menu</nav><article><p>{LONG}</p></article></form></body>', [LONG]),
+        (f'<form><div class="content"><p>{LONG}</p></div></form>', [LONG]),
+        (f'<article><p>{LONG}</p><form><label>Your mail</label></form></article>', [LONG]),
+        (f'<article><p>{LONG}</p><div class="reader-comments"><p>First!</p></div><section class="user-comments">me</section><div id="discussion">so</div></article>', [LONG]),
+        (f'<div class="post has-comments"><p>{LONG}</p></div>', [LONG]),
+        (f"<main><h1>Title</h1><p>Lead</p><article><p>{LONG}</p></article><p>tail</p></main>", ["Title", "Lead", LONG, "tail"]),
+        (f"<main><h2>Title</h2><article><p>{LONG}</p></article></main>", ["Title", LONG]),
+        (f"<article><p>{LONG}</p></article><section><h2>More stories</h2><article>Teaser</article></section>", [LONG]),
+        (f'<article><p>{LONG} <span class="advert">BUY <b>NOW</b></span>end <ins class="adsbygoogle">x</ins><span hidden>no</span><a class="share">Share</a></p><p>Next</p></article>', [LONG + " end", "Next"]),
+        (f'<article><p>{LONG}</p></article><div class="pageFooter">(c)</div><div class="mainMenu">Home</div>', [LONG]),
+        (f'<article><p>{LONG}<span class="advert">open</p><p>Next</p></article>', [LONG, "Next"]),
+    ],
+)
+def test_cases_of_the_contract(page, want):
+    assert html.main_text(page) == "\n\n".join(" ".join(w.split()) for w in want)
+
+
+def test_the_tree_decides_where_no_element_says_article(spark):
+    """With the article and main tags taken off, the style tree changes pages, and every change removes what the host repeats."""
+    bare = lambda page: re.sub(r"</?(?:article|main)\b[^>]*>", "", page or "")
+    rows = [(r.page_id, r.url, bare(r.html)) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = {i: html.main_text(page) for i, _, page in rows}
+    changed = [i for i in got if got[i] != whole[i]]
+    print(f"the tree changes {len(changed)} of {len(got)} pages")
+    assert all(set(got[i].split("\n\n")) <= set(whole[i].split("\n\n")) for i in got)
