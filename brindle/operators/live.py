@@ -74,24 +74,37 @@ class Suppressor:
     """What one call's agent is shown: each signal in event time has the first outcome that holds for it.
 
     The state is what was shown (marks of rendered texts), when each topic group is free again, and the
-    screen as (priority, end of showing).
+    screen as (priority, end of showing, kind).  What leaves the screen is told once: evicted for a more
+    important text, or expired at its end.
     """
 
     def __init__(self, state: dict | None = None):
         state = state or {}
         self.shown: set[str] = set(state.get("shown", ()))
         self.free: dict[str, float] = dict(state.get("free", {}))
-        self.screen: list[tuple[int, float]] = [tuple(x) for x in state.get("screen", ())]
+        self.screen: list[tuple[int, float, str]] = [tuple(x) for x in state.get("screen", ())]
+        self.left: list[tuple[str, str, float]] = []
 
     def state(self) -> dict:
         return {"shown": sorted(self.shown), "free": self.free, "screen": self.screen}
 
+    def expire(self, now: float) -> None:
+        """Takes from the screen what has been shown for its time."""
+        self.left += [(kind, "expired", end) for _, end, kind in self.screen if end <= now]
+        self.screen = [x for x in self.screen if x[1] > now]
+
+    def take_left(self) -> list[tuple[str, str, float]]:
+        """(kind, evicted or expired, at) of what left the screen since this was last asked."""
+        out, self.left = self.left, []
+        return out
+
     def decide(self, kind: str, text: str, confidence: float, now: float) -> str:
         """``text`` is the rendered text: two signals that would show the same words are duplicates."""
         priority, group, _ = V.NUDGES.get(kind, (5, kind, ""))
         mark = hashlib.md5(f"{kind}|{' '.join(text.lower().split())}".encode()).hexdigest()[:12]
+        self.expire(now)
         # least important first, and of equal ones the earliest
-        self.screen = sorted((x for x in self.screen if x[1] > now), key=lambda x: (-x[0], x[1]))
+        self.screen.sort(key=lambda x: (-x[0], x[1]))
         full = len(self.screen) >= V.MAX_ACTIVE
         tests = {
             "low_confidence": confidence < max(V.CONFIDENCE_FLOOR, V.KIND_FLOORS.get(kind, 0.0)),
@@ -101,7 +114,8 @@ class Suppressor:
         }
         outcome = next((name for name, holds in tests.items() if holds), "emitted")
         if outcome == "emitted":
-            self.screen = [*self.screen[int(full) :], (priority, now + V.TIME_TO_LIVE_S)]
+            self.left += [(x[2], "evicted", now) for x in self.screen[: int(full)]]
+            self.screen = [*self.screen[int(full) :], (priority, now + V.TIME_TO_LIVE_S, kind)]
             self.free[group] = now + V.COOLDOWN_S
             self.shown.add(mark)
         return outcome
@@ -131,6 +145,27 @@ def suppress(rows: DataFrame) -> DataFrame:
     return rendered(rows).groupBy("call_id").applyInPandas(run, "call_id long, seq long, kind string, outcome string")
 
 
+def screen_exits(rows: DataFrame) -> DataFrame:
+    """call_id, kind, reason and at of every text that left the screen by the time of its call's last signal: evicted or expired."""
+    ship(rows.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fold = Suppressor()
+        decide_all(fold, pdf.sort_values(ORDER, kind="stable"))
+        return pd.DataFrame([(pdf["call_id"].iloc[0], *gone) for gone in fold.take_left()], columns=["call_id", "kind", "reason", "at"])
+
+    return rendered(rows).groupBy("call_id").applyInPandas(run, "call_id long, kind string, reason string, at double")
+
+
+def engine_report(outcomes: DataFrame, exits: DataFrame) -> DataFrame:
+    """One row: signals considered, the six counters of the screen, and the share suppressed in percent."""
+    n = lambda c, *names: F.sum(F.col(c).isin(*names).cast("int")).cast("long")
+    decided = outcomes.agg(F.count("*").alias("considered"), n("outcome", "emitted").alias("emitted"), n("outcome", "low_confidence").alias("below_threshold"), n("outcome", "duplicate").alias("duplicate"), n("outcome", "cooldown", "screen_full").alias("cooldown"))
+    gone = exits.agg(F.coalesce(n("reason", "evicted"), F.lit(0)).alias("evicted"), F.coalesce(n("reason", "expired"), F.lit(0)).alias("expired"))
+    rate = F.round(100 * (F.col("considered") - F.col("emitted")) / F.greatest(F.lit(1), F.col("considered")), 1).alias("suppression_rate_pct")
+    return decided.crossJoin(gone).select("*", rate)  # one row each
+
+
 def suppression_report(outcomes: DataFrame) -> DataFrame:
     """Counts per outcome, and the share suppressed; a full screen counts as cooldown too."""
     n = lambda *names: F.sum(F.col("outcome").isin(*names).cast("int")).cast("long")

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..lineage import shared_folder
 from ..operators import live
-from ..streaming import nudges
+from ..streaming import nudges, timers
 from .dialogue import vad_sql
 from .documents import values
 from .registry import query, sql_list, table
@@ -24,9 +24,14 @@ _CALLS = f"""calls as (select conv_id as call_id, turn as seq, case role when 'u
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return said(table(spark, sf_dir, "conversations"))
+
+
+def said(turns: DataFrame) -> DataFrame:
+    """Turns of ``conversations`` as turns of calls, each with a phrase that some detector hears."""
     c, t = F.col("conv_id"), F.col("turn")
     phrase = F.element_at(T.strings(_PHRASES), ((c * 5 + t * 3) % len(_PHRASES) + 1).cast("int"))
-    return table(spark, sf_dir, "conversations").filter("role <> 'system'").select(
+    return turns.filter("role <> 'system'").select(
         c.alias("call_id"), t.alias("seq"), F.when(F.col("role") == "user", "customer").otherwise("agent").alias("speaker"),
         F.concat("text", F.lit(" "), phrase).alias("text"), (t * F.lit(12.0)).alias("call_time_s"),
     )
@@ -72,6 +77,22 @@ def compliance_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.compliance(calls(spark, sf_dir))
 
 
+@query(f"""with {_CALLS}, item as (select * from (values {', '.join(f"('{n}', {d}::double, '{_Q(live.pattern(w))}')" for n, d, w in V.CHECKLIST if n != 'no_payment_disclosure')}) t(item, deadline_s, p)),
+s as (select call_id, item, deadline_s, min(case when speaker = 'agent' and regexp_matches(lower(text), p) then call_time_s end) as said_at from calls, item group by 1, 2, 3)
+select call_id, item, deadline_s from s where said_at is null or said_at >= deadline_s""")
+def stream_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines of calls by timers on a stream; after each call a sign of life a day later moves the watermark past them all."""
+    path = f"{sf_dir}/conversations.parquet"
+    plain = spark.readStream.schema(table(spark, sf_dir, "conversations").schema)
+    stream = plain.option("pathGlobFilter", "conversations.parquet").option("recursiveFileLookup", "false").parquet(sf_dir) if path.endswith(".parquet") else plain.parquet(path)
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    rows = said(stream).withColumn("ts", at(F.col("call_id") * 60 + F.col("call_time_s")))
+    marks = F.array(F.struct("call_id", "speaker", "text", "call_time_s", "ts"), F.struct(F.lit(-1).cast("long").alias("call_id"), F.lit("clock").alias("speaker"), F.lit("").alias("text"), F.lit(0.0).alias("call_time_s"), at(F.lit(86_400) + F.col("call_id") * 60).alias("ts")))
+    gaps = timers.stream_gaps(rows.select(F.explode(marks).alias("m")).select("m.*"))
+    with timers.rocksdb(spark):
+        return nudges.run_available(gaps, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").filter("call_id >= 0")
+
+
 _KINDS, _TYPES = list(V.NUDGES), ["click", "view", "purchase", "signup", "logout"]
 
 
@@ -99,15 +120,15 @@ def _fold_sql(at: str) -> str:
 clocked as (select user_id as call_id, event_id as seq, event_type, value, ({at})::double as clock from events),
 sig as (select call_id, seq, clock, kind, priority, topic, floor_, least(1.0::double, value / 60) as confidence, kind || '|' || lower(replace(template, '{{detail}}', 'v' || (seq % 9))) as mark,
   row_number() over (partition by call_id order by clock, seq) as n from clocked join rule using (event_type)),
-fold as (select distinct call_id, 0::bigint as n, 0::bigint as seq, '' as kind, '' as outcome, []::varchar[] as shown, []::struct(g varchar, free double)[] as topics, []::struct(p int, e double)[] as screen from sig
+fold as (select distinct call_id, 0::bigint as n, 0::bigint as seq, '' as kind, '' as outcome, 0 as evicted, 0 as expired, []::varchar[] as shown, []::struct(g varchar, free double)[] as topics, []::struct(p int, e double)[] as screen from sig
 union all
-select call_id, n, seq, kind, outcome, case when outcome = 'emitted' then list_append(shown, mark) else shown end,
+select call_id, n, seq, kind, outcome, case when outcome = 'emitted' and len(held) >= {V.MAX_ACTIVE} then 1 else 0 end, len(screen) - len(held), case when outcome = 'emitted' then list_append(shown, mark) else shown end,
   case when outcome = 'emitted' then list_append(list_filter(topics, lambda x: x.g <> topic), {{'g': topic, 'free': clock + {V.COOLDOWN_S}}}) else topics end,
   case when outcome = 'emitted' then list_append(case when len(held) >= {V.MAX_ACTIVE} then held[2:] else held end, {{'p': priority, 'e': -(clock + {V.TIME_TO_LIVE_S})}}) else held end
 from (select *, case when confidence < floor_ then 'low_confidence' when list_contains(shown, mark) then 'duplicate'
     when len(list_filter(topics, lambda x: x.g = topic and clock < x.free)) > 0 then 'cooldown'
     when len(held) >= {V.MAX_ACTIVE} and priority >= held[1].p then 'screen_full' else 'emitted' end as outcome
-  from (select s.*, f.shown, f.topics, list_sort(list_filter(f.screen, lambda x: -x.e > s.clock), 'DESC') as held from fold f join sig s on s.call_id = f.call_id and s.n = f.n + 1))),
+  from (select s.*, f.shown, f.topics, f.screen, list_sort(list_filter(f.screen, lambda x: -x.e > s.clock), 'DESC') as held from fold f join sig s on s.call_id = f.call_id and s.n = f.n + 1))),
 outcomes as (select call_id, seq, kind, outcome from fold where n > 0)"""
 
 
@@ -126,6 +147,14 @@ def suppression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.suppression_report(live.suppress(_timed(spark, sf_dir).drop("ts")))
 
 
+@query(_fold_sql(_PLACES) + """ select count(*) as considered, count(*) filter (outcome = 'emitted') as emitted, count(*) filter (outcome = 'low_confidence') as below_threshold, count(*) filter (outcome = 'duplicate') as duplicate,
+ count(*) filter (outcome in ('cooldown', 'screen_full')) as cooldown, sum(evicted)::bigint as evicted, sum(expired)::bigint as expired, round(100.0 * (count(*) - count(*) filter (outcome = 'emitted')) / greatest(1, count(*)), 1) as suppression_rate_pct from fold where n > 0""")
+def screen_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the screen showed, held back, took off for something more important and let expire."""
+    rows = _timed(spark, sf_dir).drop("ts")
+    return live.engine_report(live.suppress(rows), live.screen_exits(rows))
+
+
 @query(_fold_sql("floor(epoch(ts)) / 960.0") + " select * from outcomes")
 def stream_nudges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same outcomes from a file stream with keyed state (clock: the event time in 12-hour steps)."""
