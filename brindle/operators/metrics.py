@@ -39,19 +39,22 @@ def spoken_words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda w: w != "")
 
 
-#: Signs that words stand for in ``edit_distance``: as many distinct words as it can tell apart.
-_SIGNS = "".join(map(chr, range(0x100, 0xD800)))
+#: The first sign that a word stands for in ``edit_distance``; all signs from here on are one character each.
+_FIRST_SIGN = 0x10000
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of two word arrays, null beyond 55,040 distinct words.
+    """Levenshtein distance of two word arrays.
 
     Each distinct word of the two becomes one sign, so that the distance of strings, which runs in
-    compiled code with two rows of the table, is that of the words.
+    compiled code with two rows of the table, is that of the words.  There are a million signs, more than
+    words whose table could be worked through; beyond them the distance is an error, not a guess.
     """
     names = F.array_distinct(F.concat(a, b))
-    signs = lambda words: F.array_join(F.transform(words, lambda w: F.substring(F.lit(_SIGNS), F.array_position(names, w).cast("int"), F.lit(1))), "")
-    return F.when(F.size(names) <= len(_SIGNS), F.levenshtein(signs(a), signs(b)))
+    sign = lambda place: F.decode(F.unhex(F.lpad(F.hex(place - 1 + _FIRST_SIGN), 8, "0")), "UTF-32")
+    signs = lambda words: F.array_join(F.transform(words, lambda w: sign(F.array_position(names, w))), "")
+    enough = F.size(names) <= 0x110000 - _FIRST_SIGN
+    return F.when(enough, F.levenshtein(signs(a), signs(b))).otherwise(F.raise_error(F.lit("more than a million distinct words")).cast("int"))
 
 
 def word_errors(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import live
 from ..streaming import nudges, timers
 from .dialogue import vad_sql
 from .documents import values
-from .registry import query, sql_list, table
+from .registry import case, query, sql_list, table
 
 _PHRASES = ["I need another truck", "we will expand soon", "i cannot pay this is ridiculous", "hdfc offered less", "call me tomorrow", "for my kids", "you said guaranteed and promise you", "this call is recorded", "I am an AI assistant", "nothing", "real person please", "nanti saya kabari"]
 _CALLS = f"""calls as (select conv_id as call_id, turn as seq, case role when 'user' then 'customer' else 'agent' end as speaker,
@@ -183,7 +183,7 @@ def live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.score_calls(outcomes, truth)
 
 
-@query("""select call_id, missed, forbidden_shown, unexpected, passed from (values (1, []::varchar[], []::varchar[], ['frustration'], true), (2, ['soft_refusal'], []::varchar[], []::varchar[], false), (3, []::varchar[], ['risk'], ['risk'], false)) t(call_id, missed, forbidden_shown, unexpected, passed)""")
+@case("""select call_id, missed, forbidden_shown, unexpected, passed from (values (1, []::varchar[], []::varchar[], ['frustration'], true), (2, ['soft_refusal'], []::varchar[], []::varchar[], false), (3, []::varchar[], ['risk'], ['risk'], false)) t(call_id, missed, forbidden_shown, unexpected, passed)""")
 def live_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = values(spark, [(1, "compliance_gap", "emitted"), (1, "frustration", "emitted"), (1, "risk", "cooldown"), (3, "risk", "emitted")], "call_id int, kind string, outcome string")
     truth = values(spark, [(1, ["compliance_gap"], ["risk"], 3), (2, ["soft_refusal"], [], 1), (3, [], ["risk"], 2)], "call_id int, expected array<string>, forbidden array<string>, max_nudges int")

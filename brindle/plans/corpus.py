@@ -10,7 +10,7 @@ from ..functions import values as X
 from ..functions import vocabulary as V
 from ..operators import corpus, dedupe, pages
 from .documents import sql_values, values
-from .registry import query, sql_list, table
+from .registry import case, query, sql_list, table
 
 _TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 _JOINED = f"array_to_string({_TOKENS}, ' ')"
@@ -214,7 +214,7 @@ _PII_ROWS = [
 ]
 
 
-@query(f"select doc_id, redacted from {sql_values([(i, w) for i, _, w in _PII_ROWS], 'doc_id, redacted')}")
+@case(f"select doc_id, redacted from {sql_values([(i, w) for i, _, w in _PII_ROWS], 'doc_id, redacted')}")
 def pii_scan_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.scan_personal_data(values(spark, [(i, t) for i, t, _ in _PII_ROWS], "doc_id long, text string")).select("doc_id", "redacted")
 

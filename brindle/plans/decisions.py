@@ -10,7 +10,7 @@ from ..functions import values as X
 from ..functions import vocabulary as V
 from ..operators import decide, metrics
 from .documents import sql_values, values
-from .registry import query, sql_list, table
+from .registry import case, query, sql_list, table
 
 _ENTITIES, _INDUSTRY = ["proprietorship", "llp", "trust", "private_limited", "partnership"], ["textiles", "crypto_trading", "food", "arms"]
 _FACTS = f"""facts as (select c_custkey as applicant_id, {sql_list(_ENTITIES)}[1 + c_custkey % 5] as entity_type, {sql_list(_INDUSTRY)}[1 + c_custkey % 4] as industry,
@@ -64,7 +64,7 @@ def qualify_applicants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MAPS = [(1, [], "business_name"), (2, ["business_name", "entity_type"], "industry"), (3, V.ASK_ORDER, None), (4, V.ASK_ORDER[:4] + V.ASK_ORDER[5:], "annual_turnover_inr")]
 
 
-@query(f"select id, slot from {sql_values([(i, w) for i, _, w in _MAPS], 'id, slot')}")
+@case(f"select id, slot from {sql_values([(i, w) for i, _, w in _MAPS], 'id, slot')}")
 def next_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, [(i, {k: None for k in ks}) for i, ks, _ in _MAPS], "id int, slots map<string, string>")
     return rows.select("id", decide.next_slot(F.col("slots")).alias("slot"))
@@ -77,7 +77,7 @@ _AMOUNTS = [
 ]
 
 
-@query(f"select raw, amount::bigint as amount from {sql_values(_AMOUNTS, 'raw, amount')}")
+@case(f"select raw, amount::bigint as amount from {sql_values(_AMOUNTS, 'raw, amount')}")
 def parse_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, [(r,) for r, _ in _AMOUNTS], "raw string").select("raw", X.amount(F.col("raw")).alias("amount"))
 
@@ -85,7 +85,7 @@ def parse_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DURATIONS = [("6 years", 72), ("18 months", 18), ("3.5 years", 42), ("saade teen saal", 42), ("since 2019", 92), ("2", 24), ("ten years", 120), ("dua tahun", None), ("5 tahun", 60), ("soon", None)]
 
 
-@query(f"select raw, months::bigint as months from {sql_values(_DURATIONS, 'raw, months')}")
+@case(f"select raw, months::bigint as months from {sql_values(_DURATIONS, 'raw, months')}")
 def parse_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     as_of = F.lit("2026-08-01").cast("date")
     return values(spark, [(r,) for r, _ in _DURATIONS], "raw string").select("raw", X.months(F.col("raw"), as_of).alias("months"))
@@ -98,7 +98,7 @@ _SAID = [
 ]
 
 
-@query(f"select raw, flag, entity, industry, age::bigint as age from {sql_values(_SAID, 'raw, flag, entity, industry, age')}")
+@case(f"select raw, flag, entity, industry, age::bigint as age from {sql_values(_SAID, 'raw, flag, entity, industry, age')}")
 def parse_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
     return values(spark, [(r[0],) for r in _SAID], "raw string").select(
@@ -154,7 +154,7 @@ _COMMIT_TURNS = [
 _COMMITTED = [("a", "nanti saya kabari", None, "no_commitment"), ("b", "", "tanggal", ""), ("c", "", None, ""), ("d", "nanti saya kabari", None, "no_commitment"), ("e", "", None, ""), ("f", "nanti deh|lihat nanti", None, "no_commitment")]
 
 
-@query(f"select call_id, refusals, commitment, outcome from {sql_values(_COMMITTED, 'call_id, refusals, commitment, outcome')}")
+@case(f"select call_id, refusals, commitment, outcome from {sql_values(_COMMITTED, 'call_id, refusals, commitment, outcome')}")
 def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = values(spark, _COMMIT_TURNS, "call_id string, seq int, text string, probed boolean")
     out = decide.commitments(turns, V.CUSTOMER_CUES["soft_refusal"][1], ["tanggal", "besok", "lusa"])
@@ -167,7 +167,7 @@ _DRAFTS = [
 ]
 
 
-@query(f"select id, answered, unsupported from {sql_values([(d[0], d[5], d[6]) for d in _DRAFTS], 'id, answered, unsupported')}")
+@case(f"select id, answered, unsupported from {sql_values([(d[0], d[5], d[6]) for d in _DRAFTS], 'id, answered, unsupported')}")
 def grounding_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, [d[:5] for d in _DRAFTS], "id int, answer string, used_ids array<string>, hit_ids array<string>, sources string")
     return decide.grounded(rows).select("id", "answered", F.array_join("unsupported", "|").alias("unsupported"))
@@ -192,13 +192,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WER = [(1, "a b c", "a b c", 0.0, ""), (2, "a b c d", "a x c", 0.5, "b d"), (3, "", "a", 1.0, ""), (4, "", "", 0.0, ""), (5, "Yes, it's fine", "yes its fine", 0.5, "it s"), (6, "one two", "zero one two three", 1.0, "")]
 
 
-@query(f"select id, wer::double as wer, lost from {sql_values([(w[0], w[3], w[4]) for w in _WER], 'id, wer, lost')}")
+@case(f"select id, wer::double as wer, lost from {sql_values([(w[0], w[3], w[4]) for w in _WER], 'id, wer, lost')}")
 def wer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, [w[:3] for w in _WER], "id int, reference string, hypothesis string")
     return metrics.word_errors(rows).select("id", "wer", F.array_join("lost_words", " ").alias("lost"))
-
-
-@query()
-def wer_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"), F.regexp_replace("text", "[aeiou]{2}", "e").alias("hypothesis"))
-    return metrics.word_errors(rows).select("item_id", "wer", F.size("lost_words").alias("n_lost"))

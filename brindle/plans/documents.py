@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from .registry import query, sql_list, table
+from .registry import case, query, sql_list, table
 
 
 def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -90,7 +90,7 @@ _HEADINGS = [
 ]
 
 
-@query(f"select id, heading from {sql_values([(i, w) for i, _, w in _HEADINGS], 'id, heading')}")
+@case(f"select id, heading from {sql_values([(i, w) for i, _, w in _HEADINGS], 'id, heading')}")
 def clean_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, [(i, h) for i, h, _ in _HEADINGS], "id int, raw string").select("id", T.clean_heading(F.col("raw")).alias("heading"))
 
@@ -101,7 +101,7 @@ _HEARD = [
 ]
 
 
-@query(f"select id, silent from {sql_values([(i, s) for i, _, s in _HEARD], 'id, silent')}")
+@case(f"select id, silent from {sql_values([(i, s) for i, _, s in _HEARD], 'id, silent')}")
 def silence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, [(i, t) for i, t, _ in _HEARD], "id int, text string").select("id", T.is_silence(F.col("text"), "latin").alias("silent"))
 
@@ -112,7 +112,7 @@ _ANSWERS = [
 ]
 
 
-@query(f"select id, found from {sql_values([(i, w) for i, _, w in _ANSWERS], 'id, found')}")
+@case(f"select id, found from {sql_values([(i, w) for i, _, w in _ANSWERS], 'id, found')}")
 def json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values(spark, [(i, t) for i, t, _ in _ANSWERS], "id int, text string").select("id", T.recovered_json(F.col("text")).alias("found"))
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import records
 from .documents import sql_values, values
-from .registry import query, sql_list, table
+from .registry import case, query, sql_list, table
 
 _RECORDS = [
     (1, "", "a__b", "Page 3", "tiny\nThis line tells what it is", "a / b", "page 3", "a / b - This line tells what it is"),
@@ -17,7 +17,7 @@ _RECORDS = [
 ]
 
 
-@query(f"select id, title, locator, record_title, title || case when locator = '' then '' else ' | ' || locator end || ' | site' as citation from {sql_values([(r[0], r[5], r[6], r[7]) for r in _RECORDS], 'id, title, locator, record_title')}")
+@case(f"select id, title, locator, record_title, title || case when locator = '' then '' else ' | ' || locator end || ' | site' as citation from {sql_values([(r[0], r[5], r[6], r[7]) for r in _RECORDS], 'id, title, locator, record_title')}")
 def record_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, [r[:5] for r in _RECORDS], "id int, given string, slug string, heading string, content string")
     title, place = records.record_title(F.col("given"), F.col("slug")), records.locator(F.col("heading"))
@@ -33,7 +33,7 @@ _PDFS = [
 ]
 
 
-@query(f"select id, title, flag from {sql_values([(i, t, f) for i, _, t, f in _PDFS], 'id, title, flag')}")
+@case(f"select id, title, flag from {sql_values([(i, t, f) for i, _, t, f in _PDFS], 'id, title, flag')}")
 def pdf_titles_and_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = values(spark, [(i, p) for i, p, _, _ in _PDFS], "id int, pages array<string>")
     return rows.select("id", records.pdf_title(F.array_join("pages", "\n")).alias("title"), records.extraction_flag(F.col("pages")).alias("flag"))

@@ -24,6 +24,20 @@ def query(sql: str | None = None):
     return wrap
 
 
+#: Typed cases: small fixed inputs with their SQL, for the tests alone.
+CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def case(sql: str):
+    """Keeps a function on typed input as a case of the tests; it is no query, since it reads no table."""
+
+    def wrap(function):
+        CASES[function.__name__] = (function, sql)
+        return function
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in ("documents", "pages") else df  # tables of long texts

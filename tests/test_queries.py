@@ -2,7 +2,7 @@
 
 import pytest
 
-from brindle.plans import oracles, queries
+from brindle.plans import oracles, queries, registry
 
 from .compare import connect, duck_rows, spark_rows
 
@@ -23,6 +23,12 @@ def test_query(spark, db, name):
         assert (names, rows) == duck_rows(db, ORACLES[name])
 
 
+@pytest.mark.parametrize("name", sorted(registry.CASES))
+def test_case(spark, db, name):
+    function, sql = registry.CASES[name]
+    assert spark_rows(function(spark, DATA)) == duck_rows(db, sql)
+
+
 def test_entry_names():
     import __spark_entry__ as entry
 
