@@ -213,6 +213,17 @@ def once(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def running_sums(numbers: Column, block: int = 256) -> Column:
+    """Running sums of an array of integers, in blocks, so that long arrays do not take quadratic work."""
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    starts = lambda xs: F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)), F.lit(block))
+    parted = lambda xs: F.transform(F.transform(starts(xs), lambda k: F.slice(xs, k + 1, F.lit(block))), lambda part: F.struct(part.alias("part"), total(part).alias("sum")))
+    before = lambda held, n: F.aggregate(F.slice(held, F.lit(1), n), F.lit(0), lambda a, b: a + b["sum"])
+    own = lambda base, part: F.transform(part, lambda _, k: base + total(F.slice(part, F.lit(1), k + 1)))
+    summed = lambda held: F.flatten(F.transform(held, lambda b, n: once(before(held, n), lambda base: own(base, b["part"]))))
+    return once(numbers, lambda xs: once(parted(xs), summed))
+
+
 def match_starts(df: DataFrame, matches: dict[str, tuple[str, str]], text: str, block: int = 256) -> DataFrame:
     """Adds columns with the place, from 0, of each match of a pattern in ``text``; {new column: (column of matches, pattern)}.
 

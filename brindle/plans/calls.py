@@ -190,6 +190,25 @@ def live_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.score_calls(shown, truth)
 
 
+@query("select sink, event_type, count(*) as n, round(sum(value), 4) as total from events, (values ('audit'), ('board')) s(sink) group by 1, 2")
+def delivered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events handed to two sinks, one of which fails at first: each ends with each row once."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    write, failures = {name: nudges.numbered_parquet(f"{folder}/{name}") for name in ("audit", "board")}, iter([True, True])
+
+    def board(batch: DataFrame, number: int) -> None:
+        if next(failures, False):
+            raise ConnectionError("the board is away")
+        write["board"](batch, number)
+
+    failed = nudges.fan_out(stream, {"audit": write["audit"], "board": board}, folder)
+    if failed:
+        raise RuntimeError(str(failed))
+    both = [spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("sink"), "event_type", "value") for name in write]
+    return both[0].union(both[1]).groupBy("sink", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def events_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nudges.windowed_counts(table(spark, sf_dir, "events"))

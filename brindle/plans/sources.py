@@ -35,6 +35,21 @@ def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.allowed(urls, rules).select("page_id")
 
 
+_ROBOTS = "# who may read\nUser-agent: Other\nDisallow: /\n\nUser-agent: *\nDisallow: /fr # but\nAllow: /fr/*5\nDisallow: /*.html$\n"
+_ROBOTS_COM = "\nSitemap: x\nUser-agent: Elsewhere\nUser-agent: CorpusBot\nDisallow: /en/6\nAllow: /en/67$\nAllow: /en/6*9\nDisallow:\n"
+
+
+@query(f"""with u as (select page_id, {_HOST} as host, {_PATH} as path from pages), rule as (select * from (values
+ (true, '/en/6', '^/en/6', false), (true, '/en/67$', '^/en/67$', true), (true, '/en/6*9', '^/en/6.*9', true), (false, '/fr', '^/fr', false), (false, '/fr/*5', '^/fr/.*5', true), (false, '/*.html$', '^/.*\\.html$', false)) t(com, pattern, regex, allow))
+select page_id, coalesce((select max((length(pattern), allow)) from rule where com = (host like '%.com') and regexp_matches(path, regex))[2], true) as allowed from u""")
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages under their hosts' robots.txt: groups of agents, wildcards and ends, the longest pattern first."""
+    host, path = F.regexp_extract("url", "^https?://([^/]+)", 1), F.regexp_replace(F.regexp_replace("url", "^[a-zA-Z]+://[^/]*", ""), "[?#].*$", "")
+    urls = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    texts = urls.select("host").distinct().withColumn("text", F.concat(F.lit(_ROBOTS), F.when(F.col("host").endswith(".com"), _ROBOTS_COM).otherwise("")))
+    return web.judged(urls, web.robots_rules(texts, "corpusbot")).select("page_id", "allowed")
+
+
 _WORDS = V.PDF_LANGUAGES + V.PDF_KEYWORDS + ["brochure", "logo"]
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..lineage import cut
 
 
 def slug(url: Column) -> Column:
@@ -30,6 +31,48 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(barred, (urls.host == barred.rule_host) & urls.path.startswith(barred.prefix), "left_anti")
 
 
+def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """host, pattern, allow: the rules of robots.txt texts (host, text) that hold for ``agent``.
+
+    Comments, blank and unknown lines are left out.  User-agent lines in a row open a group; the rules after them are
+    the group's.  The groups that name the agent hold, in any case of letters; only where none does, those of "*".
+    An empty pattern bars nothing.
+    """
+    lines = robots.select("host", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n", -1)).alias("n", "line"))
+    plain = F.regexp_replace("line", "#.*$", "")
+    told = lines.select("host", "n", F.lower(F.trim(F.split_part(plain, F.lit(":"), F.lit(1)))).alias("field"), F.trim(F.regexp_replace(plain, "^[^:]*:?", "")).alias("value"))
+    told = told.filter(F.col("field").isin("user-agent", "allow", "disallow"))
+    order = W.partitionBy("host").orderBy("n")
+    is_agent = F.col("field") == "user-agent"
+    opens = is_agent & (F.coalesce(F.lag("field").over(order), F.lit("")) != "user-agent")
+    told = told.withColumn("opens", opens.cast("int")).withColumn("group", F.sum("opens").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    told = told.withColumn("own", F.when(is_agent, F.when(F.lower("value") == agent.lower(), 2).when(F.col("value") == "*", 1).otherwise(0)))
+    told = told.withColumn("rank", F.max("own").over(W.partitionBy("host", "group"))).withColumn("best", F.max("own").over(W.partitionBy("host")))
+    holds = ~is_agent & (F.col("best") > 0) & (F.col("rank") == F.col("best")) & (F.col("value") != "")
+    return told.filter(holds).select("host", F.col("value").alias("pattern"), (F.col("field") == "allow").alias("allow")).distinct()
+
+
+def judged(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The urls (host, path, ...) with ``allowed``: by the longest pattern of their host that matches, allow before disallow.
+
+    In a pattern "*" stands for any signs and a "$" at its end for the path's end.  Patterns are found by their plain
+    beginning: a path meets the lengths that its host's beginnings have, and each beginning by equality; only the rest of a
+    pattern is matched.
+    """
+    start = F.regexp_extract("pattern", r"^[^*$]*", 0)
+    quoted = F.regexp_replace("pattern", r"([\\.+?^()\[\]{}|])", r"\\$1")
+    regex = F.concat(F.lit("(?s)^"), F.regexp_replace(F.regexp_replace(quoted, r"\*", ".*"), r"\$(?!$)", r"\\\$"))
+    known = rules.select("host", "allow", "pattern", start.alias("start"), F.length(start).alias("size"), regex.alias("regex"))
+    sizes = known.groupBy("host").agg(F.collect_set("size").alias("sizes"))
+    keyed = urls.withColumn("_url", F.monotonically_increasing_id())
+    keyed = cut(keyed)
+    met = keyed.select("_url", "host", "path").join(sizes, "host").select("_url", "host", "path", F.explode("sizes").alias("size"))
+    met = met.filter(F.length("path") >= F.col("size")).withColumn("start", F.substr("path", F.lit(1), F.col("size")))
+    hits = met.join(known, ["host", "size", "start"]).filter(F.expr("path rlike regex"))
+    best = hits.groupBy("_url").agg(F.max(F.struct(F.length("pattern").alias("size"), "allow")).alias("best"))
+    return keyed.join(best, "_url", "left").withColumn("allowed", F.coalesce(F.col("best.allow"), F.lit(True))).drop("_url", "best")
+
+
 def pdf_relevant(url: Column) -> Column:
     low = F.lower(url)
     return ~low.rlike("|".join(V.PDF_LANGUAGES)) & low.rlike("|".join(V.PDF_KEYWORDS))

@@ -8,14 +8,13 @@ call's state goes when event time has passed it by ``idle``.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..lineage import cut
 from ..operators.live import ORDER, Suppressor, decide_all, rendered
 from ..shipping import ship
 
@@ -65,18 +64,64 @@ def run_available(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def fan_out(stream: DataFrame, sinks: dict, folder: str) -> dict[str, list[str]]:
-    """Hands every micro-batch to each sink (name: function of a DataFrame); a sink's failure is recorded
-    by its name and keeps no other from its rows."""
-    failed: dict[str, list[str]] = {name: [] for name in sinks}
+class Delivery:
+    """Hands micro-batches to sinks, each batch to each sink once, whatever fails.
 
-    def each(batch: DataFrame, number: int) -> None:
-        batch = cut(batch)
-        for name, sink in sinks.items():
-            try:
-                sink(batch)
-            except Exception as error:  # noqa: BLE001 - sinks are isolated from each other
-                failed[name].append(f"{number}: {error}"[:200])
+    A batch is first written under ``folder``; a sink that has taken it gets a mark of its own beside it.  What a
+    sink failed to take is tried again before its next batch, in the order of batches, so a restart goes on where
+    the marks end.  A sink is a function of (batch, number); where it can fail after it has written, it must
+    overwrite what it wrote under that number, as ``numbered_parquet`` does.  No sink's failure keeps another
+    from its rows.
+    """
 
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    def __init__(self, spark: SparkSession, sinks: dict[str, Callable[[DataFrame, int], None]], folder: str):
+        self.spark, self.sinks, self.folder = spark, sinks, folder.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._path = lambda *parts: path("/".join((self.folder, *map(str, parts))))
+        self._system = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, *parts) -> list[str]:
+        where = self._path(*parts)
+        return [f.getPath().getName() for f in self._system.listStatus(where)] if self._system.exists(where) else []
+
+    def open_batches(self, name: str) -> list[int]:
+        """The numbers of whole batches that a sink has not taken."""
+        done = set(map(int, self._names("taken", name)))
+        kept = [int(n) for n in self._names("batches") if self._system.exists(self._path("batches", n, "_SUCCESS"))]
+        return sorted(n for n in kept if n not in done)
+
+    def replay(self) -> dict[str, str]:
+        """Gives each sink what it has not taken; the errors of those that failed, by name."""
+        failed = {}
+        for name, sink in self.sinks.items():
+            for number in self.open_batches(name):
+                try:
+                    sink(self.spark.read.parquet(f"{self.folder}/batches/{number}"), number)
+                except Exception as error:  # noqa: BLE001 - sinks are isolated from each other
+                    failed[name] = f"{number}: {error}"[:200]
+                    break  # later batches of this sink wait for this one
+                self._system.create(self._path("taken", name, number), True).close()
+        return failed
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        if not self._system.exists(self._path("batches", number, "_SUCCESS")):  # a batch that Spark gives again is there
+            batch.write.mode("overwrite").parquet(f"{self.folder}/batches/{number}")
+        self.replay()
+
+
+def numbered_parquet(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that a batch written twice leaves as written once."""
+    return lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
+def fan_out(stream: DataFrame, sinks: dict, folder: str, tries: int = 3) -> dict[str, str]:
+    """Drains the stream into every sink; what is left to a failed sink is tried again, then told and kept for the next call."""
+    delivery = Delivery(stream.sparkSession, sinks, f"{folder}/delivery")
+    delivery.replay()
+    stream.writeStream.foreachBatch(delivery).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    failed: dict[str, str] = {}
+    for _ in range(tries):
+        failed = delivery.replay()
+        if not failed:
+            break
     return failed

@@ -71,17 +71,50 @@ def test_point_reads_open_one_folder(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(bucket" in found._jdf.queryExecution().toString() or "PartitionFilters" in found._jdf.queryExecution().toString()
 
 
-def test_a_failing_sink_keeps_no_other_from_its_rows(spark, tmp_path):
-    spark.range(20).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
-
-    def broken(batch):
+def test_robots_grammar(spark):
+    text = "User-agent: a\r\nUser-agent: Bot # us\nDisallow: /p\nAllow: /p/open\nDisallow: /*.pdf$\nDisallow: /x(1)\nAllow: /t\nDisallow: /t\n\nUser-agent: *\nDisallow: /\n"
+    robots = spark.createDataFrame([("h", text), ("open", None), ("star", "USER-AGENT: *\ndisallow: /a*b\n"), ("free", "User-agent: bot\nDisallow:\nUser-agent: *\nDisallow: /")], "host string, text string")
+    want = {
+        ("h", "/q"): True, ("h", "/p"): False, ("h", "/p/open/1"): True, ("h", "/p/other"): False, ("h", "/d/f.pdf"): False, ("h", "/d/f.pdfx"): True, ("h", "/x(1)"): False, ("h", "/x1"): True,
+        ("h", "/t"): True, ("open", "/p"): True, ("star", "/acb/d"): False, ("star", "/ba"): True, ("free", "/p"): True, ("nowhere", "/p"): True,
+    }
+    urls = spark.createDataFrame(list(want), "host string, path string")
+    got = {(r.host, r.path): r.allowed for r in web.judged(urls, web.robots_rules(robots, "bot")).collect()}
+    assert got == want
+
+
+def test_each_sink_takes_each_batch_once(spark, tmp_path):
+    """One sink fails twice, one after it has written, one for good; a later call goes on where each stands."""
+    for n in range(3):
+        spark.range(10 * n, 10 * n + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = {"shaky": 0, "late": 0}
+    good = {name: nudges.numbered_parquet(str(tmp_path / name)) for name in ("plain", "shaky", "late", "broken")}
+
+    def shaky(batch, number):
+        counts["shaky"] += 1
+        if counts["shaky"] <= 2:
+            raise RuntimeError("not yet")
+        good["shaky"](batch, number)
+
+    def late(batch, number):
+        good["late"](batch, number)
+        counts["late"] += 1
+        if counts["late"] == 1:
+            raise RuntimeError("after it has written")
+
+    def broken(batch, number):
         raise RuntimeError("no dashboard")
 
-    sinks = {"first": lambda b: b.write.mode("append").parquet(str(tmp_path / "first")), "broken": broken, "last": lambda b: b.write.mode("append").parquet(str(tmp_path / "last"))}
+    sinks = {"plain": good["plain"], "shaky": shaky, "late": late, "broken": broken}
     failed = nudges.fan_out(stream, sinks, str(tmp_path / "state"))
-    assert not failed["first"] and not failed["last"] and "no dashboard" in failed["broken"][0]
-    assert spark.read.parquet(str(tmp_path / "first")).count() == spark.read.parquet(str(tmp_path / "last")).count() == 20
+    assert set(failed) == {"broken"} and "no dashboard" in failed["broken"]
+    for name in ("plain", "shaky", "late"):
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / name)).collect()) == list(range(30))
+    spark.range(30, 40).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert nudges.fan_out(stream, {**sinks, "broken": good["broken"]}, str(tmp_path / "state")) == {}  # a restart with the sink mended
+    for name in good:
+        assert sorted(r.id for r in spark.read.parquet(str(tmp_path / name)).collect()) == list(range(40))
 
 
 def test_blocked_records_and_filters(spark):
