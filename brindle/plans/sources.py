@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..lineage import cut
+from ..lineage import cut, shared_folder
 from ..sources import files, web
 from .registry import query, table
 
@@ -141,3 +141,25 @@ def manifest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored.write.parquet(folder)
     manifest = pages.select("url", F.when(F.col("page_id") % 8 != 5, path).alias("html_path"))
     return files.manifest_scan(manifest, spark.read.parquet(folder)).select(F.col("path").alias("doc_id"), "url", F.length("html").cast("long").alias("n"))
+
+
+_CELLS = "'| n_nationkey: ' || n_nationkey || '; n_name: ' || n_name || '; n_regionkey: ' || n_regionkey"
+
+
+@query(f"""select 'nations' as doc_id, 'Nations' as title, '## Nations' || chr(10) || string_agg({_CELLS}, chr(10) order by n_nationkey) as text, 'crm_export' as source_type, 'IN' as market from nation
+union all select 'handbook', 'Handbook', 'Head' || chr(10) || string_agg('* ' || r_name || ' is one', chr(10) order by r_regionkey), 'internal_handbook', 'PH' from region
+union all select 's' || s_suppkey, s_name, 'Supplier ' || s_name, 'jsonl', 'ID' from supplier""")
+def source_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of a table with personal data, a handbook, a file of documents and one that is missing, as one table of documents."""
+    folder = f"{shared_folder(spark)}/sources-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).sortWithinPartitions("n_nationkey").write.option("header", True).csv(f"{folder}/nations")
+    line = F.concat(F.lit("* "), "r_name", F.lit(" is  one \t"))
+    book = table(spark, sf_dir, "region").agg(F.array_sort(F.collect_list(F.struct("r_regionkey", line.alias("line")))).alias("x"))  # five regions
+    book.select(F.concat(F.lit("Head \n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n"))).write.text(f"{folder}/handbook")
+    docs = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("doc_id"), F.col("s_name").alias("title"), F.concat(F.lit("Supplier "), "s_name").alias("text"))
+    docs.write.json(f"{folder}/documents")
+    registry = [
+        {"id": "nations", "title": "Nations", "kind": "csv_pii", "path": f"{folder}/nations"}, {"id": "handbook", "title": "Handbook", "kind": "markdown", "path": f"{folder}/handbook", "market": "PH"},
+        {"id": "documents", "kind": "jsonl", "path": f"{folder}/documents", "market": "ID"}, {"id": "gone", "kind": "csv", "path": f"{folder}/gone"},
+    ]
+    return files.read_sources(spark, registry)

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import tidy_inline
+
 DOCUMENT = T.StructType([T.StructField(n, T.StringType()) for n in ("doc_id", "title", "text", "source_type", "market")])
 
 
@@ -22,9 +24,10 @@ def csv_lines(df: DataFrame, label: str) -> DataFrame:
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
-    """path and text of whole files, white space tidied line by line."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\n", -1).alias("lines"))
-    return raw.select("path", F.array_join(F.transform("lines", lambda x: F.regexp_replace(F.rtrim(x), r"[ \t]+", " ")), "\n").alias("text"))
+    """path and text of whole files: white space tidied line by line, at most one empty line between others, none around the text."""
+    lines = F.split("value", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)
+    text = F.regexp_replace(F.array_join(F.transform(lines, tidy_inline), "\n"), r"\n{3,}", "\n\n")
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.btrim(text, F.lit(" \t\n")).alias("text"))
 
 
 def csv_document(spark: SparkSession, path: str, label: str) -> DataFrame:

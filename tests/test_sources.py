@@ -38,7 +38,7 @@ def test_pdf_files_by_their_first_bytes(spark, tmp_path):
 def test_sources_by_their_registry(spark, tmp_path):
     (tmp_path / "fees.csv").write_text("name,fee\nA,1\nB,\n , 3 \n")
     (tmp_path / "leads.csv").write_text("who\nx\n")
-    (tmp_path / "book.md").write_text("# Title  \nmany   blanks\there\n")
+    (tmp_path / "book.md").write_text("# Title  \n\n \n\n  many   blanks\there \t\n")
     (tmp_path / "lines.jsonl").write_text('{"doc_id": "j1", "title": "J", "text": "one"}\n\n{"doc_id": "j2", "title": "K", "text": "two"}\n')
     (tmp_path / "pricing.txt").write_text("page one\npage two")
     entries = [
@@ -50,7 +50,7 @@ def test_sources_by_their_registry(spark, tmp_path):
     got = {r.doc_id: (r.source_type, r.market, r.text) for r in files.read_sources(spark, entries).collect()}
     assert got == {
         "fees": ("internal_table", "IN", "## fees\n| name: A; fee: 1\n| name: B\n| fee: 3"), "leads": ("crm_export", "PH", "## Leads\n| who: x"),
-        "book": ("internal_handbook", "IN", "# Title\nmany blanks here\n"), "j1": ("jsonl", "IN", "one"), "j2": ("jsonl", "IN", "two"), "pricing": ("internal_pdf", "IN", "page one\npage two"),
+        "book": ("internal_handbook", "IN", "# Title\n\nmany blanks here"), "j1": ("jsonl", "IN", "one"), "j2": ("jsonl", "IN", "two"), "pricing": ("internal_pdf", "IN", "page one\npage two"),
     }
     with pytest.raises(ValueError, match="unknown kind"):
         files.read_sources(spark, [{"id": "x", "kind": "xls", "path": str(tmp_path / "book.md")}])
