@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import vocabulary as V
 from brindle.operators import live
+from brindle.plans import queries
 from brindle.streaming import nudges, timers
 
 
@@ -48,3 +49,10 @@ def test_the_screen_tells_what_left_it_and_why(spark, tmp_path):
     assert len(exits) == len(set(exits)) == sum(o == "emitted" for _, o in outcomes)  # each shown text leaves once
     report = live.engine_report(live.suppress(df), live.screen_exits(df)).first()
     assert report.considered == 60 and report.evicted == sum(e[2] == "evicted" for e in exits) and report.expired <= sum(e[2] == "expired" for e in exits)
+
+
+def test_deadlines_of_a_table_of_several_files(spark, tmp_path):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    turns.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = lambda folder: sorted(map(tuple, queries.queries()["stream_compliance"](spark, folder).collect()))
+    assert got(str(tmp_path)) == got("/root/testdata/sf0.001") != []
