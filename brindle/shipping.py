@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> None:
 def _given_back(function: Callable) -> Callable:
     """``function``, after which the worker hands its free memory back: Spark keeps workers for later tasks."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable) -> Iterator:
         try:
             yield from function(batches)
         finally:
@@ -48,19 +48,28 @@ def _given_back(function: Callable) -> Callable:
     return run
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with the package at hand in the workers.
+def _bounded(spark: SparkSession) -> None:
+    """The package at hand in the workers, and batches bounded by bytes as well as by rows.
 
-    The session's batches are bounded by bytes as well as by rows, so that a worker's memory does not
-    depend on how long the rows are; a setting of the user's own stays.
+    A worker's memory then does not depend on how long the rows are; a setting of the user's own stays.
     """
-    spark = df.sparkSession
     ship(spark)
-    if spark.conf.get(_LIMIT, None) == _DEFAULT:
+    if spark.conf.get(_LIMIT) == _DEFAULT:  # with a default of its own, get() would not tell the one of Spark
         spark.conf.set(_LIMIT, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with the package at hand in the workers and bounded batches."""
+    _bounded(df.sparkSession)
     return df.mapInArrow(_given_back(function), schema)
 
 
+def map_pandas(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``df.mapInPandas`` with the package at hand in the workers and bounded batches."""
+    _bounded(df.sparkSession)
+    return df.mapInPandas(_given_back(function), schema)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, where its scan gives fewer (small files of one row group).
 
