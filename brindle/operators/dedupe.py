@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..lineage import cut
-from ..shipping import ship
+from ..shipping import map_pandas
 
 SHORT, JACCARD, RADIUS, LONGER = 80, 0.82, 6, 1.25
 #: Blocks of a signature, and how many of them agree when at most RADIUS bits differ.
@@ -54,15 +54,13 @@ def signatures(records: DataFrame, seq: str = "seq", text: str = "text") -> Data
     A bit is the majority over the low 64 bits of each shingle's MD5.  Votes are counted where the
     text is, so nothing is shuffled; 64 conditional sums over exploded shingles took about twice as long.
     """
-    ship(records.sparkSession)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [_signature(_grams(t)[1]) for t in pdf["text"].fillna("")]
             yield pd.DataFrame({"seq": pdf["seq"], "sig_hi": [h for h, _ in found], "sig_lo": [l for _, l in found]})
 
     rows = records.select(F.col(seq).cast("long").alias("seq"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(run, "seq long, sig_hi long, sig_lo long")
+    return map_pandas(rows, run, "seq long, sig_hi long, sig_lo long")
 
 
 def read_texts(records: DataFrame, most: float = (SHORT - 4) / JACCARD) -> DataFrame:
@@ -71,8 +69,6 @@ def read_texts(records: DataFrame, most: float = (SHORT - 4) / JACCARD) -> DataF
     Each text is tokenised once.  A set similar to a short text's cannot be larger than ``most``.  In
     Python, because a filter on the column form is pushed below it and re-tokenises the text for every shingle.
     """
-    ship(records.sparkSession)
-
     def one(text: str) -> tuple:
         n, grams = _grams(text)
         sets = sorted(set(grams))
@@ -85,7 +81,7 @@ def read_texts(records: DataFrame, most: float = (SHORT - 4) / JACCARD) -> DataF
             n, sig, sets = zip(*map(one, pdf["text"].fillna(""))) if len(pdf) else ((), (), ())
             yield pd.DataFrame({"seq": pdf["seq"], "language": pdf["language"], "n_tokens": n, "sig": pd.array(sig, "Int64"), "grams": sets})
 
-    return records.select("seq", "language", "text").mapInPandas(run, "seq long, language string, n_tokens long, sig long, grams array<string>")
+    return map_pandas(records.select("seq", "language", "text"), run, "seq long, language string, n_tokens long, sig long, grams array<string>")
 
 
 def _keys(sig: str) -> Column:
