@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strings
+from ..functions import text as T
 
 
 def latency(samples: DataFrame, by: list[str], value: str = "ms") -> DataFrame:
@@ -50,11 +50,16 @@ def edit_distance(a: Column, b: Column) -> Column:
     compiled code with two rows of the table, is that of the words.  There are a million signs, more than
     words whose table could be worked through; beyond them the distance is an error, not a guess.
     """
-    names = F.array_distinct(F.concat(a, b))
     sign = lambda place: F.decode(F.unhex(F.lpad(F.hex(place - 1 + _FIRST_SIGN), 8, "0")), "UTF-32")
-    signs = lambda words: F.array_join(F.transform(words, lambda w: sign(F.array_position(names, w))), "")
-    enough = F.size(names) <= 0x110000 - _FIRST_SIGN
-    return F.when(enough, F.levenshtein(signs(a), signs(b))).otherwise(F.raise_error(F.lit("more than a million distinct words")).cast("int"))
+    places = lambda names: F.map_from_entries(F.transform(names, lambda w, n: F.struct(w.alias("w"), sign(n + 1).alias("sign"))))
+    signs = lambda words, of: F.array_join(F.transform(words, lambda w: F.element_at(of, w)), "")
+
+    def distance(names: Column) -> Column:
+        told = T.once(places(names), lambda of: F.levenshtein(signs(a, of), signs(b, of)))
+        return F.when(F.size(names) <= 0x110000 - _FIRST_SIGN, told).otherwise(F.raise_error(F.lit("more than a million distinct words")).cast("int"))
+
+    # the words' names are gathered once, not again for each word; equal arrays need no table
+    return F.when(a == b, F.lit(0)).otherwise(T.once(F.array_distinct(F.concat(a, b)), distance))
 
 
 def word_errors(pairs: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
