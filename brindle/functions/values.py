@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .text import strings
+from .text import once, strings
 
 
 def lookup(table: dict[str, float]) -> Column:
@@ -15,12 +15,12 @@ def lookup(table: dict[str, float]) -> Column:
 
 def grouped_number(raw: Column) -> Column:
     """1.200.000 by thousands, 2,5 as a decimal, otherwise commas group."""
-    t = F.btrim(F.btrim(raw), F.lit(",."))
-    return (
+    read = lambda t: (
         F.when(t.rlike(r"^\d{1,3}(\.\d{3})+$"), F.replace(t, F.lit("."), F.lit("")).try_cast("double"))
         .when(t.rlike(r"^\d+,\d{1,2}$"), F.replace(t, F.lit(","), F.lit(".")).try_cast("double"))
         .otherwise(F.replace(t, F.lit(","), F.lit("")).try_cast("double"))
     )
+    return once(F.btrim(F.btrim(raw), F.lit(",.")), read)
 
 
 def word_number(text: Column) -> Column:
@@ -60,20 +60,28 @@ def scale_number(text: Column) -> Column:
 
 def amount(raw: Column) -> Column:
     """An amount in whole units, as BIGINT; nothing said is 0, unreadable is null."""
-    low = F.lower(F.btrim(raw))
-    stripped = F.btrim(low, F.lit(".!,"))
-    nothing = stripped.isin(V.NOTHING) | stripped.rlike(r"^(?:no |none|nil|zero)")
-    t = F.btrim(F.regexp_replace(F.regexp_replace(low, V.CURRENCY, " "), r"\s+", " "))
     shape = rf"([\d,.]+)\s*({V.AMOUNT_UNITS})?"
-    number = grouped_number(F.regexp_extract(t, shape, 1))
-    unit = F.when(number.isNotNull(), F.regexp_extract(t, shape, 2)).otherwise(F.regexp_extract(t, r"(crore|cr|lakhs?|lacs?|million|thousand)", 1))
-    spoken = word_number(F.regexp_replace(t, r"(crore|cr|lakhs|lakh|lacs|lac|million|thousand)", ""))
-    factor = (
+    # each step's value is made once, not again wherever a later one reads it
+    factor = lambda unit: (
         F.when(unit.startswith("cr"), 1e7).when(unit.rlike("^(?:lakh|lac)"), 1e5).when(unit.rlike("^(?:million|mn|juta|milyon)"), 1e6)
         .when(unit.rlike("^(?:miliar|milyar)"), 1e9).when(unit.isin("k", "thousand", "ribu", "libo"), 1e3).otherwise(1.0)
     )
-    read = F.coalesce(number, spoken) * factor
-    return F.when(low.isNull() | (low == ""), None).when(nothing, F.lit(0)).otherwise(F.coalesce(read, scale_number(t))).cast("long")
+
+    def scaled(t: Column, number: Column) -> Column:
+        unit = F.when(number.isNotNull(), F.regexp_extract(t, shape, 2)).otherwise(F.regexp_extract(t, r"(crore|cr|lakhs?|lacs?|million|thousand)", 1))
+        spoken = word_number(F.regexp_replace(t, r"(crore|cr|lakhs|lakh|lacs|lac|million|thousand)", ""))
+        return F.coalesce(number, spoken) * once(unit, factor)
+
+    def read(t: Column) -> Column:
+        return F.coalesce(once(grouped_number(F.regexp_extract(t, shape, 1)), lambda number: scaled(t, number)), scale_number(t))
+
+    def said(low: Column) -> Column:
+        stripped = F.btrim(low, F.lit(".!,"))
+        nothing = stripped.isin(V.NOTHING) | stripped.rlike(r"^(?:no |none|nil|zero)")
+        t = F.btrim(F.regexp_replace(F.regexp_replace(low, V.CURRENCY, " "), r"\s+", " "))
+        return F.when(low.isNull() | (low == ""), None).when(nothing, F.lit(0)).otherwise(once(t, read))
+
+    return once(F.lower(F.btrim(raw)), said).cast("long")
 
 
 def months(raw: Column, as_of: Column) -> Column:

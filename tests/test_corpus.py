@@ -77,3 +77,12 @@ def test_what_is_read_often_is_made_once(spark):
     assert plan(df.select(corpus.product(F.col("text")).alias("c"))).count("lower(") == 1
     pairs = df.select(metrics.edit_distance(F.split("text", " "), F.split("heading", " ")).alias("d"))
     assert plan(pairs).count("array_distinct(") == 1 and pairs.first().d == 19
+
+
+def test_an_amount_is_read_in_steps_made_once(spark):
+    from brindle.functions import values as X
+
+    said = [("2,5 juta", 2_500_000), ("1.200.000", 1_200_000), ("Rs. 3,00,000", 300_000), ("two crore", 20_000_000), ("no EMIs", 0), ("", None), ("later", None), (None, None)]
+    out = spark.createDataFrame(said, "raw string, want long").select("want", X.amount(F.col("raw")).alias("got"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("trim(raw") == 1
+    assert all(r.got == r.want for r in out.collect())
