@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocabulary as V
-from ..lineage import shared_folder
+from ..lineage import cut, shared_folder
 from ..operators import index
 from ..operators import search as S
 from .registry import query, sql_list, table
@@ -87,8 +87,8 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_BASE + " select q_id, rank, doc_id, score from lexical where rank <= 4")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = S.question_terms(questions(spark, sf_dir), "q_id", "question")
-    postings, idfs = S.asked_postings(table(spark, sf_dir, "documents").select("doc_id", "text"), asked)
-    return S.ranked(S.bm25(postings, idfs, asked), 4).select("q_id", "rank", "doc_id", "score")
+    found, _ = S.lexical(table(spark, sf_dir, "documents").select("doc_id", "text"), asked, 4)
+    return found.select("q_id", "rank", "doc_id", "score")
 
 
 @query(_BASE + " select q_id, rank, doc_id, score from lexical")
@@ -132,8 +132,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, vectors, asked = _asked(spark, sf_dir)
     terms = S.question_terms(q, "q_id", "question")
-    postings, idfs = S.asked_postings(table(spark, sf_dir, "documents").select("doc_id", "text"), terms)
-    lexical = S.ranked(S.bm25(postings, idfs, terms), 50)
+    lexical, _ = S.lexical(table(spark, sf_dir, "documents").select("doc_id", "text"), terms, 50)
     dense = S.nearest(vectors, asked, 50)
     return S.fuse(lexical, dense).select("q_id", "doc_id", "lexical_rank", "dense_rank", "rrf")
 
@@ -145,9 +144,10 @@ from lexical l join postings using (doc_id) join w on w.q_id = l.q_id and w.term
 join (select q_id, sum(w) as total from w group by 1) t on t.q_id = l.q_id where l.rank <= 10 group by 1, 2""")
 def coverage_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = S.question_terms(questions(spark, sf_dir), "q_id", "question")
-    postings, idfs = S.asked_postings(table(spark, sf_dir, "documents").select("doc_id", "text"), asked)
-    hits = S.ranked(S.bm25(postings, idfs, asked), 10).select("q_id", "doc_id")
-    return hits.join(S.coverage(postings, idfs, asked), ["q_id", "doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, idfs = S.lexical(docs, asked, 10)
+    hits = cut(found.select("q_id", "doc_id"))
+    return hits.join(S.coverage_of(hits, docs, idfs, asked), ["q_id", "doc_id"])
 
 
 @query(_BASE + """, hits as (select q_id, rank, d.text, d.lang as category, score from lexical join documents d using (doc_id) where rank <= 4),
@@ -164,8 +164,8 @@ def retrieval_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir)
     docs = table(spark, sf_dir, "documents")
     asked = S.question_terms(q, "q_id", "question")
-    postings, idfs = S.asked_postings(docs.select("doc_id", "text"), asked)
-    hits = S.ranked(S.bm25(postings, idfs, asked), 4).join(docs.select("doc_id", "text", F.col("lang").alias("category")), "doc_id")
+    found, _ = S.lexical(docs.select("doc_id", "text"), asked, 4)
+    hits = found.join(docs.select("doc_id", "text", F.col("lang").alias("category")), "doc_id")
     hits = hits.select("q_id", "rank", "text", "category", (F.col("score") > 20).alias("confident"))
     tests = q.select(
         "q_id", F.slice(F.split("question", " "), 1, 3).alias("must_contain_any"),
