@@ -228,7 +228,8 @@ def match_starts(df: DataFrame, matches: dict[str, tuple[str, str]], text: str,
     """Adds columns with the place, from 0, of each match of a pattern in ``text``; {new column: (column of matches, pattern)}.
 
     Splitting a text by a pattern gives the gaps between its matches; a place is the sum of the gaps and matches
-    before it.  The sums are taken in blocks, in columns of their own, so that none is computed again for each match.
+    before it.  The sums are taken in blocks, in columns of their own, so that none is computed again for each match;
+    where nothing matches there is nothing to sum.
     """
     lengths = lambda xs: F.transform(xs, lambda x: F.length(x))
 
@@ -241,9 +242,9 @@ def match_starts(df: DataFrame, matches: dict[str, tuple[str, str]], text: str,
     parts = f"transform({cut}, p -> named_struct('part', p, 'sum', {total('p')}))".format
     own = f"transform(b.part, (y, k) -> base + {total('slice(b.part, 1, k + 1)')})"
     before = "array(aggregate(slice(`_{0}`, 1, n), 0, (a, x) -> a + x.sum))"
-    places = f"slice(flatten(transform(`_{{0}}`, (b, n) -> get(transform({before}, base -> {own}), 0))), 1, size(`{{1}}`))".format
+    places = f"if(size(`{{1}}`) = 0, cast(array() as array<int>), slice(flatten(transform(`_{{0}}`, (b, n) -> get(transform({before}, base -> {own}), 0))), 1, size(`{{1}}`)))".format
     df = df.withColumns({f"_{n}": steps(*m) for n, m in matches.items()})
-    df = df.withColumns({f"_{n}": F.expr(parts(n)) for n in matches})
+    df = df.withColumns({f"_{n}": F.when(F.size(f"_{n}") > 0, F.expr(parts(n))) for n in matches})
     return df.withColumns({n: F.expr(places(n, m[0])) for n, m in matches.items()}).drop(*[f"_{n}" for n in matches])
 
 

@@ -35,11 +35,13 @@ def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def records_of(docs: DataFrame) -> DataFrame:
-    """The records of documents, at no version yet."""
-    made = corpus.chunks(docs).select("doc_id", "chunk", "text", F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("record_id"))
-    made = cut(made.withColumn("row", F.monotonically_increasing_id()))
-    scanned = corpus.scan_personal_data(made, "row").select(F.col("doc_id").alias("row"), "has_pii", "redacted")
-    return made.join(scanned, "row").select("record_id", "doc_id", "chunk", T.content_hash(F.col("text")).alias("checksum"), "has_pii", "redacted")
+    """The records of documents, at no version yet: one pass over documents dealt out evenly, since the work on a row is long and
+    the partitions of a scan or a join are made by bytes, too few of them for short texts."""
+    dealt = docs.select("doc_id", "text").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    made = corpus.chunks(dealt).select("doc_id", "chunk", "text", T.content_hash(F.col("text")).alias("checksum"))
+    scanned = corpus.scan_personal_data(made, keep=("chunk", "checksum"))
+    record_id = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk").cast("string")).alias("record_id")
+    return scanned.select(record_id, "doc_id", "chunk", "checksum", "has_pii", "redacted")
 
 
 def full_build(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +54,7 @@ def next_build(old_marks: DataFrame, old_records: DataFrame, docs: DataFrame) ->
 
     A record whose checksum changed gets the next minor version, one that is new 1.0, one that stayed keeps its own.
     """
-    new_marks = marks(docs)
+    new_marks = cut(marks(docs))
     changes = cut(change_set(old_marks, new_marks))
     of = lambda *kinds: changes.filter(F.col("kind").isin(*kinds)).select("doc_id")
     fresh = records_of(docs.join(of("new", "changed"), "doc_id", "left_semi"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,29 +27,22 @@ def _snapshot(orders: DataFrame, n: int) -> DataFrame:
     return orders.filter(there).select(k.alias("doc_id"), text.alias("text"))
 
 
-def _builds(spark: SparkSession, sf_dir: str):
-    orders = table(spark, sf_dir, "orders")
-    marks, records = (cut(x) for x in incremental.full_build(_snapshot(orders, 0)))
-    for n in range(1, ROUNDS + 1):
-        marks, records, changes = incremental.next_build(marks, records, _snapshot(orders, n))
-        marks, records = cut(marks), cut(records)
-        yield n, records, changes
-
-
 @query(f"""with {_SQL}, entered as (select k, min(edition) as first from rounds where there group by k)
 select k || ':0' as record_id, k as doc_id, '1.' || (edition - first) as version, k % 3 = 0 as has_pii,
  'Order ' || k || ', edition ' || edition || case when k % 3 = 0 then ' from [EMAIL_REDACTED]' else '' end || ' stands' as redacted from rounds join entered using (k) where r = 3 and there""")
 def incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records after three rounds: what a full build gives, with the versions that the changes made."""
-    *_, (_, records, _) = _builds(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders")
+    marks, records = incremental.full_build(_snapshot(orders, 0))
+    for n in range(1, ROUNDS + 1):
+        marks, records, _ = incremental.next_build(marks, cut(records), _snapshot(orders, n))
     return records.select("record_id", "doc_id", "version", "has_pii", "redacted")
 
 
 @query(f"""with {_SQL} select r::int as round, case when not was then 'new' when not there then 'gone' when old <> edition then 'changed' else 'unchanged' end as kind, count(*) as n from states where r > 0 and (there or was) group by 1, 2""")
 def change_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each kind in each round's change set."""
-    out = None
-    for n, _, changes in _builds(spark, sf_dir):
-        counted = changes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(n).alias("round"), "kind", "n")
-        out = counted if out is None else out.union(counted)
-    return out
+    orders = table(spark, sf_dir, "orders")
+    marks = [incremental.marks(_snapshot(orders, n)) for n in range(ROUNDS + 1)]
+    counted = (incremental.change_set(*two).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(n).alias("round"), "kind", "n") for n, two in enumerate(zip(marks, marks[1:]), 1))
+    return reduce(DataFrame.union, counted)
